@@ -1,0 +1 @@
+"""docfacts.streaming"""
