@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm import html_text, linededup, packing, topk, toxicity, warc
+from docfacts.llm import html_text, jaccard, linededup, lm_score, merkle, packing, topk, toxicity, warc
 from docfacts.llm.common import table
 
 
@@ -20,11 +20,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good).select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("ce_background", "ce_target", "score")])
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.drop_lines(table(spark, sf_dir, "documents"), F.col("source"))
     return cleaned.select("doc_id", "source", "line_dedup.n_lines", "line_dedup.n_dropped", "text")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_line_dedup, op6_toxicity, op7_html_extraction, op8_exact_top_k, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_line_dedup, op4_ngram_jaccard_join, op5_document_fingerprints, op6_toxicity, op7_html_extraction, op8_exact_top_k, op10_warc)}
 
 OP3_SQL = r"""
 WITH d AS (
@@ -89,4 +102,37 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES = {"op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc": OP10_SQL}
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS ws,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS target FROM documents
+), k AS (
+  SELECT doc_id, target, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d
+), c AS (
+  SELECT w, count(*) AS n, count(*) FILTER (WHERE target) AS t FROM k GROUP BY w
+), s AS (
+  SELECT sum(n) AS n, sum(t) AS t FROM c
+), v AS (
+  SELECT c.w, c.n, c.t FROM c, s WHERE c.n * 100000 >= s.n AND length(c.w) <= 64
+), z AS (
+  SELECT s.n AS n, s.t AS t, count(v.w) AS size, s.n - sum(v.n) AS un, s.t - sum(v.t) AS ut FROM v, s GROUP BY s.n, s.t
+), one AS (
+  SELECT w, (v.n + 1) / (z.n + size + 1)::DOUBLE AS pn, (v.t + 1) / (z.t + size + 1)::DOUBLE AS pt FROM v, z
+  UNION ALL SELECT NULL, (un + 1) / (n + size + 1)::DOUBLE, (ut + 1) / (t + size + 1)::DOUBLE FROM z
+), b AS (
+  SELECT doc_id, target, i, v.w AS w, CASE WHEN i = 1 THEN chr(1) ELSE lag(v.w) OVER (PARTITION BY doc_id ORDER BY i) END AS h FROM k LEFT JOIN v USING (w)
+), two AS (
+  SELECT h, w, count(*) AS n, count(*) FILTER (WHERE target) AS t FROM b WHERE h IS NOT NULL AND w IS NOT NULL GROUP BY h, w
+  HAVING count(*) * 1048576 >= (SELECT n FROM s)
+), his AS (
+  SELECT h, sum(n) AS n, sum(t) AS t FROM two GROUP BY h
+), g AS (
+  SELECT doc_id, ln((coalesce(two.n, 0) + 50 * pn) / (coalesce(his.n, 0) + 50)) AS ln_n, ln((coalesce(two.t, 0) + 50 * pt) / (coalesce(his.t, 0) + 50)) AS ln_t
+  FROM b JOIN one ON b.w IS NOT DISTINCT FROM one.w LEFT JOIN two ON b.h = two.h AND b.w = two.w LEFT JOIN his ON b.h = his.h
+), e AS (
+  SELECT doc_id, count(*) AS k, -avg(ln_n) AS cn, -avg(ln_t) AS ct FROM g GROUP BY doc_id
+)
+SELECT doc_id, coalesce(k, 0)::BIGINT AS n_tokens, round(coalesce(cn, 0), 6) AS ce_background, round(coalesce(ct, 0), 6) AS ce_target, round(coalesce(ct - cn, 0), 6) AS score FROM d LEFT JOIN e USING (doc_id)
+"""
+
+ORACLES = {"op2_lm_scoring": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc": OP10_SQL}
