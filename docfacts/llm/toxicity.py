@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,22 +136,34 @@ def layer_input(expected: np.ndarray, most: np.ndarray, bounds: np.ndarray) -> n
     return np.column_stack((np.ones(len(most)), np.log(0.05 + expected), most, most * np.log1p(np.diff(bounds))))
 
 
-def distinct(sets: list[set[str]], toxic: np.ndarray) -> list[int]:
+def lone_documents(of_doc: list[np.ndarray], hashes: np.ndarray, toxic: np.ndarray) -> list[int]:
     """One document of each group of near copies, told by their four smallest word hashes: copies are no evidence of their own."""
     first: dict[tuple, int] = {}
-    for i, s in enumerate(sets):
-        low = tuple(sorted(zlib.crc32(w.encode()) for w in s)[:4])
+    for i, words in enumerate(of_doc):
+        low = tuple(np.sort(hashes[words])[:4].tolist())
         j = first.setdefault(low, i)
         if toxic[i] and not toxic[j]:
             first[low] = i
     return sorted(first.values())
 
 
-def toxic_words(sets: list[set[str]], toxic: np.ndarray, precision: float = 0.7) -> set[str]:
-    """Words and beginnings that mark toxic documents: mostly in those, and in too many of them for chance."""
-    total, bad = Counter(w for s in sets for w in s), Counter(w for s, y in zip(sets, toxic, strict=True) if y for w in s)
-    rate, chance = toxic.mean(), np.log(len(total) + 1)
-    return {w for w, n in bad.items() if (n - 0.5) / (total[w] + 0.5) >= precision and n * np.log(n / total[w] / rate) >= chance}
+def toxic_features(codes: np.ndarray, of_doc: list[np.ndarray], alone: list[int], toxic: np.ndarray, precision: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents have each feature (words and beginnings), and which features mark toxic ones: mostly in those, and in too many for chance."""
+    size = int(codes.max(initial=0)) + 1
+    every, total, bad = np.zeros(size), np.zeros(size), np.zeros(size)
+    lone = set(alone)
+    for i, words in enumerate(of_doc):
+        own = np.unique(codes[:, words])
+        every[own] += 1
+        if i in lone:
+            total[own] += 1
+            if toxic[i]:
+                bad[own] += 1
+    rate, chance = toxic[alone].mean(), np.log((total > 0).sum() + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        marks = ((bad - 0.5) / (total + 0.5) >= precision) & (bad * np.log(bad / total / rate) >= chance)
+    marks[0] = False
+    return every, marks
 
 
 def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int = 20_000, rounds: int = 80, seed: int = 7) -> Model | None:
@@ -167,16 +178,19 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
     split = pc.ascii_split_whitespace(array)
     bounds = np.asarray(split.offsets).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    own = [{x for x in row if x} for row in zip(*[f.to_pylist() for f in word_features(coded.dictionary)], strict=True)]
+    features = pa.concat_arrays(word_features(coded.dictionary)).dictionary_encode()
+    codes = (np.asarray(pc.fill_null(features.indices, -1)) + 1).reshape(-1, len(coded.dictionary))
     indices = np.asarray(coded.indices)
-    sets = [set().union(*[own[i] for i in np.unique(indices[a:b])]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    alone = distinct(sets, toxic)
-    found = toxic_words([sets[i] for i in alone], toxic[alone])
-    frequent = Counter(w for s in sets for w in s)
-    words = sorted(w for w, n in frequent.items() if n >= 3 or w in found)
-    number, tokens, bounds = word_codes(array, pa.array(words, pa.string()))
-    marks = np.zeros(len(words) + 1, bool)
-    marks[[i + 1 for i, w in enumerate(words) if w in found]] = True
+    of_doc = [np.unique(indices[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    hashes = np.fromiter((zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    alone = lone_documents(of_doc, hashes, toxic)
+    every, found = toxic_features(codes, of_doc, alone, toxic)
+    kept = (every[1:] >= 3) | found[1:]
+    vocabulary = features.dictionary.filter(pa.array(kept))
+    words = vocabulary.to_pylist()
+    marks = np.concatenate(([False], found[1:][kept]))
+    del features, codes, of_doc, hashes
+    number, tokens, bounds = word_codes(array, vocabulary)
     target = marks[number].any(axis=0)[tokens] & np.repeat(toxic, np.diff(bounds))
 
     cuts = np.concatenate([np.arange(a, b, window) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] + [np.array([bounds[-1]])])
@@ -220,8 +234,12 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
         emit += 0.15 * (moment[0] / a) / (np.sqrt(moment[1] / b) + 1e-2)
         bias += 0.15 * (moment[2] / a) / (np.sqrt(moment[3] / b) + 1e-2)
 
-    p = marginals(emissions(number, tokens, bounds, emit, bias), bounds, step)
-    z = layer_input(*document_features(p, bounds), bounds)
+    z = []
+    for i in range(0, len(bounds) - 1, 200):
+        at = bounds[i : i + 201]
+        p = marginals(emissions(number, tokens[at[0] : at[-1]], at - at[0], emit, bias), at - at[0], step)
+        z.append(layer_input(*document_features(p, at - at[0]), at - at[0]))
+    z = np.concatenate(z)
     layer = np.zeros(z.shape[1])
     for _ in range(60):  # Newton steps with a little shrinkage
         q = 1 / (1 + np.exp(-np.clip(z @ layer, -30, 30)))
@@ -233,7 +251,7 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
     return Model(words, emit, bias, step, layer)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 2000, most_clean: int = 4000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1200, most_clean: int = 2400) -> Model | None:
     """The model from at most ``most_toxic`` and ``most_clean`` labelled documents outside the held-out fold.
 
     The sample takes the smallest hashes of the ids, so it is the same on every
