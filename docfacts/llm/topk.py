@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docfacts.llm.common import stored
 
-PAGE = 64  # entries of a leaf page, and the target size of a split
+PAGE = 256  # entries of a leaf page, at most
 FANOUT = 8
 
 
@@ -128,7 +128,7 @@ def search(tree: dict, query_id: int, q: np.ndarray, size2: float, top: float, b
                 heapq.heappush(queue, (li, serial, di, node["children"][i]))
 
 
-def index(vectors: DataFrame, pivots: int = 64, group_rows: int = 4096) -> tuple[DataFrame, dict[int, tuple[float, list]]]:
+def index(vectors: DataFrame, pivots: int = 16, group_rows: int = 8192) -> tuple[DataFrame, dict[int, tuple[float, list]]]:
     """The table of trees (dim, tree), and by vector length the greatest squared norm with the pivots.
 
     Pivots are the rows with the smallest hashes, at most ``pivots`` a length;
@@ -140,7 +140,7 @@ def index(vectors: DataFrame, pivots: int = 64, group_rows: int = 4096) -> tuple
     known: dict[int, tuple[float, list]] = {}
     for r in tops:
         few = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(pivots).collect()
-        known[r["dim"]] = (r["top"] * (1 + 1e-12), [list(x["q"]) for x in few])
+        known[r["dim"]] = (r["top"] * (1 + 1e-12), [(x["vec_id"], list(x["q"])) for x in few])
     shared = spark.sparkContext.broadcast(known)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def index(vectors: DataFrame, pivots: int = 64, group_rows: int = 4096) -> tuple
             for dim in np.unique(dims):
                 top, few = shared.value[int(dim)]
                 at = np.flatnonzero(dims == dim)
-                centres = lifted(np.array(few, float).reshape(len(few), -1), top)
+                centres = lifted(np.array([q for _, q in few], float).reshape(len(few), -1), top)
                 for i in range(0, len(at), 4096):
                     part = batch.column(1).take(pa.array(at[i : i + 4096]))
                     x = lifted(matrix(part), top)
@@ -180,6 +180,15 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id",
     queries = vectors.where(is_query).distinct()
     blocks = max(1, -(-queries.count() // block))
     found = None
+
+    def seeds(asked: list, vecs: list[np.ndarray], known: dict) -> list[float]:
+        """A score that the k-th best of each query reaches at least: the k-th best among the pivots, which are candidates too."""
+        out = []
+        for (query_id, _), q in zip(asked, vecs, strict=True):
+            scores = sorted((int(np.dot(np.array(v, object), q.astype(object))) for i, v in known.get(len(q), (0.0, []))[1] if i != query_id), reverse=True)
+            out.append(float(scores[k - 1]) if len(scores) >= k else -np.inf)
+        return out
+
     for b in range(blocks):
         mine = [(r["vec_id"], list(r["q"])) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "q").collect()]
         shared = spark.sparkContext.broadcast((mine, known))
@@ -189,13 +198,14 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id",
             vecs = [np.array(q, np.int64) for _, q in asked]
             sizes = [float(sum(int(x) * int(x) for x in q)) for _, q in asked]
             best: list[list[tuple[int, int]]] = [[] for _ in asked]
+            least = seeds(asked, vecs, known)
             for batch in batches:
                 for dim, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     tree, top = pickle.loads(blob.as_py()), known[dim][0]
                     for n, (query_id, _) in enumerate(asked):
                         if len(vecs[n]) == dim:
                             q = vecs[n].astype(object) if tree["x"].dtype == object or abs(vecs[n]).max(initial=0) >= 1 << 28 else vecs[n]
-                            search(tree, query_id, q, sizes[n], top, best[n], k, -np.inf)
+                            search(tree, query_id, q, sizes[n], top, best[n], k, least[n])
             out = [(asked[n][0], -i, s) for n, heap in enumerate(best) for s, i in heap]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
