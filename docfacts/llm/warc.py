@@ -30,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import new_folder
+from docfacts.llm.common import new_folder, stored
+
+FEW_IDS = 1_000_000
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -50,6 +52,8 @@ def record_types(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     copies = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     # only the later copies need to be told: their ids, found by a join that carries no html
     later = large.select("page_id", "digest").join(copies, "digest").where("page_id > first").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to")).distinct()
+    later = stored(later, "revisits")
+    later = F.broadcast(later) if later.count() <= FEW_IDS else later  # so that the html stays where it is
     return base.join(later, (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
 
