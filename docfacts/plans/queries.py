@@ -1,5 +1,8 @@
-"""The registered queries of the document-fact operators."""
+"""The registered queries of the document-fact operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docfacts.plans import field_queries
+
+PARTS = [field_queries]
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
 FLAGSHIP = "grade_histogram"
