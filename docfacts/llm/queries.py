@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm import html_text, jaccard, linededup, lm_score, merkle, packing, topk, toxicity, warc
+from docfacts.llm import html_text, jaccard, linededup, lm_score, merkle, packing, sentencepiece_lattice, topk, toxicity, warc
 from docfacts.llm.common import table
 
 
@@ -15,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -50,11 +56,16 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece_lattice.load(piece_model_path())
+    return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), pieces).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_line_dedup, op4_ngram_jaccard_join, op5_document_fingerprints, op6_toxicity, op7_html_extraction, op8_exact_top_k, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_line_dedup, op4_ngram_jaccard_join, op5_document_fingerprints, op6_toxicity, op7_html_extraction, op8_exact_top_k, op9_sentencepiece, op10_warc)}
 
 OP3_SQL = r"""
 WITH d AS (

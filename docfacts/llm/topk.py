@@ -16,7 +16,8 @@ distance is computed. Scores are exact integers; bounds have slack for rounding.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
 and rows without id take no part; vectors meet only those of their own length;
-rows with the query's id are its own; repeated rows are candidates each, while
+rows with the query's id are its own, and several vectors of one query id rank
+together; repeated rows are candidates each, while
 equal queries count once; ties go to the smaller id; fewer candidates than k
 give all; an empty table gives no row; other columns are ignored.
 """
