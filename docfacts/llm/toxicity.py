@@ -270,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Score, expected toxic words, greatest marginal and offending spans of every document; ``keep`` passes columns through."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(tuple(vars(model).values()) if model else None)  # plain values: unpickling needs no import of this module
     base = with_text(docs, id_col, text_col)
     if keep:
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
@@ -290,7 +290,7 @@ def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value) if shared.value else None
         vocabulary = pa.array(model.words if model else [], pa.string())
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
