@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import cut, stored, with_text
+from docfacts.llm.common import cut, release_memory, stored, with_text
 from docfacts.llm.packing import slices
 
 FEW_IDS = 1_000_000
@@ -239,6 +239,7 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, or
     pass1 = stored(first_pass(docs, k), "sets")
     rows = pass1.where("token IS NULL").select("doc_id", "n", "f1", "f2")
     frequent = spark.sparkContext.broadcast(frequent_tokens(pass1))
+    release_memory()
 
     part = rows.where("doc_id IS NOT NULL AND n > 0")
     classes = part.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import with_text
+from docfacts.llm.common import release_memory, with_text
 from docfacts.llm.packing import slices
 
 FOLDS = 5
@@ -189,8 +189,12 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
     vocabulary = features.dictionary.filter(pa.array(kept))
     words = vocabulary.to_pylist()
     marks = np.concatenate(([False], found[1:][kept]))
-    del features, codes, of_doc, hashes
+    del features, codes, of_doc, hashes, split, coded, indices
+    release_memory()
     number, tokens, bounds = word_codes(array, vocabulary)
+    tokens = tokens.astype(np.int32)
+    del array
+    release_memory()
     target = marks[number].any(axis=0)[tokens] & np.repeat(toxic, np.diff(bounds))
 
     cuts = np.concatenate([np.arange(a, b, window) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] + [np.array([bounds[-1]])])
@@ -234,6 +238,7 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
         emit += 0.15 * (moment[0] / a) / (np.sqrt(moment[1] / b) + 1e-2)
         bias += 0.15 * (moment[2] / a) / (np.sqrt(moment[3] / b) + 1e-2)
 
+    del moment, grad, p, gap, of_word, x, y, take, target, prev, inner
     z = []
     for i in range(0, len(bounds) - 1, 200):
         at = bounds[i : i + 201]
@@ -264,7 +269,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     few = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in picked], "doc_id long, y int")
     rows = with_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(most_toxic + most_clean).collect()
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+    texts, known_labels = [r["text"] for r in rows], [r["y"] for r in rows]
+    del rows
+    model = fit(texts, known_labels)
+    del texts
+    release_memory()
+    return model
 
 
 def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
