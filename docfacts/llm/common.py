@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task function, whose worker gives freed memory back at the end of the task: workers live on beside the executor's heap."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return tidied
+
+
 def with_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty), whatever else the table has."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docfacts.llm.common import tidy
 from docfacts.llm.packing import slices
 
 TOKEN = re.compile(
@@ -200,4 +201,4 @@ def extract(pages: DataFrame, weights: Weights | None = None, id_col: str = "pag
                 texts = [main_text(h, weights) for h in rows.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return base.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return base.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import cut, release_memory, stored, with_text
+from docfacts.llm.common import cut, release_memory, stored, tidy, with_text
 from docfacts.llm.packing import slices
 
 FEW_IDS = 1_000_000
@@ -128,7 +128,7 @@ def first_pass(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield repeated()
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, token long, count long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, token long, count long")
 
 
 def prefixes(docs: DataFrame, frequent, k: int, num: int, den: int, orders: int) -> DataFrame:
@@ -168,7 +168,7 @@ def prefixes(docs: DataFrame, frequent, k: int, num: int, den: int, orders: int)
                     ["doc_id", "n", "f1", "f2", "first", "others"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, first array<long>, others array<array<int>>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, first array<long>, others array<array<int>>")
 
 
 def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -213,9 +213,9 @@ def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int, num: i
                 keep.append(den * both >= num * (len(s) + len(t) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = among(docs, ids, ["doc_id"], "left_semi").mapInArrow(sets, "doc_id long, tokens binary").distinct()
+    whole = among(docs, ids, ["doc_id"], "left_semi").mapInArrow(tidy(sets), "doc_id long, tokens binary").distinct()
     met = left.join(whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return stored(met.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long").distinct(), "links")
+    return stored(met.select("a", "b", "ta", "tb").mapInArrow(tidy(compare), "a long, b long").distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import with_text
+from docfacts.llm.common import tidy, with_text
 
 SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+").findall
 WORD = re.compile(r"\s*\S+\s*").findall
@@ -168,7 +168,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     ["doc_id", "root", "n_chars", "sections"],
                 )
 
-    return with_text(df, id_col, text_col).mapInArrow(run, TREES)
+    return with_text(df, id_col, text_col).mapInArrow(tidy(run), TREES)
 
 
 COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_spans array<struct<start:long,end:long>>"
@@ -191,7 +191,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             place = np.asarray(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(ranged(place).astype(np.int64)), batch.column(0)], ["range", "place"])
 
-    firsts = {r["range"]: r["place"] for r in docs.select("place").mapInArrow(number, "range long, place long").groupBy("range").agg(F.min("place").alias("place")).collect()}
+    firsts = {r["range"]: r["place"] for r in docs.select("place").mapInArrow(tidy(number), "range long, place long").groupBy("range").agg(F.min("place").alias("place")).collect()}
     full = sorted(firsts)
     before = {firsts[r]: full[i - 1] for i, r in enumerate(full)}  # also of the first: the last
 
@@ -206,7 +206,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 b = batch.take(pa.array(tails))
                 yield pa.RecordBatch.from_arrays([pa.array([before[p] for p in b.column(2).to_pylist()], pa.int64()), pa.array([1] * len(tails), pa.int32()), b.column(2), b.column(0), b.column(1)], names)
 
-    dealt = docs.mapInArrow(deal, "range long, tail int, place long, doc_id long, text string").repartition(partitions, "range").sortWithinPartitions("range", "tail", "place", "text")
+    dealt = docs.mapInArrow(tidy(deal), "range long, tail int, place long, doc_id long, text string").repartition(partitions, "range").sortWithinPartitions("range", "tail", "place", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -231,4 +231,4 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
                 out = []
 
-    return dealt.mapInArrow(run, COMPARED)
+    return dealt.mapInArrow(tidy(run), COMPARED)

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from docfacts.llm.common import with_text
+from docfacts.llm.common import tidy, with_text
 
 #: Fixed values of the tokenised form.
 WINDOW = 4096
@@ -60,7 +60,7 @@ class WordEncoder:
     memory; beyond it the cache starts anew.
     """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -245,7 +245,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if packer.out:
             yield flush()
 
-    return with_text(df, id_col, text_col).mapInArrow(run, SCHEMA)
+    return with_text(df, id_col, text_col).mapInArrow(tidy(run), SCHEMA)
 
 
 def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import release_memory, with_text
+from docfacts.llm.common import release_memory, tidy, with_text
 from docfacts.llm.packing import slices
 
 FOLDS = 5
@@ -322,7 +322,7 @@ def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
                     columns, names = [*columns, rows.column(2)], [*names, "row"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
