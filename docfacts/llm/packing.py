@@ -16,6 +16,7 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 import types
@@ -61,6 +62,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, cache_words: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads; the library's own would each hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -110,8 +112,8 @@ class WordEncoder:
                 for p in parts:
                     ids.extend(self.part(p))
                 self.keep(word, ids)
-        for i in range(0, len(hard), 8192):
-            for word, got in zip(hard[i : i + 8192], self.tokenizer.encode_batch_fast(hard[i : i + 8192], add_special_tokens=False), strict=True):
+        for i in range(0, len(hard), 512):
+            for word, got in zip(hard[i : i + 512], self.tokenizer.encode_batch_fast(hard[i : i + 512], add_special_tokens=False), strict=True):
                 self.keep(word, got.ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
