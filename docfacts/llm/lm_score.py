@@ -1,18 +1,22 @@
 """LM scoring: cross-entropy difference of two matched bigram models.
 
 The background model counts all documents, the target model those marked as
-target. Both have one vocabulary (words with at least 1/100,000 of all tokens,
-so never more than 100,000; all others are one unknown word) and one set of
-bigrams (those with at least 1/2^20 of all tokens, so never more than 2^20),
-both chosen by the background counts, and the same smoothing. What is broadcast
-is bounded by these shares, however large the corpus; the counts behind them
-are gathered over all documents by shuffles that grow with it.
-
-p(w | h) = (c(h, w) + mu p(w)) / (c(h) + mu), p(w) = (c(w) + 1) / (N + V), with
-c(h) the sum over the kept bigrams of h; each is a proper distribution over the
-vocabulary with the unknown word. A document's score is the difference per
+target. Both have one vocabulary (every word) and every bigram of the
+documents, and the same smoothing. Nothing is cut, whatever its frequency.
+
+p(w | h) = (c(h, w) + mu p(w)) / (c(h) + mu), p(w) = (c(w) + 1) / (N + V + 1), with
+c(h) the sum over the bigrams of h and V the number of distinct words; each is a
+proper distribution over the vocabulary and one unknown word. A document's score is the difference per
 token, target less background cross-entropy: lower is more like the target.
 
+Only speed depends on frequency. Words with at least 1/100,000 of all tokens
+and bigrams of these with at least 1/2^20 (so never more than 100,000 and 2^20)
+are broadcast with their counts and scored in place, so no key that is shuffled
+is hot. All other bigrams of a document go, with their number, to the task that
+meets all of the same key: it counts them there, and their parts of the score
+go back to their document. These shuffles grow with the corpus. Words are told
+apart by a 64-bit hash.
+
 Defined cases: null or empty text has no tokens and scores 0; repeated rows
 count and score each; without target documents the target model is uniform;
 target ids without document are ignored, and rows without id are background; other columns are ignored.
@@ -26,33 +30,39 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import release_memory, tidy, with_text
-from docfacts.llm.jaccard import FEW_IDS
+from docfacts.llm.common import release_memory, stored, tidy, with_text
+from docfacts.llm.jaccard import FEW_IDS, mixed
 from docfacts.llm.packing import slices
 
 WORD_SHARE = 100_000
 BIGRAM_SHARE = 1 << 20
 MU = 50.0
-LONGEST_WORD = 64  # longer runs are unknown words, so that the vocabulary's bytes are bounded too
+START = 1  # stands for the hash of the word before the first
 
 
 @dataclass
 class Models:
-    words: pa.Array  # sorted; word i has code i + 1, the unknown word 0, the start of a text len + 1
-    pairs: np.ndarray  # sorted codes h * (len + 2) + w of the kept bigrams
+    """What is broadcast of both models: the frequent words and bigrams with their counts among all, and the totals."""
+
+    words: np.ndarray  # sorted hashes; word i has code i + 1, any other word 0, the start of a text len + 1
+    pairs: np.ndarray  # sorted codes h * (len + 2) + w of the frequent bigrams
     seen: np.ndarray  # 2 x pairs: log p(w | h), background and target
-    word: np.ndarray  # 2 x codes: log mu p(w)
+    word: np.ndarray  # 2 x codes: log mu p(w); code 0 is a word never seen
     history: np.ndarray  # 2 x codes: log (c(h) + mu)
+    count: np.ndarray  # 2 x words: c(w)
+    total: tuple[int, int]  # N + V + 1 of both
 
 
 def flagged(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, target. The ids are broadcast where they were counted to be few."""
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id"), F.lit(True).alias("t")).where("doc_id IS NOT NULL").distinct()
     base = with_text(docs, id_col, text_col)
-    return base.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "doc_id", "left").select("doc_id", "text", F.coalesce("t", F.lit(False)).alias("target"))
+    few = ids.count() <= FEW_IDS
+    marked = base.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("doc_id", "text", F.coalesce("t", F.lit(False)).alias("target"))
+    return marked if few else stored(marked, "marked")  # rows are numbered by their place later on, which a shuffle does not keep
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -68,38 +78,64 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, tokens, bounds
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of distinct words, the distinct word of each token, and where each text's tokens begin."""
+    from xxhash import xxh3_64_intdigest
+
+    words, tokens, bounds = split_words(texts)
+    return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words)).view(np.int64), tokens, bounds
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
+    """word, its tokens n and t of these in target documents, and hn and ht of them with a word after."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slices(batch.column(1), 32 << 20):
-                words, tokens, bounds = split_words(batch.column(1).slice(i, j - i))
-                target = np.repeat(np.asarray(batch.column(2).slice(i, j - i)).astype(bool), np.diff(bounds))
+                words, tokens, bounds = word_hashes(batch.column(1).slice(i, j - i))
+                size = np.diff(bounds)
+                chosen = np.asarray(batch.column(2).slice(i, j - i)).astype(bool)
+                target, last = np.repeat(chosen, size), bounds[1:][size > 0] - 1
                 n, t = np.bincount(tokens, minlength=len(words)), np.bincount(tokens[target], minlength=len(words))
+                hn, ht = n - np.bincount(tokens[last], minlength=len(words)), t - np.bincount(tokens[last[target[last]]], minlength=len(words))
                 used = n > 0
-                yield pa.RecordBatch.from_arrays([words.filter(pa.array(used)), pa.array(n[used]), pa.array(t[used])], ["word", "n", "t"])
+                begun = [START, 0, 0, int((size > 0).sum()), int(((size > 0) & chosen).sum())]
+                columns = [pa.array(np.append(c[used], x)) for c, x in zip((words, n, t, hn, ht), begun, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "n", "t", "hn", "ht"])
 
-    return docs.select("doc_id", "text", "target").mapInArrow(tidy(run), "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    made = docs.select("doc_id", "text", "target").mapInArrow(tidy(run), "word long, n long, t long, hn long, ht long")
+    return made.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "t", "hn", "ht")])
 
 
-def codes_of(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of words and of the words before them, and where each text's tokens begin."""
-    words, tokens, bounds = split_words(texts)
-    code = np.asarray(pc.fill_null(pc.add(pc.index_in(words, vocabulary), 1), 0)).astype(np.int64)[tokens]
-    before = np.empty_like(code)
-    before[1:] = code[:-1]
-    before[bounds[:-1][np.diff(bounds) > 0]] = len(vocabulary) + 1
-    return code, before, bounds
+def places(x: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of x is among the sorted known ones, and whether it is."""
+    at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+    return at, (known[at] == x if len(known) else np.zeros(len(x), bool))
+
+
+def codes_of(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    at, hit = places(words, vocabulary)
+    return np.where(hit, at + 1, 0).astype(np.int64)
+
+
+def words_before(tokens: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[bounds[:-1][np.diff(bounds) > 0]] = start
+    return before
 
 
 def pair_counts(docs: DataFrame, vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary.value
+        frequent = vocabulary.value
         for batch in batches:
             for i, j in slices(batch.column(1), 16 << 20):
-                code, before, bounds = codes_of(batch.column(1).slice(i, j - i), words)
+                words, tokens, bounds = word_hashes(batch.column(1).slice(i, j - i))
+                code = codes_of(words, frequent)[tokens]
+                before = words_before(code, bounds, len(frequent) + 1)
                 target = np.repeat(np.asarray(batch.column(2).slice(i, j - i)).astype(bool), np.diff(bounds))
                 known = (code > 0) & (before > 0)
-                pair, where = np.unique(before[known] * (len(words) + 2) + code[known], return_inverse=True)
+                pair, where = np.unique(before[known] * (len(frequent) + 2) + code[known], return_inverse=True)
                 n, t = np.bincount(where, minlength=len(pair)), np.bincount(where[target[known]], minlength=len(pair))
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n), pa.array(t)], ["pair", "n", "t"])
 
@@ -107,53 +143,115 @@ def pair_counts(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def train(docs: DataFrame) -> Models:
-    """Both models from a table of doc_id, text, target."""
+    """The totals and the frequent part of both models, from a table of doc_id, text, target."""
     spark = docs.sparkSession
-    counts = word_counts(docs).cache()
-    total = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    n, t = total["n"] or 0, total["t"] or 0
-    kept = counts.where((F.col("n") * WORD_SHARE >= n) & (F.length("word") <= LONGEST_WORD)).toArrow().sort_by("word").combine_chunks()
-    counts.unpersist()
-    words = (kept["word"].combine_chunks() if isinstance(kept["word"], pa.ChunkedArray) else kept["word"]).cast(pa.string())
+    counts = stored(word_counts(docs), "words")
+    total = counts.agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.count_if(F.col("n") > 0).alias("v")).first()
+    n, t, types = total["n"] or 0, total["t"] or 0, total["v"]
+    begun = counts.where(F.col("word") == START).first()
+    kept = counts.where((F.col("n") * WORD_SHARE >= n) & (F.col("word") != START)).toArrow().sort_by("word")
+    words = np.asarray(kept["word"]).astype(np.int64)
     size = len(words)
-    one = np.zeros((2, size + 2))
-    for row, (name, all_tokens) in enumerate((("n", n), ("t", t))):
-        own = np.asarray(kept[name]).astype(float)
-        one[row, 1 : size + 1] = own
-        one[row, 0] = all_tokens - own.sum()
-    p = (one[:, : size + 1] + 1) / (np.array([[n], [t]]) + size + 1)
+    whole = (n + types + 1, t + types + 1)
+    count = np.array([np.asarray(kept["n"]), np.asarray(kept["t"])]).astype(float).reshape(2, -1)
+    p = np.concatenate((np.ones((2, 1)), count + 1), axis=1) / np.array(whole)[:, None]
+    after = np.zeros((2, size + 2))
+    for row, name in enumerate(("hn", "ht")):
+        after[row, 1 : size + 1] = np.asarray(kept[name])
+        after[row, size + 1] = begun[name] if begun else 0
 
     found = pair_counts(docs, spark.sparkContext.broadcast(words)).where(F.col("n") * BIGRAM_SHARE >= n).toArrow().sort_by("pair")
     pair = np.asarray(found["pair"]).astype(np.int64)
     two = np.array([np.asarray(found["n"]), np.asarray(found["t"])]).astype(float).reshape(2, -1)
     h, w = pair // (size + 2), pair % (size + 2)
-    history = np.array([np.bincount(h, row, size + 2) for row in two])
-    seen = np.log((two + MU * p[:, w]) / (history[:, h] + MU))
-    return Models(words, pair, seen, np.log(MU * p), np.log(history + MU))
+    seen = np.log((two + MU * p[:, w]) / (after[:, h] + MU))
+    return Models(words, pair, seen, np.log(MU * p), np.log(after + MU), count, whole)
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, ce_background, ce_target (nats a token) and score, their difference."""
+BASE, PAIR, RARE_WORD, RARE_HISTORY = range(4)
+PARTS = "kind byte, key long, before long, row long, target boolean, m long, code int, base struct<doc_id: bigint, size: bigint, n: double, t: double>"
+
+
+def parts(docs: DataFrame, models: Models) -> DataFrame:
+    """One row of kind BASE for each document, with the part of its score that the frequent words and bigrams give, and a row for each count that is still needed.
+
+    PAIR and RARE_WORD: a bigram (before, w) that the document has m times; the key has all rows of the bigram if w is frequent,
+    and else all rows of w. RARE_HISTORY: a word, the key, that the document has m times before another.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(models).values()))  # plain values: unpickling needs no import of this module
+    names = [c.split()[0] for c in PARTS.split(", base")[0].split(", ")] + ["base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         m = Models(*shared.value)
+        size, row0 = len(m.words), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for i, j in slices(batch.column(1), 8 << 20):
-                code, before, bounds = codes_of(batch.column(1).slice(i, j - i), m.words)
-                pair = before * (len(m.words) + 2) + code
-                at = np.minimum(np.searchsorted(m.pairs, pair), max(0, len(m.pairs) - 1))
-                hit = m.pairs[at] == pair if len(m.pairs) else np.zeros(len(pair), bool)
-                size = np.diff(bounds)
-                entropy = []
-                for row in range(2):
-                    log_p = m.word[row][code] - m.history[row][before]
-                    log_p[hit] = m.seen[row][at[hit]]
-                    ends = np.concatenate(([0.0], np.cumsum(log_p)))
-                    entropy.append(-(ends[bounds[1:]] - ends[bounds[:-1]]) / np.maximum(size, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(entropy[0]), pa.array(entropy[1]), pa.array(entropy[1] - entropy[0])], ["doc_id", "n_tokens", "ce_background", "ce_target", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, ce_background double, ce_target double, score double")
+            for i, j in slices(batch.column(1)):
+                words, tokens, bounds = word_hashes(batch.column(1).slice(i, j - i))
+                target, length, own = np.asarray(batch.column(2).slice(i, j - i)).astype(bool), np.diff(bounds), len(words)
+                hashes, codes = np.append(words, START), np.append(codes_of(words, m.words), size + 1)
+                tokens = tokens.astype(np.int64)
+                before = words_before(tokens, bounds, own)
+                found, times = np.unique((np.repeat(np.arange(j - i), length) * (own + 1) + before) * max(own, 1) + tokens, return_counts=True)
+                w, held = found % max(own, 1), found // max(own, 1)
+                h, doc = held % (own + 1), held // (own + 1)
+                cw, ch = codes[w], codes[h]
+                at, hot = places(ch * (size + 2) + cw, m.pairs)
+                hot &= (cw > 0) & (ch > 0)
+                plain = ~hot & (ch > 0)
+                sums = [
+                    np.bincount(doc[hot], times[hot] * m.seen[r][at[hot]], j - i) - np.bincount(doc[plain], times[plain] * m.history[r][ch[plain]], j - i)
+                    for r in range(2)
+                ]
+
+                left = ~hot
+                with np.errstate(over="ignore"):
+                    both = mixed(hashes[h[left]].view(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + hashes[w[left]].view(np.uint64)).view(np.int64)
+                frequent = cw[left] > 0
+                rare = ch == 0
+                lone, where = np.unique(held[rare], return_inverse=True)
+                often = np.bincount(where, times[rare], len(lone)).astype(np.int64)
+                lone_doc = lone // (own + 1)
+                docs_of = np.concatenate((np.arange(j - i), doc[left], lone_doc))
+                k, z = len(lone), np.zeros(j - i, np.int64)
+                columns = [
+                    np.concatenate((z + BASE, np.where(frequent, PAIR, RARE_WORD), np.full(k, RARE_HISTORY))).astype(np.int8),
+                    np.concatenate((row0 + np.arange(j - i), np.where(frequent, both, hashes[w[left]]), hashes[lone % (own + 1)])),
+                    np.concatenate((z, hashes[h[left]], np.zeros(k, np.int64))),
+                    row0 + docs_of,
+                    target[docs_of],
+                    np.concatenate((z, times[left], often)),
+                    np.concatenate((z, cw[left], np.zeros(k, np.int64))).astype(np.int32),
+                ]
+                none = len(docs_of) - (j - i)
+                base = [pa.concat_arrays([c.cast(kind), pa.nulls(none, kind)]) for c, kind in ((batch.column(0).slice(i, j - i), pa.int64()), (pa.array(length), pa.int64()), (pa.array(sums[0]), pa.float64()), (pa.array(sums[1]), pa.float64()))]
+                base = pa.StructArray.from_arrays(base, ["doc_id", "size", "n", "t"], mask=pa.array(np.arange(len(docs_of)) >= j - i))
+                row0 += j - i
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), base], names)
+
+    return docs.select("doc_id", "text", "target").mapInArrow(tidy(run), PARTS)
+
+
+def score(docs: DataFrame, models: Models) -> DataFrame:
+    """doc_id, n_tokens, ce_background, ce_target (nats a token) and score, their difference."""
+    frequent = pa.table({"code": pa.array(np.arange(1, len(models.words) + 1), pa.int32()), "wn": models.count[0], "wt": models.count[1]})
+    known = docs.sparkSession.createDataFrame(frequent)
+    made = parts(docs, models).repartition("kind", "key").sortWithinPartitions("kind", "key", "before")
+    of_key, of_pair = Window.partitionBy("kind", "key"), Window.partitionBy("kind", "key", "before")
+    m, mt = F.col("m"), F.when(F.col("target"), F.col("m")).otherwise(0)
+    counted = made.select("*", F.sum(m).over(of_key).alias("kn"), F.sum(mt).over(of_key).alias("kt"), F.sum(m).over(of_pair).alias("pn"), F.sum(mt).over(of_pair).alias("pt"))
+    counted = counted.join(F.broadcast(known), "code", "left")
+
+    def part(side: str, row: int):
+        kind = F.col("kind")
+        word = F.when(kind == PAIR, F.col(f"w{side}")).otherwise(F.col(f"k{side}"))
+        pair = m * F.log(F.col(f"p{side}") + MU * (word + 1) / F.lit(float(models.total[row])))
+        return F.when(kind == BASE, F.col(f"base.{side}")).when(kind == RARE_HISTORY, -m * F.log(F.col(f"k{side}") + MU)).otherwise(pair)
+
+    sums = counted.select("row", "base.doc_id", "base.size", part("n", 0).alias("n"), part("t", 1).alias("t")).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_tokens"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    entropy = lambda c: F.when(F.col("n_tokens") > 0, -F.col(c) / F.col("n_tokens")).otherwise(0.0)
+    return sums.select("doc_id", "n_tokens", entropy("n").alias("ce_background"), entropy("t").alias("ce_target"), (entropy("t") - entropy("n")).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -202,6 +202,31 @@ def test_lm_scores_prefer_the_target(spark):
     assert lm_score.cross_entropy_difference(docs.limit(0), ids).count() == 0
 
 
+def test_lm_scores_are_of_the_uncut_models(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c"]) for _ in range(4000)), "s") for i in range(30)]
+    rows += [(40 + i, f"a rare{i // 2} b lone{i} {'x' * 70}{i // 3} rare{i // 2} c", "s") for i in range(6)] + [(50, None, "s"), (None, "rare1 b a", "s"), (41, "b rare0 b", "s")]
+    good = {0, 1, 41, 42, 44}
+    lists = [(i, (t or "").lower().split(), i in good) for i, t, _ in rows]
+    one, two, before = ([Counter(), Counter()] for _ in range(3))
+    for _, ws, target in lists:
+        for r in range(1 + target):
+            one[r].update(ws)
+            two[r].update(zip(["<s>", *ws], ws, strict=False))
+            before[r].update(["<s>", *ws][: len(ws)])
+    assert sum(one[0].values()) > 100_000 and min(one[0].values()) == 1
+    want = Counter()
+    for i, ws, _ in lists:
+        ce = []
+        for r in range(2):
+            p = {w: (one[r][w] + 1) / (sum(one[r].values()) + len(one[0]) + 1) for w in ws}
+            logs = [np.log((two[r][h, w] + 50 * p[w]) / (before[r][h] + 50)) for h, w in zip(["<s>", *ws], ws, strict=False)]
+            ce.append(-sum(logs) / max(1, len(ws)))
+        want[i, len(ws), round(ce[0], 6), round(ce[1], 6), round(ce[1] - ce[0], 6)] += 1
+    got = lm_score.cross_entropy_difference(make(spark, rows), spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    assert Counter((r.doc_id, r.n_tokens, *(round(x, 6) for x in r[2:])) for r in got.collect()) == want
+
+
 def toxic_rows(rng, n):
     rows, labels = [], []
     for i in range(n):
