@@ -77,7 +77,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     words, bounds = word_hashes(texts)
     with np.errstate(over="ignore"):
         grams = words.copy()
-        for j in range(1, k):
+        for j in range(1, min(k, len(words))):
             grams[: len(words) - j] = mixed(grams[: len(words) - j] * np.uint64(0x2545F4914F6CDD1D) + words[j:], j)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if b - a >= k:

@@ -117,6 +117,23 @@ def test_chains_and_large_groups_keep_their_links(spark):
     assert Counter(map(tuple, got)) == components_by_hand(out, 4, 85, 100)
 
 
+@pytest.mark.parametrize("k", [4, 5])
+def test_shingles_of_a_few_words_in_all(k):
+    import pyarrow as pa
+
+    for n in range(1, k + 1):
+        (own,) = jaccard.shingle_sets(pa.array([" ".join("abcde"[:n])]), k)
+        both = list(jaccard.shingle_sets(pa.array([" ".join("abcde"[:n]), "p q r s t u v"]), k))
+        assert len(own) == 1 and own.tolist() == both[0].tolist() and len(both[1]) == 8 - k
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_duplicates_of_one_short_document(spark, k):
+    for n in (2, 3):
+        got = jaccard.near_duplicates(make(spark, [(7, " ".join("abcde"[:n]), "s")]), k, 80, 100).collect()
+        assert list(map(tuple, got)) == [(7, 1, 7)]
+
+
 def test_near_duplicates_of_nothing(spark, rows):
     assert jaccard.near_duplicates(make(spark, rows).limit(0)).count() == 0
 
