@@ -9,6 +9,9 @@ inside, also when the words outside it count threefold.
 
 Within the region, elements that are never content (scripts, forms, menus,
 adverts, notices, comments, ...) are skipped; the rest becomes blocks of text.
+Where only a class, id, role or label says so, a whole one of its words has to, and an
+element is not skipped that holds the page's one ``article`` (or else ``main``)
+element, or, on pages without, most of the page's words.
 
 Defined cases: null or empty html gives an empty text; a page without words
 gives an empty text; repeated rows give equal texts; without labelled pages the
@@ -32,12 +35,14 @@ from docfacts.llm.packing import slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea|noscript|template|iframe|svg|title|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<closed>svg)(?=[\s/])[^>]*/>"
+    r"|<(?P<raw>script|style|textarea|noscript|template|iframe|svg|title|object)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>|<[a-z][^<>]*(?:>|\Z)",
     re.I | re.S,
 )
-HINT = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*["']?[^"'>]*?(?<![a-z0-9])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|side-?bar|foot(?:er)?|cookies?|consent|notices?|alert|popup|modal|comments?|repl(?:y|ies)|disqus|share|social|related|recommend\w*|breadcrumbs?|subscribe|newsletter|login|search|pager|pagination|toolbar|complementary|navigation|contentinfo|dialog)(?![a-z0-9])""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HINT = re.compile(r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|side-?bar|foot(?:er)?|cookies?|consent|notices?|alert|popup|modal|comments?|repl(?:y|ies)|disqus|share|social|related|recommend\w*|breadcrumbs?|subscribe|newsletter|login|search|pager|pagination|toolbar|complementary|navigation|contentinfo|dialog)", re.I)
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDERS = frozenset("article aside div footer form header main nav section table ul ol dl figure body head button select details dialog label".split())
 NEVER = frozenset("nav footer aside form header button select dialog menu head".split())
@@ -66,15 +71,47 @@ class Unit:
     skipped: bool
 
 
+def is_hinted(rest: str) -> bool:
+    """Whether a class, id or role (each of their words by itself) or the label as a whole names what is never content."""
+    for m in ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role") and any(map(HINT.fullmatch, value.split())) or name == "aria-label" and HINT.fullmatch(value.strip()):
+            return True
+    return False
+
+
+@dataclass
+class Held:
+    """What a hinted element holds, and the place of the hinted one around it (-1: none)."""
+
+    around: int
+    words: int = 0
+    article: int = 0
+    main: int = 0
+
+
 def units(page: str) -> list[Unit]:
+    out, held = parse(page, frozenset())
+    opens = [u.key for u in out]
+    one = next((name for name in ("article", "main") if opens.count(f"<{name}") == 1), None)
+    total = sum(u.words for u in out)
+    spared = frozenset(i for i, h in enumerate(held) if (getattr(h, one) if one else 2 * h.words > total))
+    return parse(page, spared)[0] if spared else out
+
+
+def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
+    """The units, and what each hinted element holds; the hints of those ``spared`` do not count."""
     out: list[Unit] = []
-    stack: list[tuple[str, str, bool]] = []  # name, key, whether it or one above is never content
+    held: list[Held] = []
+    stack: list[tuple[str, str, bool, int]] = []  # name, key, whether it or one above is never content, the innermost hinted one
     at = 0
 
     def words(text: str) -> None:
         if n := len(text.split()):
-            top = stack[-1] if stack else ("", "", False)
+            top = stack[-1] if stack else ("", "", False, -1)
             out.append(Unit(top[1], n, text, False, top[2]))
+            if top[3] >= 0:
+                held[top[3]].words += n
         elif text:
             out.append(Unit("", 0, " ", False, False))
 
@@ -84,7 +121,7 @@ def units(page: str) -> list[Unit]:
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
-            out.append(Unit("<" + (m["raw"] or "!").lower(), 0, "", False, False))
+            out.append(Unit("<" + (m["raw"] or m["closed"] or "!").lower(), 0, "", False, False))
             continue
         if name not in HOLDERS:
             out.append(Unit(f"<{m['end']}{name}", 0, "", name in BLOCKS, False))
@@ -96,15 +133,27 @@ def units(page: str) -> list[Unit]:
                 del stack[depth:]
             out.append(Unit(f"</{key}", 0, "", name in BLOCKS, False))
         else:
-            hinted = bool(m["rest"]) and bool(HINT.search(m["rest"]))
-            key = f"{name}~" if hinted and name not in ("body", "article", "main") else name
+            within = stack[-1][3] if stack else -1
+            key = name
+            if name in ("article", "main"):
+                if within >= 0:
+                    setattr(held[within], name, 1)
+            elif name != "body" and m["rest"] and is_hinted(m["rest"]):
+                if len(held) not in spared:
+                    key = f"{name}~"
+                held.append(Held(within))
+                within = len(held) - 1
             never = key.endswith("~") or name in NEVER
             out.append(Unit(f"<{key}", 0, "", name in BLOCKS, False))
             if not m["rest"].endswith("/"):
-                stack.append((name, key, never or bool(stack and stack[-1][2])))
+                stack.append((name, key, never or bool(stack and stack[-1][2]), within))
     if at < len(page):
         words(page[at:])
-    return out
+    for h in reversed(held):
+        if h.around >= 0:
+            up = held[h.around]
+            up.words, up.article, up.main = up.words + h.words, up.article + h.article, up.main + h.main
+    return out, held
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

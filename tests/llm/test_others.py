@@ -26,6 +26,25 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrap", ['class="entry-content no-sidebar"', 'id="page" class="has-sidebar"', 'id="related-work"', 'class="single social-share-enabled"', 'data-id="x-nav"', 'data-x="a class=nav"', 'class="sidebar"', "class=search"])
+def test_wrappers_do_not_hide_the_page(wrap):
+    text = "Head line\nFirst & second part.\nMore boldtext here, with enough words to count."
+    weights = html_text.learn([PAGE] * 5)
+    assert html_text.main_text(PAGE.replace("<article>", f"<div {wrap}><article>").replace("</article>", "</article></div>"), weights) == text
+    assert html_text.main_text(f"<div {wrap}><p>plain words of the page</p></div><p>more", html_text.Weights()) == "plain words of the page"
+
+
+@pytest.mark.parametrize("hint", ['class="ad"', 'class="x share y"', "id=comments", "role='navigation'", 'aria-label="breadcrumb"'])
+def test_hinted_elements_are_skipped(hint):
+    assert html_text.main_text(f"<p>one two three four five six seven <div {hint}>eight nine</div> ten eleven twelve", html_text.Weights()) == "one two three four five six seven\nten eleven twelve"
+
+
+def test_raw_names_end_and_closed_images_are_empty():
+    weights = html_text.Weights()
+    assert html_text.main_text("<p>one two <svg width='1'/>three four</p><p>five six", weights) == "one two three four\nfive six"
+    assert html_text.main_text("<title-bar>one two</title-bar> three <svg><text>x</text></svg>four", weights) == "one two three four"
+
+
 def test_best_region_equals_brute_force():
     rng = random.Random(0)
     for _ in range(200):
