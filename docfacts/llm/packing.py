@@ -118,13 +118,14 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids begin (one entry more than texts)."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
         bounds = np.asarray(split.offsets).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        raw = coded.dictionary  # special tokens begin with "<" and keep their case
+        words = pc.if_else(pc.match_substring(raw, "<"), raw, pc.ascii_lower(raw)).to_pylist()
         if len(self.slot) > self.cache_words:
             self.reset()
-        self.learn(words)
+        self.learn(list(dict.fromkeys(words)))
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
         known = np.array(self.ends)
         start = known[slots]

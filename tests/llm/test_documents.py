@@ -79,6 +79,17 @@ def test_word_encoder_equals_the_tokenizer():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+def test_special_tokens_keep_their_case():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = ["End <|ENDOFTEXT|> Now<|StartOfText|>x", "<|endoftext|> A<B a<b 日本 日本", "WORD word Word é É"]
+    ids, at = packing.WordEncoder(path).encode(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+
+
 def components_by_hand(rows, k, num, den):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
