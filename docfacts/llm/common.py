@@ -53,6 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove ``stored`` tables of a finished step from the shared folder; nothing may read them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        home = shared_dir(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/docfacts-" in folder and home.split(":", 1)[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: allocators keep it otherwise, beside the JVM's."""
     gc.collect()

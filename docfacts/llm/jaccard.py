@@ -2,23 +2,26 @@
 
 A document is its set of distinct word shingles. When two sets reach the
 threshold t, the first |A| - ceil(t |A|) + 1 tokens of each under any global
-order share a token (prefix filter). Here that must hold under several orders:
-all put tokens of very many documents last and break ties by different hashes.
-The first order yields candidates through an index of its prefixes; a candidate
-must also share a prefix token under every other order and have a size that can
-reach t; only then are whole sets compared, exactly.
-
-Equal sets are one class from the start. Within an index entry (the classes
-that share a prefix token) pairs are not enumerated: one class, the leader, meets all
-others, and classes that are connected by now need not meet. After a few rounds
-of new leaders only pairs of classes that are still apart and were never
-compared are left, and those are all compared: no link is lost.
-
-Memory and skew: one batch of texts a task; index entries are joined by token
-with partial sums first, so that a hot token is split by the adaptive skew join.
-What is broadcast: the frequent tokens (each at least 1/2^21 of all, so at most
-2^21), and lists of ids where they were counted to be few, with a shuffled join
-beyond. Links and components stay distributed.
+order share a token (prefix filter). Here that must hold under four orders. The first
+puts a zone of the hash range first and, within it, rare tokens before frequent
+ones by their number of sets; most sets have so many tokens of their own there
+that nothing is left to meet others on, and they are done. Over the others the
+second order puts all tokens the same way: a passage or a template shared by many documents
+comes last. Its prefixes are indexed. The last two orders go by hashes. A candidate must share a prefix
+token under each of them, have a size that can reach t and enough in common in the first
+part of the second order; only then are whole sets compared, exactly.
+
+Equal sets are one node from the start. Within an index entry (the nodes
+that share a prefix token) pairs are not enumerated: one node, the leader, meets
+the others, and nodes that are connected by now need not meet. What is left apart after
+a few leaders is met by a join that makes a pair once, at its first common token, and
+only if sizes and the common part of their first tokens allow the threshold: no link is lost.
+
+Memory and skew: one slice of texts a task; tokens are counted with partial
+sums, and entries are joined by token, so that a hot token is split by the adaptive skew join.
+What is broadcast: lists of ids where they were counted to be few, with a
+shuffled join beyond. Tokens, links and components stay distributed. Tables of a
+finished step are removed from the shared folder.
 
 Defined cases: null or blank text is an empty set, linked with nothing, its own
 component; texts shorter than a shingle are one token, the whole sequence;
@@ -37,12 +40,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import cut, release_memory, stored, tidy, with_text
+from docfacts.llm.common import discard, stored, tidy, with_text
 from docfacts.llm.packing import slices
 
 FEW_IDS = 1_000_000
-FREQUENT_SHARE = 21  # a token is frequent from 1/2^21 of all on
-CHUNK = 4_000_000
 
 
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -95,196 +96,215 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def first_pass(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, f1, f2) of each document, and (token, count) of tokens repeated within a chunk."""
+def lists(parts: list[np.ndarray], kind: type, arrow: pa.DataType) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, parts[0].dtype if parts else kind)]).view(kind), arrow))
+
+
+def fingerprint(s: np.ndarray, key: np.ndarray | None = None) -> tuple[int, int]:
+    """Two sums over the hashes of a set, which tell sets apart."""
+    key = mixed(s, 20) if key is None else key
+    with np.errstate(over="ignore"):
+        return int(key.sum(dtype=np.uint64).view(np.int64)), int((key * key).sum(dtype=np.uint64).view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "f1", "f2", "token", "count"]
-        held: list[np.ndarray] = []
-        size = 0
 
-        def repeated() -> pa.RecordBatch:
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= 3
-            m = int(often.sum())
-            none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], names)
+def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, a fingerprint (f1, f2) of the set, its tokens in the zone, and as many tokens after it as its prefix needs beyond."""
+    limit = np.uint64(min((1 << 64) - 1, 2 * (den - num) * (1 << 64) // den))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in slices(batch.column(1)):
-                rows = []
+                n, prints, zone, rest = [], [], [], []
                 for s in shingle_sets(batch.column(1).slice(i, j - i), k):
-                    a, b = mixed(s, 7), mixed(s, 11)
-                    with np.errstate(over="ignore"):
-                        rows.append((len(s), int((a.sum(dtype=np.uint64)).view(np.int64)), int(np.bitwise_xor.reduce(b).view(np.int64)) if len(b) else 0))
-                    held.append(s)
-                    size += len(s)
-                cols = list(zip(*rows, strict=True))
-                none = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(c, pa.int64()) for c in cols], none, none], names)
-                if size > CHUNK:
-                    yield repeated()
-                    held, size = [], 0
-        if held:
-            yield repeated()
-
-    return docs.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, token long, count long")
-
-
-def prefixes(docs: DataFrame, frequent, k: int, num: int, den: int, orders: int) -> DataFrame:
-    """doc_id, n, f1, f2, first (the indexed prefix) and others (one short-hashed prefix for each further order)."""
+                    key = mixed(s, 20)
+                    prints.append(fingerprint(s, key))
+                    inside = key < limit
+                    more = (prefix_size(len(s), num, den) if len(s) else 0) - np.count_nonzero(inside)
+                    beyond = np.flatnonzero(~inside) if more > 0 else inside[:0].nonzero()[0]
+                    n.append(len(s))
+                    zone.append(s[inside])
+                    rest.append(s[beyond[np.argpartition(key[beyond], more - 1)[:more]]] if 0 < more < len(beyond) else s[beyond])
+                columns = [pa.array(n, pa.int64()), *[pa.array(f, pa.int64()) for f in zip(*prints, strict=True)], *[lists(x, np.int64, pa.int64()) for x in (zone, rest)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], ["doc_id", "n", "f1", "f2", "zone", "rest"])
+
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, zone array<long>, rest array<long>")
+
+
+def whole_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """node, n, the prefixes under the second and third order (32-bit hashes), and all tokens, of the texts that have the set (f1, f2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = frequent.value
-        seen = np.zeros(1 << 20, bool)  # of the tokens' high bits: most tokens are not frequent
-        seen[(often >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
-            for i, j in slices(batch.column(1)):
-                n, f1, f2, first, others = [], [], [], [], []
-                for s in shingle_sets(batch.column(1).slice(i, j - i), k):
-                    with np.errstate(over="ignore"):
-                        f1.append(int(mixed(s, 7).sum(dtype=np.uint64).view(np.int64)))
-                    f2.append(int(np.bitwise_xor.reduce(mixed(s, 11)).view(np.int64)) if len(s) else 0)
+            for i, j in slices(batch.column(3)):
+                rows = batch.slice(i, j - i)
+                n, second, third, tokens, fits = [], [], [], [], []
+                for s, f in zip(shingle_sets(rows.column(3), k), zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True), strict=True):
+                    fits.append(fingerprint(s) == f)
+                    p = prefix_size(len(s), num, den) if len(s) else 0
+                    for out, seed in ((second, 21), (third, 22)):
+                        key = mixed(s, seed)
+                        key = np.partition(key, p - 1)[:p] if p < len(s) else key
+                        out.append(np.unique((key >> np.uint64(16)).astype(np.uint32)))
                     n.append(len(s))
-                    if not len(s):
-                        first.append([])
-                        others.append([[]] * (orders - 1))
-                        continue
-                    late = np.zeros(len(s), np.uint64)
-                    if len(often):
-                        maybe = np.flatnonzero(seen[(s >> np.uint64(44)).astype(np.int64)])
-                        at = np.minimum(np.searchsorted(often, s[maybe]), len(often) - 1)
-                        hit = often[at] == s[maybe]
-                        late[maybe[hit]] = rank[at[hit]]
-                    p = prefix_size(len(s), num, den)
-                    chosen = []
-                    for o in range(orders):
-                        key = (late << np.uint64(58)) | (mixed(s, 20 + o) >> np.uint64(6))
-                        chosen.append(s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s)
-                    first.append(chosen[0].view(np.int64))
-                    others.append([(c >> np.uint64(32)).astype(np.uint32).view(np.int32) for c in chosen[1:]])
+                    tokens.append(s)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), *[pa.array(c, pa.int64()) for c in (n, f1, f2)], pa.array(first, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32())))],
-                    ["doc_id", "n", "f1", "f2", "first", "others"],
-                )
+                    [rows.column(0), pa.array(n, pa.int64()), *[lists(x, np.int32, pa.int32()) for x in (second, third)], lists(tokens, np.int64, pa.int64())], ["node", "n", "second", "third", "tokens"]
+                ).filter(pa.array(fits, pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), "node long, n long, second array<int>, third array<int>, tokens array<long>")
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n long, f1 long, f2 long, first array<long>, others array<array<int>>")
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast where it was counted to be short, else as it is."""
+    return F.broadcast(df) if df.count() <= FEW_IDS else df
 
-def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent tokens, sorted, and their place (1 to 63) in every order. At most 2^FREQUENT_SHARE, by their share."""
-    total = rows.where("doc_id IS NOT NULL OR token IS NULL").agg(F.sum("n")).first()[0] or 0
-    least = max(8, total >> FREQUENT_SHARE)
-    found = rows.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= least).toArrow()
-    token = np.asarray(found["token"].combine_chunks()).astype(np.int64).view(np.uint64)
-    c = np.asarray(found["c"].combine_chunks()).astype(float)
-    order = np.argsort(token)
-    return token[order], np.minimum(63, 1 + 2 * np.log2(np.maximum(c[order] / least, 1))).astype(np.uint64)
 
+def nodes_of(sets: DataFrame) -> DataFrame:
+    """doc_id, n, f1, f2, node of every row with an id and a set. A node is the smallest id of its set, or a hash where that id has several sets."""
+    part = sets.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "f1", "f2")
+    classes = part.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    several = classes.groupBy("rep").count().where("count > 1").select("rep", F.lit(True).alias("several"))
+    named = classes.join(several, "rep", "left").select("f1", "f2", "rep", F.when(F.col("several"), F.xxhash64("rep", "f1", "f2")).otherwise(F.col("rep")).alias("node"))
+    return part.join(named, ["f1", "f2"])
 
-def among(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """A semi or anti join with a list of ids: broadcast where it was counted to be short."""
-    return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, on, how)
 
+def rare_first(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """node, n, reach, head, lead: of the first ``reach`` tokens in the order by the number of nodes that have them, those that others have too (head, in order), ``lead`` of them in the prefix.
 
-def verified(pairs: DataFrame, index: DataFrame, docs: DataFrame, k: int, num: int, den: int, orders: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets reach the threshold: sizes, then the other orders' prefixes, then whole sets."""
-    side = lambda c: index.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("others").alias(f"o{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    fits = F.col("na") * den >= F.col("nb") * num
-    fits &= F.col("nb") * den >= F.col("na") * num
-    for o in range(orders - 1):
-        fits &= F.arrays_overlap(F.col("oa")[o], F.col("ob")[o])
-    left = stored(both.where(fits).select("a", "b").distinct(), "candidates")
-    ids = stored(left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    ``nodes`` has node, n (the size of its set) and tokens (those of the set that come first in the order, all the prefix at least).
+    Nodes whose whole prefix is their own have no row: they link with nothing.
+    """
+    flat = nodes.select("node", F.explode("tokens").alias("token"))
+    often = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = flat.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_set(F.struct("c", "token"))).alias("met"))
+    prefix = F.expr(f"cast(n - (n * {num} + {den - 1}) div {den} + 1 AS int)")
+    alone = nodes.select("node", "n", F.size("tokens").alias("m"), prefix.alias("p")).distinct().join(met, "node").withColumn("alone", F.col("m") - F.size("met")).where("p > alone")
+    reach = F.least(F.col("p") * 2, F.col("n").cast("int"))
+    head = F.transform(F.slice("met", 1, F.greatest(reach - F.col("alone"), F.lit(0))), lambda t: t["token"])
+    return alone.select("node", "n", reach.alias("reach"), head.alias("head"), (F.col("p") - F.col("alone")).alias("lead"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j in slices(batch.column(1)):
-                made = [s.tobytes() for s in shingle_sets(batch.column(1).slice(i, j - i), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(made, pa.binary())], ["doc_id", "tokens"])
+
+def prefixes(heads: DataFrame) -> DataFrame:
+    return heads.select("node", F.explode(F.slice("head", 1, F.col("lead"))).alias("token"))
+
+
+def representatives(sets: DataFrame, member: DataFrame) -> DataFrame:
+    """node, n, zone, rest of each node."""
+    copies = member.where("doc_id <> rep").select("doc_id", "f1", "f2").distinct()
+    renamed = member.where("node <> rep AND doc_id = rep").select("doc_id", "f1", "f2", "node").distinct()
+    lone = sets.where("doc_id IS NOT NULL AND n > 0").join(small(copies), ["doc_id", "f1", "f2"], "left_anti").join(small(renamed), ["doc_id", "f1", "f2"], "left")
+    return lone.select(F.coalesce("node", "doc_id").alias("node"), "n", "zone", "rest")
+
+
+def entries(postings: DataFrame) -> DataFrame:
+    """token, node, leader: the postings of the tokens that several nodes have, with the smallest of these."""
+    entry = postings.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("token", "leader")
+    return postings.join(entry, "token").distinct()
+
+
+def reachable(x: str, y: str, num: int, den: int):
+    """Whether the sizes and heads of two nodes allow the threshold, with what the heads have in common in order.
+
+    Tokens in common are in both heads, or beyond the head that ends first.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    common = F.array_intersect(F.col(f"{x}.head"), F.col(f"{y}.head"))
+    most = F.size(common) + F.greatest(n - F.col(f"{x}.reach"), m - F.col(f"{y}.reach"))
+    return (n * den >= m * num) & (m * den >= n * num) & (most * (num + den) >= num * (n + m)), common
+
+
+def verified(pairs: DataFrame, heads: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the distinct pairs (a, b), those whose sets reach the threshold: sizes, heads, the other orders' prefixes, then whole sets."""
+    side = lambda c: heads.select(F.col("node").alias(c), F.struct("n", "reach", "head", "second", "third").alias(f"of_{c}"))
+    fits = reachable("of_a", "of_b", num, den)[0] & F.arrays_overlap("of_a.second", "of_b.second") & F.arrays_overlap("of_a.third", "of_b.third")
+    left = pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                s, t = np.asarray(x.values), np.asarray(y.values)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(den * both >= num * (len(s) + len(t) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = among(docs, ids, ["doc_id"], "left_semi").mapInArrow(tidy(sets), "doc_id long, tokens binary").distinct()
-    met = left.join(whole.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a").join(whole.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    return stored(met.select("a", "b", "ta", "tb").mapInArrow(tidy(compare), "a long, b long").distinct(), "links")
+    of = lambda c: whole.select(F.col("node").alias(c), F.col("tokens").alias(f"w{c}"))
+    met = left.join(of("a"), "a").join(of("b"), "b")
+    return stored(met.select("a", "b", "wa", "wb").mapInArrow(tidy(compare), "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) of all nodes with a link: least labels of neighbours, with jumps over labels."""
-    both = cut(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).where("src <> dst").distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    both = stored(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).where("src <> dst").distinct(), "edges")
+    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        moved = cut(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
+        moved = stored(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")), "labels")
+        discard(labels)
         labels = moved.select("node", "comp")
         if moved.where("was <> comp").isEmpty():
+            discard(both)
             return labels
 
 
-def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, orders: int = 3, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, leaders: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links at den * |A and B| >= num * |A or B|."""
     docs = with_text(df, id_col, text_col)
-    spark = df.sparkSession
-    pass1 = stored(first_pass(docs, k), "sets")
-    rows = pass1.where("token IS NULL").select("doc_id", "n", "f1", "f2")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(pass1))
-    release_memory()
-
-    part = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = part.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    member = stored(part.join(classes, ["f1", "f2"]), "members")
-    copies = member.where("doc_id <> rep").select("doc_id", "f1", "f2").distinct()
-    lone = among(prefixes(docs.where("doc_id IS NOT NULL"), frequent, k, num, den, orders).where("n > 0"), copies, ["doc_id", "f1", "f2"], "left_anti")
-    index = stored(lone.select(F.col("doc_id").alias("rep"), "n", "first", "others"), "prefixes")
-
-    postings = index.select(F.explode("first").alias("token"), "rep", "n")
-    entry = postings.groupBy("token").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "leader")
-    shared = stored(postings.join(entry, "token").select("token", "rep", "n", "leader"), "postings")
-
-    first_of = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("m")).where("a <> m")  # one id, several texts
-    links = stored(member.join(first_of.select("doc_id", "a"), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "links")
-    pairs = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = stored(shared.where("rep <> leader").select(*pairs("leader", "rep")).distinct(), "tested")
-    links = links.unionByName(verified(tested, index, docs, k, num, den, orders))
-
-    # entries of two are settled; in the others the leader is, and goes
-    rest = shared.where("rep <> leader").withColumnRenamed("leader", "met")
-    for turn in range(rounds):
-        comp = components(links)
-        where = lambda c, to: comp.select(F.col("node").alias(c), F.col("comp").alias(to))
-        placed = rest.join(where("rep", "own"), "rep", "left").join(where("met", "of_met"), "met", "left")
-        placed = placed.select("token", "rep", "n", F.coalesce("own", "rep").alias("own"), (F.coalesce("own", "rep") != F.coalesce("of_met", "met")).alias("apart"))
-        # an entry in which all are of the leader's component is settled as well
-        spread = placed.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min(F.when(F.col("apart"), F.col("rep"))).alias("other"), F.min("rep").alias("any")).where("low <> high")
-        live = stored(placed.join(spread.select("token", F.coalesce("other", "any").alias("leader")), "token").select("token", "rep", "n", "own", "leader"), "live")
-        if live.isEmpty():
-            break
-        if turn < rounds - 1:
-            now = live.where("rep <> leader").select("rep", "own", "leader").distinct().join(where("leader", "of"), "leader", "left").where("own <> coalesce(of, leader)").select(*pairs("leader", "rep")).distinct()
+    sets = stored(signatures(docs, k, num, den), "signatures")
+    rows = stored(sets.where("doc_id IS NULL OR n = 0").select("doc_id", "n"), "empty")
+    member = stored(nodes_of(sets), "members")
+    lone = representatives(sets, member)
+    first = rare_first(lone.select("node", "n", F.col("zone").alias("tokens")), num, den)
+    postings = stored(prefixes(first).union(lone.select("node", F.explode("rest").alias("token"))), "postings")
+    alive = stored(entries(postings).select("node").distinct(), "alive")
+    discard(sets, postings)
+
+    ids = member.where("doc_id = rep").select("doc_id", "node", "f1", "f2").distinct().join(alive, "node", "left_semi")
+    whole = whole_sets(docs.join(small(ids), "doc_id").select("node", "f1", "f2", "text"), k, num, den)
+    if not member.where("doc_id = rep").groupBy("doc_id", "f1", "f2").count().where("count > 1").isEmpty():  # repeated rows
+        whole = whole.dropDuplicates(["node"])
+    whole = stored(whole, "sets")
+    heads = stored(rare_first(whole.select("node", "n", "tokens"), num, den).join(whole.select("node", "second", "third"), "node"), "heads")
+    rest = stored(entries(prefixes(heads)), "entries")
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first_of = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("m")).where("a <> m")  # one id, several texts
+    links = stored(member.join(first_of.select("doc_id", "a"), "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "links")
+    tested = links
+    live, done = rest.withColumns({"own": F.col("node"), "of": F.col("leader")}), []
+    for turn in range(leaders + 1):
+        if turn < leaders:
+            now = live.where("own <> of").select(*pair("leader", "node"))
         else:
-            x = live.select("token", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"))
-            y = live.select("token", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"))
-            reach = (F.col("x") < F.col("y")) & (F.col("ox") != F.col("oy")) & (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num)
-            now = x.join(y, "token").where(reach).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        fresh = stored(now.join(tested, ["a", "b"], "left_anti"), "fresh")
-        links = links.unionByName(verified(fresh, index, docs, k, num, den, orders))
+            x, y = (live.join(heads, "node").select("token", F.struct("node", "own", "n", "reach", "head").alias(c)) for c in "xy")
+            fits, common = reachable("x", "y", num, den)
+            # of the tokens that two nodes share, the first makes the pair
+            once = (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & fits & (F.try_element_at(common, F.lit(1)) == x["token"])
+            now = x.join(y, (x["token"] == y["token"]) & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        fresh = stored(now.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(verified(fresh, heads, whole, num, den))
         tested = tested.unionByName(fresh)
-        rest = live.where("rep <> leader").select("token", "rep", "n", F.col("leader").alias("met"))
-
-    comp = components(links)
-    named = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id"))
-    others = rows.where("doc_id IS NULL OR n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+        comp = components(links)
+        if turn < leaders:
+            # the leaders are settled and go; entries whose other nodes are all connected are settled as well
+            of = lambda c, to: comp.select(F.col("node").alias(c), F.col("comp").alias(to))
+            placed = live.where("node <> leader").select("token", "node", F.col("leader").alias("met")).join(of("node", "own"), "node", "left").join(of("met", "of_met"), "met", "left")
+            placed = stored(placed.select("token", "node", F.coalesce("own", "node").alias("own"), (F.coalesce("own", "node") != F.coalesce("of_met", "met")).alias("apart")), "placed")
+            next_one = F.coalesce(F.min(F.when(F.col("apart"), F.struct("node", "own"))), F.min(F.struct("node", "own")))
+            spread = placed.groupBy("token").agg(F.min("own").alias("low"), F.max("own").alias("high"), next_one.alias("next")).where("low <> high")
+            live = stored(placed.join(spread.select("token", F.col("next.node").alias("leader"), F.col("next.own").alias("of")), "token").select("token", "node", "leader", "own", "of"), "live")
+            done += [placed, live]
+            if live.isEmpty():
+                break
+    discard(alive, rest, whole, heads, tested, links, *done)
+
+    named = member.join(comp, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))  # a node that is a hash gives no id
+    named = named.join(least, "comp").select("doc_id", "n", "component_id")
+    others = rows.select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return named.unionByName(others).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
