@@ -1,33 +1,51 @@
-"""SentencePiece encoding and decoding as a relational lattice.
-
-Texts are cut into words: a run of word marks with what follows it. Each
-distinct word is encoded once. Its substrings up to the longest piece are
-exploded and equi-joined to the piece table (broadcast: a model's vocabulary is
-fixed), the edges are grouped by word, and a higher-order fold picks the path:
-Viterbi (greatest sum of scores) for unigram models. BPE models are not
-defined by a sum of scores, so for them the fold runs over the same edges as
-the model's own rule: merge the neighbours whose union is the best piece,
-leftmost first. Characters that are no piece fall back to byte pieces. The ids
-go back to the documents by word.
+"""SentencePiece encoding and decoding over a lattice of pieces.
+
+Texts are cut into words: a run of word marks with what follows it. Each task
+explodes its distinct words into all substrings up to the longest piece, joins
+them to the piece table by equality, and groups the edges found by word and end.
+A Spark higher-order ``aggregate`` folds Viterbi over the ends: the path with the
+greatest sum of the scores that the model gives its pieces. Where two paths to one
+place have equal sums, the one with the shorter last piece is taken. A
+character that is no piece costs 10 more than the worst piece, as unigram models have it, and becomes byte
+pieces. The ids go back to the documents in the same stage: nothing is shuffled,
+and a word is encoded once a task (``cache_words`` bounds what a task keeps).
+
+``rule="bpe"`` applies a BPE model's own rule instead: merge the neighbours whose
+union is the best piece, leftmost first. It is the default for BPE models, for
+which it gives their library's ids; ``rule="viterbi"`` takes the greatest sum of
+such a model's scores (ranks) too, which is another optimum. The query uses Viterbi.
+
+Words over ``LONG`` characters are folded in the task, by the same
+rule in linear time: a fold of arrays copies its state at each step.
 
 Defined cases: null or empty text has no ids and decodes to an empty text;
 repeated rows are encoded each; an empty table gives an empty table; other
-columns are ignored. A single word of very many characters without spaces is
-folded in quadratic time.
+columns are ignored. Without byte pieces an unknown character is the unknown id. In
+decoding, null ids and ids of no piece give U+2047, control ids nothing, and bytes that are no UTF-8 U+FFFD.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import stored
+from docfacts.llm.common import tidy, with_text
+from docfacts.llm.packing import slices
 
 MARK = "▁"
 WORDS = f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n"
-EDGE = "struct<b:int,e:int,id:int,score:double>"
+LONG = 200
+UNKNOWN_PENALTY = 10.0
+OPTIONS = pa.struct([("b", pa.int32()), ("id", pa.int32()), ("score", pa.float64())])
+SCHEMA = "number int, ends array<array<struct<b:int,id:int,score:double>>>, ids array<int>, doc_id long, text string, words array<int>"
 
 
 class Pieces(NamedTuple):
@@ -36,6 +54,7 @@ class Pieces(NamedTuple):
     unknown: int
     longest: int
     unigram: bool
+    control: tuple[int, ...] = ()
 
 
 def load(path: str) -> Pieces:
@@ -48,99 +67,235 @@ def load(path: str) -> Pieces:
     if any("\n" in p or MARK in p.lstrip(MARK) for _, p, _ in rows):
         raise ValueError("pieces that span words are not supported")
     of_byte = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
+    control = tuple(i for i in range(sp.vocab_size()) if sp.is_control(i))
     unigram = any(score != int(score) for _, _, score in rows)  # BPE models score pieces by whole ranks
-    return Pieces(rows, [of_byte[f"<0x{b:02X}>"] for b in range(256)] if of_byte else [], sp.unk_id(), max(len(p) for _, p, _ in rows), unigram)
+    return Pieces(rows, [of_byte[f"<0x{b:02X}>"] for b in range(256)] if of_byte else [], sp.unk_id(), max(len(p) for _, p, _ in rows), unigram, control)
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(WORDS, MARK + text.replace(" ", MARK)) if text else []
+
+
+class Lattice:
+    """The piece table of a task, and the edges of words."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.table = pa.array([p for _, p, _ in pieces.rows], pa.string())
+        self.ids = np.array([i for i, _, _ in pieces.rows], np.int32)
+        self.scores = np.array([s for _, _, s in pieces.rows])
+        self.known = {p: (i, s) for i, p, s in pieces.rows}
+        self.worst = float(self.scores.min()) - UNKNOWN_PENALTY
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """word, begin, end, id and score of every piece in every word, by word, end and begin; unknown characters have the id -1 - code point."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        sorted_words, sizes = pa.array([words[i] for i in order], pa.string()), size[order]
+        parts, word, begin, length = [], [], [], []
+        for b in range(int(sizes[0]) if len(sizes) else 0):
+            for n in range(1, self.pieces.longest + 1):
+                m = int(np.searchsorted(-sizes, -(b + n), side="right"))  # words that reach so far
+                if not m:
+                    break
+                parts.append(pc.utf8_slice_codeunits(sorted_words.slice(0, m), b, b + n))
+                word.append(order[:m])
+                begin.append(np.full(m, b))
+                length.append(np.full(m, n))
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none, none.astype(float)
+        piece = pa.concat_arrays(parts)
+        at = np.asarray(pc.fill_null(pc.index_in(piece, self.table), -1))
+        word, begin, length = np.concatenate(word), np.concatenate(begin), np.concatenate(length)
+        keep = np.flatnonzero((at >= 0) | (length == 1))
+        at, word, begin, end = at[keep], word[keep], begin[keep], (begin + length)[keep]
+        ids, score = self.ids[at].astype(np.int64), self.scores[at]
+        unknown = np.flatnonzero(at < 0)
+        ids[unknown] = [-1 - ord(c) for c in piece.take(pa.array(keep[unknown])).to_pylist()]
+        score[unknown] = self.worst
+        rank = np.argsort((word * (int(sizes[0]) + 1) + end) * (int(sizes[0]) + 1) + begin, kind="stable")
+        return word[rank], begin[rank], end[rank], ids[rank], score[rank]
+
+    def grouped(self, words: list[str]) -> pa.Array:
+        """For each word, for each of its ends, the edges that end there."""
+        word, begin, end, ids, score = self.edges(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate(([0], np.cumsum(size)))
+        there = np.bincount(first[word] + end - 1, minlength=int(first[-1]))
+        options = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(ids.astype(np.int32)), pa.array(score)], fields=list(OPTIONS))
+        ends = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(there))).astype(np.int32)), options)
+        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ends)
+
+    def long_word(self, word: str) -> list[int]:
+        """The fold of one long word, in the task: the same rule, in linear time."""
+        known, best = self.known, [(0.0, 0, 0)]
+        for e in range(1, len(word) + 1):
+            options = []
+            for b in range(max(0, e - self.pieces.longest), e):
+                found = known.get(word[b:e]) or ((-1 - ord(word[b]), self.worst) if e - b == 1 else None)
+                if found:
+                    options.append((best[b][0] + found[1], b, found[0]))
+            best.append(max(options))
+        out, e = [], len(word)
+        while e:
+            out.append(best[e][2])
+            e = best[e][1]
+        return out[::-1]
+
+    def merged(self, word: str) -> list[int]:
+        """The final pieces by the rule of BPE models, with a heap of possible merges."""
+        known = self.known
+        part, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(word):
+                both = part[i] + part[after[i]]
+                if both in known:
+                    heapq.heappush(heap, (-known[both][1], i, both))
+
+        for i in range(len(word) - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            if part[i] is None or after[i] >= len(word) or part[i] + part[after[i]] != both:
+                continue
+            j = after[i]
+            part[i], part[j], after[i] = both, None, after[j]
+            if after[j] < len(word):
+                before[after[j]] = i
+            offer(i)
+            offer(before[i])
+        return [known[p][0] if p in known else -1 - ord(p) for p in part if p is not None]
+
+
+def viterbi(ends: Column) -> Column:
+    """The ids of the best path over the ends of a word, each with the edges that end there."""
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+
+    def step(states: Column, options: Column) -> Column:
+        best = F.array_max(F.transform(options, lambda o: F.struct((F.get(states, o["b"])["score"] + o["score"]).alias("score"), o["b"].alias("b"), o["id"].alias("id"))))
+        return F.concat(states, F.transform(F.array(best), lambda t: F.struct(t["score"].alias("score"), F.concat(F.get(states, t["b"])["ids"], F.array(t["id"])).alias("ids"))))
+
+    return F.element_at(F.aggregate(ends, start, step), -1)["ids"]
+
+
+def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", rule: str | None = None, cache_words: int = 200_000, keep_text: bool = False) -> DataFrame:
+    """doc_id and ids of every row, and its text where that is to be kept."""
+    rule = rule or ("viterbi" if pieces.unigram else "bpe")
+    shared = df.sparkSession.sparkContext.broadcast(tuple(pieces))  # a model's vocabulary is fixed
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.int32(), pa.list_(pa.list_(OPTIONS)), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.list_(pa.int32())]
+
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        m = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(m, k)).cast(k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each word once, numbered from 0, before the first text that has it; a number 0 begins anew."""
+        lattice, number = Lattice(Pieces(*shared.value)), {}
+        for batch in batches:
+            for i, j in slices(batch.column(1), 2 << 20):
+                texts = batch.column(1).slice(i, j - i)
+                found = [words_of(t) for t in texts.to_pylist()]
+                fresh = dict.fromkeys(w for words in found for w in words if w not in number)
+                if len(number) + len(fresh) > cache_words:
+                    number, fresh = {}, dict.fromkeys(w for words in found for w in words)
+                at = len(number)
+                number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+                plain = [w for w in fresh if rule == "viterbi" and len(w) <= LONG]
+                other = [w for w in fresh if rule != "viterbi" or len(w) > LONG]
+                if fresh:  # the first row is that of the least number
+                    number_of = lambda words: pa.array(list(map(number.__getitem__, words)), pa.int32())  # noqa: B023, E731
+                    if not at:
+                        yield rows(number=pa.array([-1], pa.int32()))
+                    for k in range(0, len(plain), 5_000):
+                        some = plain[k : k + 5_000]
+                        yield rows(number=number_of(some), ends=lattice.grouped(some))
+                    fold = lattice.long_word if rule == "viterbi" else lattice.merged
+                    for k in range(0, len(other), 5_000):
+                        some = other[k : k + 5_000]
+                        yield rows(number=number_of(some), ids=pa.array([fold(w) for w in some], pa.list_(pa.int32())))
+                ends = np.concatenate(([0], np.cumsum([len(w) for w in found]))).astype(np.int32)
+                flat = np.fromiter((number[w] for words in found for w in words), np.int32, int(ends[-1]))
+                yield rows(doc_id=batch.column(0).slice(i, j - i), text=texts, words=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts with the ids of their words."""
+        of_byte, unknown = shared.value[1], shared.value[2]
+        parts: list[np.ndarray] = []
+        numbers: list[np.ndarray] = []
+        start = size = np.zeros(0, np.int64)
+        flat = np.zeros(0, np.int32)
+
+        def spelled(ids: list[int]) -> list[int]:
+            out: list[int] = []
+            for x in ids:
+                out.extend([x] if x >= 0 else [of_byte[b] for b in chr(-1 - x).encode()] if of_byte else [unknown])
+            return out
+
+        for batch in batches:
+            number = np.asarray(pc.fill_null(batch.column(0), -2))
+            edge = np.flatnonzero(np.diff(np.where(number == -2, 0, np.where(number == -1, 1, 2)), prepend=9))
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(number)], strict=True):
+                if number[a] == -1:
+                    start, size, flat = start[:0], size[:0], flat[:0]
+                elif number[a] >= 0:
+                    ids = batch.column(1).slice(a, b - a)
+                    values, n = np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets))
+                    if len(values) and values.min() < 0:
+                        lists = [spelled(x) for x in ids.to_pylist()]
+                        values, n = np.array([x for one in lists for x in one], np.int32), np.array([len(x) for x in lists])
+                    numbers.append(number[a:b])
+                    parts.append((values, n))
+                else:
+                    if parts:
+                        every, n = np.concatenate(numbers), np.concatenate([p[1] for p in parts])
+                        top = max(len(start), int(every.max()) + 1)
+                        start, size = np.resize(start, top) if len(start) else np.zeros(top, np.int64), np.resize(size, top) if len(size) else np.zeros(top, np.int64)
+                        start[every], size[every] = len(flat) + np.concatenate(([0], np.cumsum(n)[:-1])), n
+                        flat = np.concatenate((flat, *[p[0] for p in parts])).astype(np.int32)
+                        parts, numbers = [], []
+                    words = batch.column(4).slice(a, b - a)
+                    w, bounds = np.asarray(words.flatten()), np.asarray(words.offsets).astype(np.int64)
+                    n = size[w] if len(w) else np.zeros(0, np.int64)
+                    ends = np.concatenate(([0], np.cumsum(n)))
+                    got = flat[np.repeat(start[w] - ends[:-1], n) + np.arange(ends[-1])] if len(w) else flat[:0]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]].astype(np.int32)), pa.array(got, pa.int32()))], ["doc_id", "text", "ids"]
+                    )
+
+    folded = with_text(df, id_col, text_col).mapInArrow(tidy(edges), SCHEMA)
+    folded = folded.select("number", F.when(F.col("ends").isNotNull(), viterbi(F.col("ends"))).otherwise(F.coalesce("ids", F.array().cast("array<int>"))).alias("ids"), "doc_id", "text", "words")
+    found = folded.mapInArrow(tidy(placed), "doc_id long, text string, ids array<int>")
+    return found if keep_text else found.select("doc_id", "ids")
 
 
-def table_of(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame(pieces.rows, "id int, piece string, score double")
-
-
-def words_of(text: Column) -> Column:
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(WORDS), 0))
-
-
-def edges_of(words: DataFrame, piece_table: DataFrame, longest: int) -> DataFrame:
-    """word, edges: the pieces within each distinct word, with their places."""
-    begin = F.sequence(F.lit(0), F.length("word") - 1)
-    spans = F.flatten(F.transform(begin, lambda b: F.transform(F.sequence(b + 1, F.least(b + longest, F.length("word"))), lambda e: F.struct(b.alias("b"), e.alias("e")))))
-    parts = words.select("word", F.explode(spans).alias("s")).select("word", "s.b", "s.e", F.substr("word", F.col("s.b") + 1, F.col("s.e") - F.col("s.b")).alias("piece"))
-    return parts.join(F.broadcast(piece_table), "piece", "left").groupBy("word").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("b", "e", "id", "score"))).alias("edges"))
-
-
-def _edge(edges: Column, b: Column, e: Column) -> Column:
-    return F.try_element_at(F.filter(edges, lambda x: (x["b"] == b) & (x["e"] == e)), F.lit(1))
-
-
-def merge_fold(word: Column, edges: Column) -> Column:
-    """Places of the final pieces' bounds by the merge rule."""
-    start = F.sequence(F.lit(0), F.length(word))
-
-    def step(bounds: Column, _: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(bounds) - 2), lambda j: F.struct(_edge(edges, F.element_at(bounds, j), F.element_at(bounds, j + 2))["score"].alias("score"), (-j).alias("j")))
-        best = F.array_max(F.filter(pairs, lambda p: p["score"].isNotNull()))
-        merged = F.transform(F.array(best), lambda t: F.when(t.isNull(), bounds).otherwise(F.filter(bounds, lambda x, i: i != -t["j"])))
-        return F.when(F.size(bounds) < 3, bounds).otherwise(F.element_at(merged, 1))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, step)
-
+def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, ids of a table of words by Viterbi; unknown characters have the id -1 - code point."""
+    shared = words.sparkSession.sparkContext.broadcast(tuple(pieces))
 
-def viterbi_fold(word: Column, edges: Column) -> Column:
-    """Places of the final pieces' bounds by the greatest sum of scores; a character that is no piece costs dearly."""
-    empty = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("back")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(Pieces(*shared.value))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), lattice.grouped(batch.column(0).to_pylist())], ["word", "ends"])
 
-    def step(states: Column, e: Column) -> Column:
-        def reach(b: Column) -> Column:
-            own = _edge(edges, b, e)["score"]
-            return F.struct((F.element_at(states, b + 1)["score"] + F.when((e - b == 1) & own.isNull(), -1e4).otherwise(own)).alias("score"), b.alias("back"))
+    return words.select("word").mapInArrow(tidy(run), f"word string, {SCHEMA.split(', ')[1]}").select("word", viterbi(F.col("ends")).alias("ids"))
 
-        options = F.filter(F.transform(F.sequence(F.lit(0), e - 1), reach), lambda o: o["score"].isNotNull())
-        return F.concat(states, F.array(F.array_max(options)))
 
-    states = F.aggregate(F.sequence(F.lit(1), F.length(word)), empty, step)
-    back = lambda path, _: F.when(F.element_at(path, 1) > 0, F.concat(F.array(F.element_at(states, F.element_at(path, 1) + 1)["back"]), path)).otherwise(path)
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.array(F.length(word)), back)
+def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", to: str = "text") -> DataFrame:
+    """The table with the text of each row's ids as another column: pieces and bytes put together, marks back to spaces."""
+    shared = df.sparkSession.sparkContext.broadcast(tuple(pieces))
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(*shared.value)
+        raw = {i: p.encode() for i, p, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)} | dict.fromkeys(pieces.control, b"")
+        lost = " ⁇ ".encode()
+        for batch in batches:
+            at = batch.schema.get_field_index(ids_col)
+            texts = [b"".join([raw.get(i, lost) for i in ids or []]).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
-def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids of each distinct word."""
-    spark = words.sparkSession
-    lattice = edges_of(words, table_of(spark, pieces), pieces.longest)
-    fold = viterbi_fold if pieces.unigram else merge_fold
-    bounded = lattice.withColumn("bounds", fold(F.col("word"), F.col("edges")))
-
-    def fallback(b: Column, e: Column) -> Column:
-        if not pieces.bytes:
-            return F.array(F.lit(pieces.unknown))
-        code = F.hex(F.encode(F.substr("word", b + 1, e - b), "utf-8"))
-        table = F.array(*[F.lit(i) for i in pieces.bytes])
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.element_at(table, F.conv(F.substr(code, k, F.lit(2)), 16, 10).cast("int") + 1))
-
-    ids = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda j: F.struct(F.element_at("bounds", j).alias("b"), F.element_at("bounds", j + 1).alias("e")))
-    each = F.transform(ids, lambda s: F.coalesce(F.transform(F.filter("edges", lambda x: (x["b"] == s["b"]) & (x["e"] == s["e"])), lambda x: x["id"]), F.array().cast("array<int>")))
-    both = F.zip_with(ids, each, lambda s, found: F.when(F.size(found) > 0, found).otherwise(fallback(s["b"], s["e"])))
-    return bounded.select("word", F.flatten(both).alias("ids"))
-
-
-def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids. ``df`` must be read from storage: its rows are told apart by their place."""
-    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    occurrences = docs.select("row", F.posexplode(words_of(F.col("text"))).alias("pos", "word"))
-    table = stored(word_ids(occurrences.select("word").distinct(), pieces), "words")
-    placed = occurrences.join(table, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("parts"))
-    ids = F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"]))
-    return docs.select("row", "doc_id").join(placed.select("row", ids.alias("ids")), "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def decode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text of each row's ids: pieces by an equi-join, byte pieces put together, marks back to spaces."""
-    spark = df.sparkSession
-    every = [(i, p.encode()) for i, p, _ in pieces.rows] + [(i, bytes([b])) for b, i in enumerate(pieces.bytes)]
-    table = spark.createDataFrame(every, "id int, raw binary")
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    parts = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    joined = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("raw").alias("h")))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda p: p["h"]), "")), "utf-8")
-    plain = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), "^ ", "")
-    return rows.select("row", "doc_id").join(joined.select("row", plain.alias("text")), "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return df.mapInArrow(tidy(run), f"{columns}, `{to}` string")

@@ -151,3 +151,44 @@ def test_viterbi_equals_brute_force(spark):
     score = {i: s for i, _, s in rows}
     for w in words:
         assert abs(sum(score[i] for i in got[w]) - best(w)[0]) < 1e-9
+
+
+def test_viterbi_of_whole_texts_by_brute_force(spark):
+    """Ids of every kind of text against a plain dynamic program over the whole text's words, and the round trip."""
+    import re
+
+    pieces = sentencepiece_lattice.load(queries.piece_model_path())
+    by, worst = {p: (i, s) for i, p, s in pieces.rows}, min(s for _, _, s in pieces.rows) - 10
+    texts = ["Hello  world\n\n x  ", "", None, "日本語 ünï\t tab mark", "a" * 1200 + " b", "x" * 199 + " " + "y" * 201, "%%% the*** 12345 https://a.b/c?d=1", "the the the", "the the the", "𝔘𝔫 é \u0301"]
+
+    def plain(text):
+        out = []
+        for w in re.findall("▁*[^▁\\n]+|▁+|\\n", "▁" + text.replace(" ", "▁")) if text else []:
+            best = [(0.0, 0, [])]
+            for e in range(1, len(w) + 1):
+                options = [(best[b][0] + by[w[b:e]][1], b, [by[w[b:e]][0]]) for b in range(max(0, e - 16), e) if w[b:e] in by]
+                if w[e - 1] not in by:
+                    options.append((best[e - 1][0] + worst, e - 1, [pieces.bytes[x] for x in w[e - 1].encode()]))
+                best.append(max(options))
+            ids, e = [], len(w)
+            while e:
+                ids, e = best[e][2] + ids, best[e][1]
+            out += ids
+        return out
+
+    docs = spark.createDataFrame([(i, t, 9, 8) for i, t in enumerate(texts)], "doc_id long, text string, ids int, number int").repartition(2)
+    for cache in (200_000, 3):
+        got = sentencepiece_lattice.encode(docs, pieces, rule="viterbi", cache_words=cache, keep_text=True)
+        rows = sentencepiece_lattice.decode(got, pieces, to="decoded").collect()
+        assert {r.doc_id: r.ids for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
+        assert all(r.decoded == r.text for r in rows)
+    assert sentencepiece_lattice.decode(spark.createDataFrame([(1, [0, 1, None, 2]), (2, None)], "doc_id long, ids array<int>"), pieces).orderBy("doc_id").collect()[1].text == ""
+
+
+def test_a_bpe_word_of_many_characters_ends(spark):
+    import sentencepiece
+
+    path = queries.piece_model_path()
+    text = "abcdefgh" * 2000
+    got = sentencepiece_lattice.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), sentencepiece_lattice.load(path))
+    assert got.first().ids == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
