@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from docfacts.llm.common import tidy, with_text
+from docfacts.llm.common import release_memory, tidy, with_text
 
 #: Fixed values of the tokenised form.
 WINDOW = 4096
@@ -61,7 +61,7 @@ class WordEncoder:
     memory; beyond it the cache starts anew.
     """
 
-    def __init__(self, path: str, cache_words: int = 200_000):
+    def __init__(self, path: str, cache_words: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads; the library's own would each hold memory
         from tokenizers import Tokenizer
 
@@ -238,12 +238,13 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             encoder = encoder or WordEncoder.of(tokenizer_path)
             docs = batch.column(0).to_pylist()
-            for i, j in slices(batch.column(1)):
+            for i, j in slices(batch.column(1), 1 << 20):
                 ids, at = encoder.encode(batch.column(1).slice(i, j - i))
                 for k in range(j - i):
                     packer.add(docs[i + k], np.concatenate((ids[at[k] : at[k + 1]], end)))
                     if packer.out_tokens > 1_000_000:
                         yield flush()
+            release_memory()
         packer.finish()
         if packer.out:
             yield flush()
