@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from docfacts.schemas import NOT_FOUND, UNKNOWN, field
 
-#: Number patterns of the document model.
+#: Number and date patterns of the document model.
 MONEY = r"\$?\s?([0-9][0-9,]{2,}(?:\.[0-9]+)?)"
 PCT = r"([0-9]{1,2}(?:\.[0-9]{1,3})?)\s*%"
 LONG_OR_NUMERIC_DATE = r"([A-Za-z]+\s+[0-9]{1,2},?\s+[0-9]{4}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4})"
+LONG_DATE = r"([A-Za-z]+)\s+([0-9]{1,2}),?\s+((?:19|20)[0-9]{2})"
+NUMERIC_DATE = r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]((?:19|20)?[0-9]{2})"
+MONTH_DATE = r"([A-Za-z]+)\s+((?:19|20)[0-9]{2})"
 MONTHS = "january february march april may june july august september october november december".split()
 
 MARK = "\u0001"
@@ -35,15 +38,21 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s ]+", " "))
 
 
+def texts(pages: Column | str) -> Column:
+    """The pages, a null one as an empty one: a page that was not read hides no other."""
+    pages = F.col(pages) if isinstance(pages, str) else pages
+    return F.transform(F.coalesce(pages, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")))
+
+
 def page_lines(pages: Column) -> Column:
     """Of each page the trimmed, non-empty lines, as struct(line, low): low is in lower case and without closing colons."""
     low = lambda x: strip(F.regexp_replace(F.lower(x), ":+$", ""))
     lines = lambda t: F.filter(F.transform(F.split(t, r"\R"), strip), lambda x: x != "")
-    return F.transform(pages, lambda t: F.transform(lines(t), lambda x: F.struct(x.alias("line"), low(x).alias("low"))))
+    return F.transform(texts(pages), lambda t: F.transform(lines(t), lambda x: F.struct(x.alias("line"), low(x).alias("low"))))
 
 
 def full_text(pages: Column) -> Column:
-    return F.array_join(pages, "\n")
+    return F.array_join(texts(pages), "\n")
 
 
 def first(items: Column) -> Column:
@@ -57,19 +66,13 @@ def kv_lookup(lines: Column, labels: list[str]) -> Column:
     a label, in its rest. The first hit counts, whatever its value is worth.
     """
     names = [x.lower() for x in labels]
-
-    def rest(line: Column, low: Column) -> Column:
-        tries = []
-        for name in names:
-            n = len(name)
-            starts = low.startswith(name + ":") | (low.startswith(name) & (F.length(low) > n + 1) & F.substring(low, n + 1, 1).isin(" ", "\t"))
-            tries.append(F.when(starts, F.nullif(strip(F.regexp_replace(F.substr(line, F.lit(n + 1)), r"^[: \t]+", "")), F.lit(""))))
-        return F.coalesce(*tries)
+    lead = "(?is)^(?:" + "|".join(_escaped(x) for x in names) + r")[: \t]+([^: \t].*)$"  # in the order of the labels
+    rest = lambda line: F.nullif(strip(F.regexp_extract(line, lead, 1)), F.lit(""))
 
     def of_page(ls: Column, page: Column) -> Column:
         def of_line(x: Column, i: Column) -> Column:
             line, low = x["line"], x["low"]
-            value = F.coalesce(F.when(low.isin(names), F.try_element_at(ls, i + 2)["line"]), rest(line, low))
+            value = F.coalesce(F.when(low.isin(names), F.try_element_at(ls, i + 2)["line"]), rest(line))
             return F.struct(value.alias("value"), (page + 1).cast("int").alias("page"), line.alias("line"))
 
         return F.filter(F.transform(ls, of_line), lambda h: h["value"].isNotNull())
@@ -95,13 +98,13 @@ def regex_near(pages: Column, anchors: list[str], pattern: str, window: int, gro
         hit = lambda s: F.struct(F.regexp_extract(s, "(?i)" + pattern, group).alias("value"), (page + 1).cast("int").alias("page"), F.substring(squeeze(s), 1, 120).alias("snippet"))
         return F.transform(F.filter(segments, lambda s: F.regexp_like(s, F.lit("(?i)" + pattern))), hit)
 
-    return first(F.flatten(F.transform(pages, of_page)))
+    return first(F.flatten(F.transform(texts(pages), of_page)))
 
 
 def regex_first(pages: Column, pattern: str, group: int = 1) -> Column:
     """struct(value, page, snippet) of the first match over the pages, or null."""
     p = "(?i)" + pattern
-    matching = F.filter(F.transform(pages, lambda t, i: F.struct(t.alias("t"), (i + 1).cast("int").alias("page"))), lambda x: F.regexp_like(x["t"], F.lit(p)))
+    matching = F.filter(F.transform(texts(pages), lambda t, i: F.struct(t.alias("t"), (i + 1).cast("int").alias("page"))), lambda x: F.regexp_like(x["t"], F.lit(p)))
     placed = F.transform(F.slice(matching, 1, 1), lambda x: F.struct(x["t"].alias("t"), x["page"].alias("page"), F.regexp_instr(x["t"], F.lit(p)).alias("at"), F.regexp_substr(x["t"], F.lit(p)).alias("found")))
 
     def hit(x: Column) -> Column:
@@ -116,13 +119,26 @@ def _escaped(text: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in text)
 
 
+def decimal(text: Column) -> Column:
+    """A plain decimal number; the type suffixes that a cast would accept (1d, 2f) are none."""
+    plain = F.trim(text)
+    return F.when(F.regexp_like(plain, F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")), plain.try_cast("double"))
+
+
 def money(text: Column) -> Column:
     """$ and commas dropped, rounded half to even; null if it is no number."""
-    return F.bround(F.translate(text, "$,", "").try_cast("double"), 0).try_cast("bigint")
+    return F.bround(decimal(F.translate(text, "$,", "")), 0).try_cast("bigint")
 
 
 def number(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+    return decimal(F.replace(text, F.lit(","), F.lit("")))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array of struct(found, at): every match and its 0-based offset. The pattern may match no empty string."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    return F.transform(found, lambda m, i: F.struct(m.alias("found"), (length(gaps, i + 1) + length(found, i)).alias("at")))
 
 
 def parse_date(text: Column) -> Column:
@@ -133,9 +149,7 @@ def parse_date(text: Column) -> Column:
     def month(name: Column) -> Column:
         return F.nullif(F.array_position(names, F.lower(name)), F.lit(0).cast("bigint"))
 
-    long = r"([A-Za-z]+)\s+([0-9]{1,2}),?\s+((?:19|20)[0-9]{2})"
-    numeric = r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]((?:19|20)?[0-9]{2})"
-    short = r"([A-Za-z]+)\s+((?:19|20)[0-9]{2})"
+    long, numeric, short = LONG_DATE, NUMERIC_DATE, MONTH_DATE
     g = lambda p, i: F.regexp_extract(text, p, i)
     year = g(numeric, 3).try_cast("int")
     return F.coalesce(
