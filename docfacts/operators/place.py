@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.functions.text import _escaped, first, found_field, kv_lookup, matches, missing, norm, regex_first, squeeze, texts
+from docfacts.functions.text import first, found_field, kv_lookup, matches, missing, norm, regex_first, squeeze, texts
 from docfacts.schemas import HIGH, KINDS, LOW, MEDIUM, VERBATIM
 
 #: States by their names.
@@ -163,7 +163,7 @@ def extract_address(df: DataFrame) -> DataFrame:
     """``df`` (path, pages, lines) with the field ``address``: high with a zip and a corroborated city, else medium; low for a street alone."""
     keep, kind = [c for c in df.columns if c != "address"], KINDS["address"]
     path, pages = F.col("path"), F.col("pages")
-    df = df.withColumns({"_votes": votes(path, pages), "_at": kv_lookup("lines", ADDRESS_LABELS), "_any": regex_first(pages, r"\b(\d{1,6}\s+(?-i:[A-Z])[\w .'\-]{3,38})(?:,|\s+(?-i:[A-Z][a-z]))")})
+    df = df.withColumns({"_votes": votes(path, pages), "_at": kv_lookup("lines", ADDRESS_LABELS), "_any": regex_first(pages, r"\b(\d{1,6}\s+[A-Z][\w .'\-]{3,38})(?:,|\s+[A-Z][a-z])")})
     df = df.withColumns({"_won": elected(F.col("_votes")), "_labelled": F.nullif(F.trim(F.regexp_extract("_at.value", r"^\s*(\d[\w .'\-]+?)(?:,|$)", 1)), F.lit(""))})
     won = F.col("_won")
     df = df.withColumns({

@@ -42,6 +42,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 L_SQL = OM_SQL + """,
 l AS (SELECT doc_id, pages, pages[1] AS p1, pages[3] AS p3, split_part(path, ' - ', 1) AS brand, regexp_extract(path, ' - ([A-Za-z]+), ([A-Z]{2})', 1) AS city, regexp_extract(path, ' - ([A-Za-z]+), ([A-Z]{2})', 2) AS state,
   doc_id % 4 AS kind, split_part(path, ' - ', 1) IN ('Quick Mart', 'Bean House', 'Taco Hut', 'Corner Bank') AS known FROM om)"""
+STREET_SQL = r"\b(\d{1,6}\s+(?i:[A-Z])(?i:[\w .''\-]{3,38}))(?:,|\s+(?i:[A-Z][a-z]))"  # any case, as all first matches
 CITY_SQL = "SELECT doc_id, city, state, regexp_extract(p1, '[0-9]{5}$') AS zip, 1 AS page, CASE kind WHEN 0 THEN 52 ELSE 27 END AS votes FROM l"
 
 
@@ -76,7 +77,7 @@ def zip_resolution(spark, sf_dir):
 
 
 @query(f"""WITH {L_SQL}
-SELECT doc_id, regexp_extract(p1, '([0-9]+ Main Street), ', 1) AS street, city, state, regexp_extract(p1, '[0-9]{{5}}$') AS zip, 'high' AS confidence, 1 AS source_page, regexp_extract(p1, '[0-9]+ Main Street, .*$') AS snippet FROM l""")
+SELECT doc_id, trim(regexp_extract(p1, '{STREET_SQL}', 1)) AS street, city, state, regexp_extract(p1, '[0-9]{{5}}$') AS zip, 'high' AS confidence, 1 AS source_page, regexp_replace(regexp_extract(p1, '\\b\\d{{2,6}}\\s+[A-Za-z0-9.\\-'' ]{{3,40}}?,\\s*[A-Z][A-Za-z ]+, [A-Z]{{2}} [0-9]{{5}}'), '\\s+', ' ', 'g') AS snippet FROM l""")
 def field_address(spark, sf_dir):
     a = F.col("address")
     df = place.extract_address(listings(spark, sf_dir))
@@ -138,11 +139,11 @@ def whole_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DEAL_SQL = Q.with_ctes([L_SQL, Q.LINES_SQL, *Q.FULL_CTES, *Q.SIMPLE["parkingCount"][1]], """
-SELECT l.doc_id, '$' || format('{:,}', p.v) AS price_display, l.brand AS tenant, regexp_extract(p1, '([0-9]+ Main Street), ', 1) || ', ' || city || ', ' || state || ' ' || regexp_extract(p1, '[0-9]{5}$') AS address,
+SELECT l.doc_id, '$' || format('{:,}', p.v) AS price_display, l.brand AS tenant, trim(regexp_extract(p1, 'STREET', 1)) || ', ' || city || ', ' || state || ' ' || regexp_extract(p1, '[0-9]{5}$') AS address,
   city || ', ' || state AS city_line, round_even(p.v / s.v::DOUBLE, 2) AS price_per_sf, CAST(round_even(a.v * 43560, 0) AS BIGINT) AS lot_sf, nullif(k.v, 0) || ' spaces' AS parking,
   CASE WHEN p.conf = 'low' OR n.conf = 'low' OR c.conf = 'low' THEN 'flagged' ELSE 'unreviewed' END AS review_state,
   concat_ws(',', CASE WHEN p.conf = 'low' THEN 'price' END, CASE WHEN n.conf = 'low' THEN 'noi' END, CASE WHEN c.conf = 'low' THEN 'capRate' END, CASE WHEN t.v IS NULL AND n.v IS NOT NULL AND n.conf = 'low' THEN 'currentRent' END) AS flagged
-FROM l JOIN r_price p USING (doc_id) JOIN r_noi n USING (doc_id) JOIN r_cap c USING (doc_id) JOIN f_buildingSf s USING (doc_id) JOIN f_lotAcres a USING (doc_id) JOIN f_parkingCount k USING (doc_id) JOIN f_currentRent t USING (doc_id)""")
+FROM l JOIN r_price p USING (doc_id) JOIN r_noi n USING (doc_id) JOIN r_cap c USING (doc_id) JOIN f_buildingSf s USING (doc_id) JOIN f_lotAcres a USING (doc_id) JOIN f_parkingCount k USING (doc_id) JOIN f_currentRent t USING (doc_id)""").replace("STREET", STREET_SQL)
 
 
 @query(DEAL_SQL)
