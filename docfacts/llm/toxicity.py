@@ -304,7 +304,7 @@ def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
         vocabulary = pa.array(model.words if model else [], pa.string())
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
-            for i, j in slices(batch.column(1)):
+            for i, j in slices(batch.column(1), 1 << 20):
                 rows = batch.slice(i, j - i)
                 texts = rows.column(1)
                 if model is None:
@@ -321,6 +321,7 @@ def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
                 if keep:
                     columns, names = [*columns, rows.column(2)], [*names, "row"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            release_memory()
 
     return base.mapInArrow(tidy(run), schema)
 
