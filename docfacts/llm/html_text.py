@@ -104,6 +104,7 @@ def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
     out: list[Unit] = []
     held: list[Held] = []
     stack: list[tuple[str, str, bool, int]] = []  # name, key, whether it or one above is never content, the innermost hinted one
+    opened: dict[str, int] = {}  # how many of each name are on the stack, so that a foreign end tag searches nothing
     at = 0
 
     def words(text: str) -> None:
@@ -127,9 +128,11 @@ def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
             out.append(Unit(f"<{m['end']}{name}", 0, "", name in BLOCKS, False))
             continue
         if m["end"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if opened.get(name) else None
             key = stack[depth][1] if depth is not None else name
             if depth is not None:
+                for gone in stack[depth:]:
+                    opened[gone[0]] -= 1
                 del stack[depth:]
             out.append(Unit(f"</{key}", 0, "", name in BLOCKS, False))
         else:
@@ -147,6 +150,7 @@ def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
             out.append(Unit(f"<{key}", 0, "", name in BLOCKS, False))
             if not m["rest"].endswith("/"):
                 stack.append((name, key, never or bool(stack and stack[-1][2]), within))
+                opened[name] = opened.get(name, 0) + 1
     if at < len(page):
         words(page[at:])
     for h in reversed(held):

@@ -192,3 +192,16 @@ def test_a_bpe_word_of_many_characters_ends(spark):
     text = "abcdefgh" * 2000
     got = sentencepiece_lattice.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), sentencepiece_lattice.load(path))
     assert got.first().ids == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+
+
+def test_unclosed_elements_are_parsed_in_linear_time():
+    import time
+
+    def took(n):
+        page = "<div>word </section>" * n
+        began = time.perf_counter()
+        html_text.parse(page, frozenset())
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(32_000) < 40 * took(2_000)  # 16 times the page; quadratic were 256
