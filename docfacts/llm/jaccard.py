@@ -250,7 +250,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, leaders: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links at den * |A and B| >= num * |A or B|."""
     docs = with_text(df, id_col, text_col)
     sets = stored(signatures(docs, k, num, den), "signatures")
@@ -275,8 +275,8 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
     links = stored(member.join(first_of.select("doc_id", "a"), "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "links")
     tested = links
     live, done = rest.withColumns({"own": F.col("node"), "of": F.col("leader")}), []
-    for turn in range(leaders + 1):
-        if turn < leaders:
+    for turn in range(rounds + 1):
+        if turn < rounds:
             now = live.where("own <> of").select(*pair("leader", "node"))
         else:
             x, y = (live.join(heads, "node").select("token", F.struct("node", "own", "n", "reach", "head").alias(c)) for c in "xy")
@@ -288,7 +288,7 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, le
         links = links.unionByName(verified(fresh, heads, whole, num, den))
         tested = tested.unionByName(fresh)
         comp = components(links)
-        if turn < leaders:
+        if turn < rounds:
             # the leaders are settled and go; entries whose other nodes are all connected are settled as well
             of = lambda c, to: comp.select(F.col("node").alias(c), F.col("comp").alias(to))
             placed = live.where("node <> leader").select("token", "node", F.col("leader").alias("met")).join(of("node", "own"), "node", "left").join(of("met", "of_met"), "met", "left")
