@@ -12,10 +12,11 @@ token, target less background cross-entropy: lower is more like the target.
 Only speed depends on frequency. Words with at least 1/100,000 of all tokens
 and bigrams of these with at least 1/2^20 (so never more than 100,000 and 2^20)
 are broadcast with their counts and scored in place, so no key that is shuffled
-is hot. All other bigrams of a document go, with their number, to the task that
-meets all of the same key: it counts them there, and their parts of the score
-go back to their document. These shuffles grow with the corpus. Words are told
-apart by a 64-bit hash.
+is hot. All other bigrams of a document go, with their number, to the bucket of
+their key, where all of the same key meet: it counts them there, and their parts
+of the score go back to their document. Buckets grow in number with the corpus,
+not in size, and the rows of a slice of documents for one bucket travel packed.
+Words are told apart by a 64-bit hash.
 
 Defined cases: null or empty text has no tokens and scores 0; repeated rows
 count and score each; without target documents the target model is uniform;
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfacts.llm.common import release_memory, stored, tidy, with_text
@@ -168,18 +169,43 @@ def train(docs: DataFrame) -> Models:
     return Models(words, pair, seen, np.log(MU * p), np.log(after + MU), count, whole)
 
 
-BASE, PAIR, RARE_WORD, RARE_HISTORY = range(4)
-PARTS = "kind byte, key long, before long, row long, target boolean, m long, code int, base struct<doc_id: bigint, size: bigint, n: double, t: double>"
+PAIR, RARE_WORD, RARE_HISTORY = range(3)
+BUCKET = 1 << 19  # tokens for each bucket of counts: what one call holds at once
+PACKED = "bucket int, kind byte, row long, doc_id long, size long, n double, t double, keys binary, before binary, at binary, m binary, code binary"
+SUMS = "row long, doc_id long, size long, n double, t double"
 
 
-def parts(docs: DataFrame, models: Models) -> DataFrame:
-    """One row of kind BASE for each document, with the part of its score that the frequent words and bigrams give, and a row for each count that is still needed.
+def packed(column: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The parts of a column that begin at these places, each as the bytes of its numbers."""
+    offsets = (np.append(starts, len(column)) * column.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(column))])
+
+
+def parts(docs: DataFrame, models: Models, buckets: int) -> DataFrame:
+    """One row without kind for each document, with the part of its score that the frequent words and bigrams give, and the counts still needed, packed by bucket.
 
     PAIR and RARE_WORD: a bigram (before, w) that the document has m times; the key has all rows of the bigram if w is frequent,
-    and else all rows of w. RARE_HISTORY: a word, the key, that the document has m times before another.
+    and else all rows of w. RARE_HISTORY: a word, the key, that the document has m times before another. A packed row holds
+    those of one slice of documents whose keys fall into one bucket; ``at`` is twice the document's place after ``row``, plus 1 in target documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(models).values()))  # plain values: unpickling needs no import of this module
-    names = [c.split()[0] for c in PARTS.split(", base")[0].split(", ")] + ["base"]
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    kinds = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 5]
+
+    def row_of(known: dict, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([known[c].cast(k) if c in known else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names)
+
+    def pack(kind: int, row0: int, keys, at, m, before=None, code=None) -> pa.RecordBatch:
+        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        used, starts = np.unique(bucket[order], return_index=True)
+        known = {"keys": packed(keys[order], starts), "at": packed(at[order].astype(np.uint32), starts), "m": packed(m[order].astype(np.uint32), starts)}
+        if before is not None:
+            known["before"] = packed(before[order], starts)
+        if code is not None:
+            known["code"] = packed(code[order].astype(np.uint32), starts)
+        known |= {"bucket": pa.array(used), "kind": pa.array(np.full(len(used), kind)), "row": pa.array(np.full(len(used), row0))}
+        return row_of(known, len(used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -189,7 +215,7 @@ def parts(docs: DataFrame, models: Models) -> DataFrame:
         for batch in batches:
             for i, j in slices(batch.column(1)):
                 words, tokens, bounds = word_hashes(batch.column(1).slice(i, j - i))
-                target, length, own = np.asarray(batch.column(2).slice(i, j - i)).astype(bool), np.diff(bounds), len(words)
+                target, length, own = np.asarray(batch.column(2).slice(i, j - i)).astype(np.int64), np.diff(bounds), len(words)
                 hashes, codes = np.append(words, START), np.append(codes_of(words, m.words), size + 1)
                 tokens = tokens.astype(np.int64)
                 before = words_before(tokens, bounds, own)
@@ -200,56 +226,74 @@ def parts(docs: DataFrame, models: Models) -> DataFrame:
                 at, hot = places(ch * (size + 2) + cw, m.pairs)
                 hot &= (cw > 0) & (ch > 0)
                 plain = ~hot & (ch > 0)
-                sums = [
+                n, t = (
                     np.bincount(doc[hot], times[hot] * m.seen[r][at[hot]], j - i) - np.bincount(doc[plain], times[plain] * m.history[r][ch[plain]], j - i)
                     for r in range(2)
-                ]
+                )
+                row = row0 + np.arange(j - i)
+                base = {"bucket": row % buckets, "row": row, "size": length, "n": n, "t": t}
+                yield row_of({"doc_id": batch.column(0).slice(i, j - i)} | {c: pa.array(x) for c, x in base.items()}, j - i)
 
-                left = ~hot
+                place = 2 * doc + target[doc]
+                often, seldom = ~hot & (cw > 0), ~hot & (cw == 0)
                 with np.errstate(over="ignore"):
-                    both = mixed(hashes[h[left]].view(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + hashes[w[left]].view(np.uint64)).view(np.int64)
-                frequent = cw[left] > 0
-                rare = ch == 0
-                lone, where = np.unique(held[rare], return_inverse=True)
-                often = np.bincount(where, times[rare], len(lone)).astype(np.int64)
-                lone_doc = lone // (own + 1)
-                docs_of = np.concatenate((np.arange(j - i), doc[left], lone_doc))
-                k, z = len(lone), np.zeros(j - i, np.int64)
-                columns = [
-                    np.concatenate((z + BASE, np.where(frequent, PAIR, RARE_WORD), np.full(k, RARE_HISTORY))).astype(np.int8),
-                    np.concatenate((row0 + np.arange(j - i), np.where(frequent, both, hashes[w[left]]), hashes[lone % (own + 1)])),
-                    np.concatenate((z, hashes[h[left]], np.zeros(k, np.int64))),
-                    row0 + docs_of,
-                    target[docs_of],
-                    np.concatenate((z, times[left], often)),
-                    np.concatenate((z, cw[left], np.zeros(k, np.int64))).astype(np.int32),
-                ]
-                none = len(docs_of) - (j - i)
-                base = [pa.concat_arrays([c.cast(kind), pa.nulls(none, kind)]) for c, kind in ((batch.column(0).slice(i, j - i), pa.int64()), (pa.array(length), pa.int64()), (pa.array(sums[0]), pa.float64()), (pa.array(sums[1]), pa.float64()))]
-                base = pa.StructArray.from_arrays(base, ["doc_id", "size", "n", "t"], mask=pa.array(np.arange(len(docs_of)) >= j - i))
+                    both = mixed(hashes[h[often]].view(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + hashes[w[often]].view(np.uint64)).view(np.int64)
+                yield pack(PAIR, row0, both, place[often], times[often], code=cw[often])
+                yield pack(RARE_WORD, row0, hashes[w[seldom]], place[seldom], times[seldom], before=hashes[h[seldom]])
+                lone, where = np.unique(held[ch == 0], return_inverse=True)
+                of = lone // (own + 1)
+                yield pack(RARE_HISTORY, row0, hashes[lone % (own + 1)], 2 * of + target[of], np.bincount(where, times[ch == 0], len(lone)))
                 row0 += j - i
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), base], names)
 
-    return docs.select("doc_id", "text", "target").mapInArrow(tidy(run), PARTS)
+    return docs.select("doc_id", "text", "target").mapInArrow(tidy(run), PACKED)
+
+
+def totals(keys: np.ndarray, m: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key's rows, the sum of m among all and among target documents, at each of its rows."""
+    _, where = np.unique(keys, return_inverse=True)
+    return np.bincount(where, m)[where], np.bincount(where, m * target)[where]
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, ce_background, ce_target (nats a token) and score, their difference."""
-    frequent = pa.table({"code": pa.array(np.arange(1, len(models.words) + 1), pa.int32()), "wn": models.count[0], "wt": models.count[1]})
-    known = docs.sparkSession.createDataFrame(frequent)
-    made = parts(docs, models).repartition("kind", "key").sortWithinPartitions("kind", "key", "before")
-    of_key, of_pair = Window.partitionBy("kind", "key"), Window.partitionBy("kind", "key", "before")
-    m, mt = F.col("m"), F.when(F.col("target"), F.col("m")).otherwise(0)
-    counted = made.select("*", F.sum(m).over(of_key).alias("kn"), F.sum(mt).over(of_key).alias("kt"), F.sum(m).over(of_pair).alias("pn"), F.sum(mt).over(of_pair).alias("pt"))
-    counted = counted.join(F.broadcast(known), "code", "left")
-
-    def part(side: str, row: int):
-        kind = F.col("kind")
-        word = F.when(kind == PAIR, F.col(f"w{side}")).otherwise(F.col(f"k{side}"))
-        pair = m * F.log(F.col(f"p{side}") + MU * (word + 1) / F.lit(float(models.total[row])))
-        return F.when(kind == BASE, F.col(f"base.{side}")).when(kind == RARE_HISTORY, -m * F.log(F.col(f"k{side}") + MU)).otherwise(pair)
-
-    sums = counted.select("row", "base.doc_id", "base.size", part("n", 0).alias("n"), part("t", 1).alias("t")).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_tokens"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    buckets = models.total[0] // BUCKET + 1
+    shared = docs.sparkSession.sparkContext.broadcast((models.count, models.total))
+
+    def of_bucket(rows: pa.Table) -> pa.Table:
+        count, total = shared.value
+        base = rows.filter(pc.is_null(rows["kind"])).select(["row", "doc_id", "size", "n", "t"])
+        docs_of, sums = [], [[], []]
+        for kind in (PAIR, RARE_WORD, RARE_HISTORY):
+            some = rows.filter(pc.fill_null(pc.equal(rows["kind"], kind), False))
+            if some.num_rows == 0:
+                continue
+            read = lambda name, of: np.frombuffer(b"".join(some[name].to_pylist()), of)  # noqa: B023, E731
+            keys, m, at = read("keys", np.int64), read("m", np.uint32).astype(float), read("at", np.uint32)
+            lengths = np.asarray(pc.binary_length(some["at"])) // 4
+            target = at & 1
+            docs_of.append(np.repeat(np.asarray(some["row"]), lengths) + (at >> 1))
+            if kind == RARE_HISTORY:
+                scored = [-m * np.log(k + MU) for k in totals(keys, m, target)]
+            else:
+                if kind == PAIR:
+                    pairs, word = keys, count[:, read("code", np.uint32) - 1]
+                else:
+                    before, word = read("before", np.int64), totals(keys, m, target)
+                    order = np.lexsort((before, keys))
+                    w, h, pairs = keys[order], before[order], np.empty(len(keys), np.int64)
+                    pairs[order] = np.cumsum(np.append(False, (w[1:] != w[:-1]) | (h[1:] != h[:-1])))
+                scored = [m * np.log(k + MU * (c + 1) / n) for k, c, n in zip(totals(pairs, m, target), word, total, strict=True)]
+            for side, x in zip(sums, scored, strict=True):
+                side.append(x)
+        if not docs_of:
+            return base
+        row, where = np.unique(np.concatenate(docs_of), return_inverse=True)
+        none = pa.nulls(len(row), pa.int64())
+        part = pa.table({"row": row, "doc_id": none, "size": none, "n": np.bincount(where, np.concatenate(sums[0])), "t": np.bincount(where, np.concatenate(sums[1]))})
+        return pa.concat_tables([base, part.cast(base.schema)])
+
+    made = parts(docs, models, buckets).groupBy("bucket").applyInArrow(of_bucket, SUMS)
+    sums = made.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_tokens"), F.sum("n").alias("n"), F.sum("t").alias("t"))
     entropy = lambda c: F.when(F.col("n_tokens") > 0, -F.col(c) / F.col("n_tokens")).otherwise(0.0)
     return sums.select("doc_id", "n_tokens", entropy("n").alias("ce_background"), entropy("t").alias("ce_target"), (entropy("t") - entropy("n")).alias("score"))
 
