@@ -170,42 +170,50 @@ def train(docs: DataFrame) -> Models:
 
 
 PAIR, RARE_WORD, RARE_HISTORY = range(3)
-BUCKET = 1 << 19  # tokens for each bucket of counts: what one call holds at once
-PACKED = "bucket int, kind byte, row long, doc_id long, size long, n double, t double, keys binary, before binary, at binary, m binary, code binary"
-SUMS = "row long, doc_id long, size long, n double, t double"
+BUCKET = 1 << 20  # tokens for each bucket of counts: what one call holds at once
+DOCS = "docs array<struct<doc_id: bigint, size: bigint, n: double, t: double>>"
+PACKED = f"bucket int, kind byte, slice long, {DOCS}, keys binary, before binary, at binary, m binary, code binary"
+SUMS = f"slice long, {DOCS}, at binary, n binary, t binary"
+DOC = pa.struct([("doc_id", pa.int64()), ("size", pa.int64()), ("n", pa.float64()), ("t", pa.float64())])
 
 
 def packed(column: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """The parts of a column that begin at these places, each as the bytes of its numbers."""
-    offsets = (np.append(starts, len(column)) * column.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(column))])
+    """The parts of a column that begin at these places: of the bytes of its numbers first all first ones, then all second ones, compressed."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    octets = column.view(np.uint8).reshape(len(column), column.itemsize)
+    return pa.array([press.compress(np.ascontiguousarray(octets[i:j].T)) for i, j in zip(starts, np.append(starts[1:], len(column)), strict=True)], pa.binary())
+
+
+def unpacked(parts: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    import zstandard
+
+    press, size = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize
+    octets = [np.frombuffer(press.decompress(part), np.uint8).reshape(size, -1) for part in parts.to_pylist()]
+    return [np.ascontiguousarray(x.T).view(kind).ravel() for x in octets]
 
 
 def parts(docs: DataFrame, models: Models, buckets: int) -> DataFrame:
-    """One row without kind for each document, with the part of its score that the frequent words and bigrams give, and the counts still needed, packed by bucket.
+    """One row without kind for each slice of documents, with the parts of their scores that the frequent words and bigrams give, and the counts still needed, packed by bucket.
 
     PAIR and RARE_WORD: a bigram (before, w) that the document has m times; the key has all rows of the bigram if w is frequent,
     and else all rows of w. RARE_HISTORY: a word, the key, that the document has m times before another. A packed row holds
-    those of one slice of documents whose keys fall into one bucket; ``at`` is twice the document's place after ``row``, plus 1 in target documents.
+    those of one slice whose keys fall into one bucket; ``at`` is twice the document's place in its slice, plus 1 in target documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(models).values()))  # plain values: unpickling needs no import of this module
-    names = [c.split()[0] for c in PACKED.split(", ")]
-    kinds = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * 5]
+    kinds = {"bucket": pa.int32(), "kind": pa.int8(), "slice": pa.int64(), "docs": pa.list_(DOC), "keys": pa.binary(), "before": pa.binary(), "at": pa.binary(), "m": pa.binary(), "code": pa.binary()}
 
-    def row_of(known: dict, size: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([known[c].cast(k) if c in known else pa.nulls(size, k) for c, k in zip(names, kinds, strict=True)], names)
+    def rows_of(known: dict, size: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([known[c].cast(k) if c in known else pa.nulls(size, k) for c, k in kinds.items()], list(kinds))
 
     def pack(kind: int, row0: int, keys, at, m, before=None, code=None) -> pa.RecordBatch:
         bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((keys.view(np.uint64), bucket))
         used, starts = np.unique(bucket[order], return_index=True)
-        known = {"keys": packed(keys[order], starts), "at": packed(at[order].astype(np.uint32), starts), "m": packed(m[order].astype(np.uint32), starts)}
-        if before is not None:
-            known["before"] = packed(before[order], starts)
-        if code is not None:
-            known["code"] = packed(code[order].astype(np.uint32), starts)
-        known |= {"bucket": pa.array(used), "kind": pa.array(np.full(len(used), kind)), "row": pa.array(np.full(len(used), row0))}
-        return row_of(known, len(used))
+        given = {"keys": keys, "before": before, "at": at.astype(np.uint32), "m": m.astype(np.uint32), "code": None if code is None else code.astype(np.uint32)}
+        known = {c: packed(x[order], starts) for c, x in given.items() if x is not None}
+        return rows_of(known | {"bucket": pa.array(used), "kind": pa.array(np.full(len(used), kind)), "slice": pa.array(np.full(len(used), row0))}, len(used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -230,9 +238,9 @@ def parts(docs: DataFrame, models: Models, buckets: int) -> DataFrame:
                     np.bincount(doc[hot], times[hot] * m.seen[r][at[hot]], j - i) - np.bincount(doc[plain], times[plain] * m.history[r][ch[plain]], j - i)
                     for r in range(2)
                 )
-                row = row0 + np.arange(j - i)
-                base = {"bucket": row % buckets, "row": row, "size": length, "n": n, "t": t}
-                yield row_of({"doc_id": batch.column(0).slice(i, j - i)} | {c: pa.array(x) for c, x in base.items()}, j - i)
+                ids = batch.column(0).slice(i, j - i).cast(pa.int64())
+                listed = pa.StructArray.from_arrays([ids, pa.array(length), pa.array(n), pa.array(t)], fields=list(DOC))
+                yield rows_of({"bucket": pa.array([row0 % buckets]), "slice": pa.array([row0]), "docs": pa.ListArray.from_arrays([0, j - i], listed)}, 1)
 
                 place = 2 * doc + target[doc]
                 often, seldom = ~hot & (cw > 0), ~hot & (cw == 0)
@@ -261,17 +269,17 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     def of_bucket(rows: pa.Table) -> pa.Table:
         count, total = shared.value
-        base = rows.filter(pc.is_null(rows["kind"])).select(["row", "doc_id", "size", "n", "t"])
+        base = rows.filter(pc.is_null(rows["kind"])).select(["slice", "docs"])
         docs_of, sums = [], [[], []]
         for kind in (PAIR, RARE_WORD, RARE_HISTORY):
             some = rows.filter(pc.fill_null(pc.equal(rows["kind"], kind), False))
             if some.num_rows == 0:
                 continue
-            read = lambda name, of: np.frombuffer(b"".join(some[name].to_pylist()), of)  # noqa: B023, E731
-            keys, m, at = read("keys", np.int64), read("m", np.uint32).astype(float), read("at", np.uint32)
-            lengths = np.asarray(pc.binary_length(some["at"])) // 4
+            read = lambda name, of: np.concatenate(unpacked(some[name], of))  # noqa: B023, E731
+            keys, m, ats = read("keys", np.int64), read("m", np.uint32).astype(float), unpacked(some["at"], np.uint32)
+            at = np.concatenate(ats)
             target = at & 1
-            docs_of.append(np.repeat(np.asarray(some["row"]), lengths) + (at >> 1))
+            docs_of.append(np.repeat(np.asarray(some["slice"]), [len(x) for x in ats]) + (at >> 1))
             if kind == RARE_HISTORY:
                 scored = [-m * np.log(k + MU) for k in totals(keys, m, target)]
             else:
@@ -285,15 +293,29 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
                 scored = [m * np.log(k + MU * (c + 1) / n) for k, c, n in zip(totals(pairs, m, target), word, total, strict=True)]
             for side, x in zip(sums, scored, strict=True):
                 side.append(x)
-        if not docs_of:
-            return base
-        row, where = np.unique(np.concatenate(docs_of), return_inverse=True)
-        none = pa.nulls(len(row), pa.int64())
-        part = pa.table({"row": row, "doc_id": none, "size": none, "n": np.bincount(where, np.concatenate(sums[0])), "t": np.bincount(where, np.concatenate(sums[1]))})
-        return pa.concat_tables([base, part.cast(base.schema)])
-
-    made = parts(docs, models, buckets).groupBy("bucket").applyInArrow(of_bucket, SUMS)
-    sums = made.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("size").alias("n_tokens"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+        made = {"slice": base["slice"], "docs": base["docs"]} | {c: pa.nulls(base.num_rows, pa.binary()) for c in ("at", "n", "t")}
+        whole = pa.table(made)
+        if docs_of:
+            row, where = np.unique(np.concatenate(docs_of), return_inverse=True)
+            known = np.unique(np.asarray(rows["slice"]))
+            own = known[np.searchsorted(known, row, side="right") - 1]
+            first, starts = np.unique(own, return_index=True)
+            made = {"slice": pa.array(first), "docs": pa.nulls(len(first), base.schema.field("docs").type), "at": packed((row - own).astype(np.uint32), starts)}
+            made |= {c: packed(np.bincount(where, np.concatenate(side)), starts) for c, side in zip("nt", sums, strict=True)}
+            whole = pa.concat_tables([whole, pa.table(made, schema=whole.schema)])
+        return whole
+
+    def of_slice(rows: pa.Table) -> pa.Table:
+        base = rows.filter(pc.is_valid(rows["docs"]))["docs"].combine_chunks().flatten()
+        n, t = (np.array(base.field(c)) for c in "nt")
+        sums = rows.filter(pc.is_valid(rows["at"]))
+        for at, x, y in zip(unpacked(sums["at"], np.uint32), unpacked(sums["n"], np.float64), unpacked(sums["t"], np.float64), strict=True):
+            n[at] += x  # a document occurs once in each part
+            t[at] += y
+        return pa.table({"doc_id": base.field("doc_id"), "n_tokens": base.field("size"), "n": n, "t": t})
+
+    counted = parts(docs, models, buckets).groupBy("bucket").applyInArrow(of_bucket, SUMS)
+    sums = counted.groupBy("slice").applyInArrow(of_slice, "doc_id long, n_tokens long, n double, t double")
     entropy = lambda c: F.when(F.col("n_tokens") > 0, -F.col(c) / F.col("n_tokens")).otherwise(0.0)
     return sums.select("doc_id", "n_tokens", entropy("n").alias("ce_background"), entropy("t").alias("ce_target"), (entropy("t") - entropy("n")).alias("score"))
 
