@@ -14,9 +14,9 @@ and bigrams of these with at least 1/2^20 (so never more than 100,000 and 2^20)
 are broadcast with their counts and scored in place, so no key that is shuffled
 is hot. All other bigrams of a document go, with their number, to the bucket of
 their key, where all of the same key meet: it counts them there, and their parts
-of the score go back to their document. Buckets grow in number with the corpus,
-not in size, and the rows of a slice of documents for one bucket travel packed.
-Words are told apart by a 64-bit hash.
+of the score go back to their document. There is a bucket for each shuffle
+partition, and more where these would pass a fixed size; the rows of a slice of
+documents for one bucket travel packed. Words are told apart by a 64-bit hash.
 
 Defined cases: null or empty text has no tokens and scores 0; repeated rows
 count and score each; without target documents the target model is uniform;
@@ -170,7 +170,7 @@ def train(docs: DataFrame) -> Models:
 
 
 PAIR, RARE_WORD, RARE_HISTORY = range(3)
-BUCKET = 1 << 20  # tokens for each bucket of counts: what one call holds at once
+BUCKET = 1 << 21  # tokens for each bucket of counts, at most: what one call holds at once
 DOCS = "docs array<struct<doc_id: bigint, size: bigint, n: double, t: double>>"
 PACKED = f"bucket int, kind byte, slice long, {DOCS}, keys binary, before binary, at binary, m binary, code binary"
 SUMS = f"slice long, {DOCS}, at binary, n binary, t binary"
@@ -198,7 +198,7 @@ def parts(docs: DataFrame, models: Models, buckets: int) -> DataFrame:
     """One row without kind for each slice of documents, with the parts of their scores that the frequent words and bigrams give, and the counts still needed, packed by bucket.
 
     PAIR and RARE_WORD: a bigram (before, w) that the document has m times; the key has all rows of the bigram if w is frequent,
-    and else all rows of w. RARE_HISTORY: a word, the key, that the document has m times before another. A packed row holds
+    and else all rows of w. A pair's key has 56 bits of its hash; the code of w makes it whole. RARE_HISTORY: a word, the key, that the document has m times before another. A packed row holds
     those of one slice whose keys fall into one bucket; ``at`` is twice the document's place in its slice, plus 1 in target documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(models).values()))  # plain values: unpickling needs no import of this module
@@ -245,7 +245,7 @@ def parts(docs: DataFrame, models: Models, buckets: int) -> DataFrame:
                 place = 2 * doc + target[doc]
                 often, seldom = ~hot & (cw > 0), ~hot & (cw == 0)
                 with np.errstate(over="ignore"):
-                    both = mixed(hashes[h[often]].view(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + hashes[w[often]].view(np.uint64)).view(np.int64)
+                    both = mixed(hashes[h[often]].view(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + hashes[w[often]].view(np.uint64)).view(np.int64) & ~0xFF
                 yield pack(PAIR, row0, both, place[often], times[often], code=cw[often])
                 yield pack(RARE_WORD, row0, hashes[w[seldom]], place[seldom], times[seldom], before=hashes[h[seldom]])
                 lone, where = np.unique(held[ch == 0], return_inverse=True)
@@ -264,7 +264,7 @@ def totals(keys: np.ndarray, m: np.ndarray, target: np.ndarray) -> tuple[np.ndar
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, ce_background, ce_target (nats a token) and score, their difference."""
-    buckets = models.total[0] // BUCKET + 1
+    buckets = max(models.total[0] // BUCKET + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shared = docs.sparkSession.sparkContext.broadcast((models.count, models.total))
 
     def of_bucket(rows: pa.Table) -> pa.Table:
@@ -284,7 +284,8 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
                 scored = [-m * np.log(k + MU) for k in totals(keys, m, target)]
             else:
                 if kind == PAIR:
-                    pairs, word = keys, count[:, read("code", np.uint32) - 1]
+                    code = read("code", np.uint32)
+                    pairs, word = keys ^ mixed(code.astype(np.uint64)).view(np.int64), count[:, code - 1]
                 else:
                     before, word = read("before", np.int64), totals(keys, m, target)
                     order = np.lexsort((before, keys))
