@@ -182,8 +182,8 @@ def packed(column: np.ndarray, starts: np.ndarray) -> pa.Array:
     import zstandard
 
     press = zstandard.ZstdCompressor(level=1)
-    octets = column.view(np.uint8).reshape(len(column), column.itemsize)
-    return pa.array([press.compress(np.ascontiguousarray(octets[i:j].T)) for i, j in zip(starts, np.append(starts[1:], len(column)), strict=True)], pa.binary())
+    octets, bounds = column.view(np.uint8).reshape(len(column), column.itemsize), [*starts, len(column)]
+    return pa.array([press.compress(np.ascontiguousarray(octets[i:j].T)) for i, j in zip(bounds, bounds[1:], strict=False)], pa.binary())
 
 
 def unpacked(parts: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
