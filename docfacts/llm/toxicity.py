@@ -5,7 +5,7 @@ become word labels: words and word beginnings that are found mostly in toxic
 documents, and in more of them than chance allows, mark the tokens of the
 sample's toxic documents. A two-state chain (clean, toxic) with the word
 itself, its beginnings (compounds of one stem) and its two neighbours as features is fitted to windows of tokens by
-gradient ascent on the conditional likelihood. A small logistic layer, fitted on
+gradient ascent on the conditional likelihood; the transitions follow the expected counts of neighbours. A small logistic layer, fitted on
 the same sample, turns the marginals of a document into its score.
 
 Scoring (tasks, whole texts): forward-backward over every word of a document,
@@ -84,13 +84,13 @@ def emissions(number: np.ndarray, tokens: np.ndarray, bounds: np.ndarray, emit:
     return score
 
 
-def marginals(score: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """P(toxic) of every word by forward-backward. The recursion runs over positions, for all texts at once."""
+def messages(score: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word its odds, and the ratios toxic to clean of the sums ahead (with its odds) and behind. The recursion runs over positions, for all texts at once."""
     size = np.diff(bounds)
     order = np.argsort(-size, kind="stable")
     size = size[order]
     if not len(size) or not size[0]:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0), np.zeros(0)
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # texts that reach each position
     first = np.concatenate(([0], np.cumsum(active)))
     place = np.empty(len(score), np.int64)  # from text-major to position-major
@@ -116,10 +116,29 @@ def marginals(score: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> np.nda
         seen[:m] = (tc + ratio * tt) / (cc + ratio * ct)
         state = seen
         back[starts[i] : starts[i] + n] = state
-    both = (ahead * back)[place]
+    return odds[place], ahead[place], back[place]
+
+
+def marginals(score: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """P(toxic) of every word by forward-backward."""
+    _, ahead, back = messages(score, bounds, step)
+    both = ahead * back
     return both / (1 + both)
 
 
+def expected_counts(score: np.ndarray, bounds: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of every word, and the expected number of each (from, to) among neighbours."""
+    odds, ahead, back = messages(score, bounds, step)
+    both = ahead * back
+    inner = np.ones(len(score), bool)
+    inner[bounds[:-1][np.diff(bounds) > 0]] = False
+    at = np.flatnonzero(inner)
+    (cc, ct), (tc, tt) = np.exp(step)
+    before, after = ahead[at - 1], odds[at] * back[at]
+    pair = np.array([np.full(len(at), cc), ct * after, before * tc, before * tt * after])
+    return both / (1 + both), (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
+
+
 def document_features(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expected number of toxic words, and the greatest marginal (0 without words)."""
     total = np.concatenate(([0], np.cumsum(p)))
@@ -217,11 +236,11 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
     seen = np.zeros((2, 2))
     np.add.at(seen, (state[prev - 1], state[prev]), 1)
     rows = np.bincount(state[prev - 1], minlength=2) + 2.0
-    step = np.log((seen + 1) / rows[:, None])  # of the labelled tokens themselves
-    moment = [np.zeros_like(emit), np.zeros_like(emit), 0.0, 0.0]
+    step = np.log((seen + 1) / rows[:, None])  # to begin with: of the labelled tokens themselves
+    moment = [np.zeros_like(emit), np.zeros_like(emit), 0.0, 0.0, np.zeros((2, 2)), np.zeros((2, 2))]
     lone = number[0]
     for k in range(1, rounds + 1):
-        p = marginals(emissions(number, x, wb, emit, bias), wb, step)
+        p, pairs = expected_counts(emissions(number, x, wb, emit, bias), wb, step)
         gap = y - p
         grad = np.zeros_like(emit)
         of_word = np.bincount(x, gap, number.shape[1])
@@ -232,13 +251,16 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
         grad[:, 0] = 0  # the unknown
         grad -= 0.05 * emit
         side = gap.sum()
+        turn = seen - pairs - 0.05 * step
         moment[0], moment[1] = 0.9 * moment[0] + 0.1 * grad, 0.99 * moment[1] + 0.01 * grad**2
         moment[2], moment[3] = 0.9 * moment[2] + 0.1 * side, 0.99 * moment[3] + 0.01 * side**2
+        moment[4], moment[5] = 0.9 * moment[4] + 0.1 * turn, 0.99 * moment[5] + 0.01 * turn**2
         a, b = 1 - 0.9**k, 1 - 0.99**k
         emit += 0.15 * (moment[0] / a) / (np.sqrt(moment[1] / b) + 1e-2)
         bias += 0.15 * (moment[2] / a) / (np.sqrt(moment[3] / b) + 1e-2)
+        step += 0.05 * (moment[4] / a) / (np.sqrt(moment[5] / b) + 1e-2)
 
-    del moment, grad, p, gap, of_word, x, y, take, target, prev, inner
+    del moment, grad, p, gap, pairs, of_word, x, y, take, target, prev, inner
     z = []
     for i in range(0, len(bounds) - 1, 200):
         at = bounds[i : i + 201]

@@ -302,3 +302,20 @@ def test_marginals_equal_enumeration():
             total += w
             hot += w * np.array(states)
         assert np.allclose(got[a:b], hot / total if b > a else hot)
+
+
+def test_expected_counts_equal_enumeration():
+    rng = np.random.default_rng(1)
+    score, step, bounds = rng.normal(size=10), rng.normal(size=(2, 2)), np.array([0, 4, 4, 5, 10])
+    p, pairs = toxicity.expected_counts(score, bounds, step)
+    truth = np.zeros((2, 2))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        total, seen = 0.0, np.zeros((2, 2))
+        for states in np.ndindex(*[2] * (b - a)):
+            w = np.exp(sum(score[a + i] * s for i, s in enumerate(states)) + sum(step[x, y] for x, y in zip(states, states[1:], strict=False)))
+            total += w
+            for x, y in zip(states, states[1:], strict=False):
+                seen[x, y] += w
+        truth += seen / total
+    assert np.allclose(pairs, truth) and np.allclose(p, toxicity.marginals(score, bounds, step))
+    assert toxicity.expected_counts(score[:0], np.array([0, 0]), step)[1].tolist() == [[0, 0], [0, 0]]
