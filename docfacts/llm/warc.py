@@ -10,7 +10,7 @@ The salvage reader takes whole archives (plain or with gzip members) and trusts
 nothing: version line, header syntax, content length, closing line and block
 digest are checked. After a failed check it searches for the next member or
 version line that checks out, goes on from there, and logs the bytes between as
-a quarantined gap.
+a quarantined gap. One archive (and what one of its gzip members holds) is in a task's memory at a time.
 
 Defined cases: null html is an empty payload; rows without page_id are written
 with an empty id and read back with none; repeated rows are records each, those with
@@ -76,9 +76,17 @@ def record(typed: DataFrame) -> DataFrame:
     return typed.select(F.concat(head, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", archive_records: int = 2000) -> None:
-    """Archives of at most so many records under ``path``."""
-    record(record_types(pages, id_col, html_col)).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", archive_records).text(path)
+def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", archive_records: int = 2000, archive_bytes: int = 128 << 20) -> None:
+    """Archives under ``path`` of at most so many records, and about so many bytes where no single record is larger.
+
+    Pages over an equal share of ``archive_bytes`` go to archives of their own, of fewer records.
+    """
+    typed, share = record_types(pages, id_col, html_col), archive_bytes // archive_records
+    size = F.octet_length("html")
+    greatest = pages.select(F.max(F.octet_length(F.col(html_col)))).first()[0] or 0
+    classes = [(size <= share, archive_records)] + ([(size > share, max(1, archive_bytes // greatest))] if greatest > share else [])
+    for rows, most in classes:
+        record(typed.where(rows)).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(path)
 
 
 def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
@@ -113,42 +121,70 @@ def parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     return end + len(HEAD_END), headers, block
 
 
-def parse_member(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
-    """The record in the gzip member at this place."""
-    unzip = zlib.decompressobj(31)
-    try:
-        plain = unzip.decompress(data[at:]) + unzip.flush()
-    except zlib.error:
-        return "bad gzip member"
+def unzipped(data: bytes, at: int, step: int = 1 << 16) -> tuple[int, bytes, str | None]:
+    """Where the gzip member at this place ends, what it holds as far as it can be read, and what is wrong with it. Later members are not copied."""
+    unzip, parts, view = zlib.decompressobj(31), [], memoryview(data)
+    while not unzip.eof and at < len(data):
+        before = unzip.copy() if step > 1 else None
+        try:
+            parts.append(unzip.decompress(view[at : at + step]))
+        except zlib.error:
+            if step > 1:  # what comes before the damage, byte by byte
+                unzip, step = before, 1
+                continue
+            return at, b"".join(parts), "bad gzip member"
+        at += step
     if not unzip.eof:
-        return "cut short"
-    found = parse(plain, 0)
-    if isinstance(found, str):
-        return found
-    if found[0] != len(plain):
-        return "more than one record in a member"
-    return len(data) - len(unzip.unused_data), found[1], found[2]
+        return len(data), b"".join(parts), "cut short"
+    return min(at, len(data)) - len(unzip.unused_data), b"".join(parts), None
+
 
+def salvage(data: bytes, zips: bool = True) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
+    """(begin, end, None, headers, payload) of each good record, (begin, end, reason, None, None) of each gap.
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
-    """(begin, end, None, headers, payload) of each good record, (begin, end, reason, None, None) of each gap, in order."""
+    A gzip member may hold many records; each has the member's place. What can be
+    read of a damaged one is searched too: its records count where they carry a
+    block digest and end before the damage, and the gap begins where the member does.
+    """
     at, gap, why = 0, None, None
+    line_at = member_at = -1
     while at < len(data):
-        zipped = data.startswith(MEMBER, at)
-        found = parse_member(data, at) if zipped else parse(data, at)
-        if not isinstance(found, str):
-            if gap is not None:
-                yield gap, at, why, None, None
-                gap = None
-            yield at, found[0], None, found[1], found[2]
-            at = found[0]
+        fault = None
+        if zips and data.startswith(MEMBER, at):
+            end, plain, fault = unzipped(data, at)
+            inner = list(salvage(plain, zips=False))
+            records = [(at, end, None, r[3], r[4]) for r in inner if r[2] is None and (fault is None or (r[1] < len(plain) and "warc-block-digest" in r[3]))]
+            if fault is None:
+                fault = next((r[2] for r in inner if r[2] is not None), None if records else "no record in the member")
+                over = bool(records)
+            else:
+                over = False  # where it ends is not known
+        else:
+            found = parse(data, at)
+            if isinstance(found, str):
+                fault, records, over = found, [], False
+            else:
+                end, records, over = found[0], [(at, found[0], None, found[1], found[2])], True
+        if gap is not None and records:
+            yield gap, at, why, None, None
+            gap = None
+        yield from records
+        if fault is None:
+            at = end
             continue
         if gap is None:
-            gap, why = at, found
-        line_at = VERSION_LINE.search(data, at + 1)
-        member_at = data.find(MEMBER, at + 1)
-        nexts = [x for x in (line_at.start() if line_at else -1, member_at) if x >= 0]
-        at = min(nexts, default=len(data))
+            gap, why = at, fault
+        if over:
+            yield gap, end, why, None, None
+            at, gap = end, None
+            continue
+        if line_at <= at:
+            line = VERSION_LINE.search(data, at + 1)
+            line_at = line.start() if line else len(data)
+        if zips and member_at <= at:
+            member_at = data.find(MEMBER, at + 1)
+            member_at = len(data) if member_at < 0 else member_at
+        at = min(line_at, member_at) if zips else line_at
     if gap is not None:
         yield gap, len(data), why, None, None
 
@@ -181,11 +217,11 @@ def read(spark, path: str) -> DataFrame:
 def page_records(spark, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and url of the page records; a revisit's payload is its response's."""
     number = lambda h: F.regexp_extract(F.col("headers")[h], r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    good = read(spark, path).where("status = 'record'").select(
+    good = stored(read(spark, path).where("status = 'record'").select(
         number("warc-record-id").alias("page_id"), F.col("headers")["warc-target-uri"].alias("url"), F.col("headers")["warc-type"].alias("record_type"),
         F.octet_length("payload").cast("long").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"),
         F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha256:", "").alias("digest"), number("warc-refers-to").alias("refers_to"),
-    )
+    ), "warc-records")  # the archives are read once
     plain = good.where("record_type = 'response'").select("page_id", F.col("own_bytes").alias("payload_bytes"), F.col("own_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"), "url")
     revisit = good.where("record_type = 'revisit'")
     # what revisits refer to: one row a response, however often it is revisited

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -115,6 +116,41 @@ def test_salvage_recovers_later_records(zipped):
     assert sum(1 for f in found if f[2]) == 3
 
 
+def test_members_of_many_records():
+    rng = random.Random(3)
+    made = [record(i, rng.randbytes(40_000)) for i in range(8)]
+    whole = gzip.compress(b"".join(made))
+    assert [h["warc-record-id"] for _, _, why, h, _ in warc.salvage(whole) if why is None] == [f"<urn:page:{i}>" for i in range(8)]
+    hurt = gzip.compress(b"".join([*made[:3], made[3][:-9], *made[4:]])) + record(9, b"nine")
+    found = list(warc.salvage(hurt))
+    assert [h["warc-record-id"] for _, _, why, h, _ in found if why is None] == [f"<urn:page:{i}>" for i in (0, 1, 2, 4, 5, 6, 7, 9)]
+    assert sum(1 for f in found if f[2]) == 1
+    short = whole[: len(whole) // 2] + gzip.compress(record(9, b"nine"))
+    found = list(warc.salvage(short))
+    assert [h["warc-record-id"] for _, _, why, h, _ in found if why is None] == [f"<urn:page:{i}>" for i in (0, 1, 2, 9)]
+    assert any(f[2] for f in found)
+    zeros = gzip.compress(b"".join(record(i, bytes(90)) for i in range(3)).replace(b"WARC-Block-Digest", b"X"))
+    assert [f[2] is None for f in warc.salvage(zeros)] == [True] * 3
+    assert not [f for f in warc.salvage(zeros[:-6]) if f[2] is None]  # damaged, and without digests
+
+
+def test_many_members_take_linear_time():
+    one = gzip.compress(record(1, random.Random(1).randbytes(7_000)))
+    began = time.time()
+    assert sum(1 for f in warc.salvage(one * 4_000) if f[2] is None) == 4_000
+    assert time.time() - began < 20
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * (20_000 if i % 10 == 0 else 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, str(tmp_path / "w"), archive_records=20, archive_bytes=130_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < 150_000 and len(sizes) <= 12
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.page_records(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (len(h), "response") for i, _, h in rows}
+
+
 def test_gaps_are_logged(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(1, b"one") + b"garbage" + record(2, b"two"))
     got = warc.read(spark, str(tmp_path)).orderBy("begin").collect()
