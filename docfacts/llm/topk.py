@@ -10,7 +10,10 @@ parent's routing vector; leaf pages whose entries store theirs to the page's.
 The trees are written as a table, one row a group.
 
 Queries come in blocks of bounded size, which are broadcast to the tasks that
-read the trees. A search takes nodes by least possible distance; a stored
+read the trees. Groups are searched best first too: centres and radii tell the
+group that may be nearest to each query, its k-th best there is the query's
+floor, and then a task takes its trees by least possible distance and unpacks
+only those that can hold a better candidate. A search takes nodes by least possible distance; a stored
 distance and the triangle inequality rule out a node or an entry before its own
 distance is computed. Scores are exact integers; bounds have slack for rounding.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +134,7 @@ def search(tree: dict, query_id: int, q: np.ndarray, size2: float, top: float, b
 
 
 def index(vectors: DataFrame, pivots: int = 16, group_rows: int = 8192) -> tuple[DataFrame, dict[int, tuple[float, list]]]:
-    """The table of trees (dim, tree), and by vector length the greatest squared norm with the pivots.
+    """The table of trees (dim, grp, centre, radius, tree), and by vector length the greatest squared norm with the pivots.
 
     Pivots are the rows with the smallest hashes, at most ``pivots`` a length;
     only they, one norm a length and one count a pivot come to the driver.
@@ -167,9 +171,11 @@ def index(vectors: DataFrame, pivots: int = 16, group_rows: int = 8192) -> tuple
         dim = t["dim"][0].as_py()
         x = matrix(t["q"].combine_chunks() if isinstance(t["q"], pa.ChunkedArray) else t["q"])
         tree = build(np.asarray(t["vec_id"]).astype(np.int64), x, shared.value[dim][0])
-        return pa.table({"dim": pa.array([dim], pa.int32()), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+        group, root = (t["pivot"][0].as_py() << 32) + t["part"][0].as_py(), tree["root"]
+        columns = [[dim], [group], [root["centre"].tolist()], [root["radius"]], [pickle.dumps(tree)]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.binary()), strict=True)], names=["dim", "grp", "centre", "radius", "tree"])
 
-    trees = salted.groupBy("dim", "pivot", "part").applyInArrow(grow, "dim int, tree binary")
+    trees = salted.groupBy("dim", "pivot", "part").applyInArrow(grow, "dim int, grp long, centre array<double>, radius double, tree binary")
     return stored(trees, "mtree"), known
 
 
@@ -190,28 +196,66 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id",
             out.append(float(scores[k - 1]) if len(scores) >= k else -np.inf)
         return out
 
+    def routed(batch: pa.RecordBatch, vecs: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each tree its row, the queries of its length, and the least distance they can have to its entries."""
+        points = {dim: (np.array([n for n, q in enumerate(vecs) if len(q) == dim]), np.array([[*q, 0.0] for q in vecs if len(q) == dim], float)) for dim in {len(q) for q in vecs}}
+        for row, (dim, centre, radius) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True)):
+            if dim in points:
+                at, x = points[dim]
+                yield row, at, np.maximum(0.0, np.sqrt(((x - np.asarray(centre.values)) ** 2).sum(axis=1)) - radius)
+
     for b in range(blocks):
         mine = [(r["vec_id"], list(r["q"])) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "q").collect()]
         shared = spark.sparkContext.broadcast((mine, known))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vecs = [np.array(q, np.int64) for _, q in shared.value[0]]
+            low, group = np.full(len(vecs), np.inf), np.zeros(len(vecs), np.int64)
+            for batch in batches:
+                for row, at, lows in routed(batch, vecs):
+                    better = at[lows < low[at]]
+                    low[at] = np.minimum(low[at], lows)
+                    group[better] = batch.column(1)[row].as_py()
+            n = np.flatnonzero(low < np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(low[n]), pa.array(group[n])], ["n", "low", "grp"])
+
+        # which group may be nearest to each query: a row a query
+        route = trees.select("dim", "grp", "centre", "radius").mapInArrow(nearest, "n long, low double, grp long")
+        first = {r["n"]: r["grp"] for r in route.groupBy("n").agg(F.min(F.struct("low", "grp"))["grp"].alias("grp")).collect()}
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, only: dict[int, int] | None = None, floors: dict[int, float] | None = None) -> Iterator[pa.RecordBatch]:
+            """The best candidates of each query: those of its group in ``only``, or all, of which none under its floor counts."""
             asked, known = shared.value
             vecs = [np.array(q, np.int64) for _, q in asked]
             sizes = [float(sum(int(x) * int(x) for x in q)) for _, q in asked]
             best: list[list[tuple[int, int]]] = [[] for _ in asked]
-            least = seeds(asked, vecs, known)
+            least = [max(x, (floors or {}).get(n, -np.inf)) for n, x in enumerate(seeds(asked, vecs, known))]
             for batch in batches:
-                for dim, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    tree, top = pickle.loads(blob.as_py()), known[dim][0]
-                    for n, (query_id, _) in enumerate(asked):
-                        if len(vecs[n]) == dim:
-                            q = vecs[n].astype(object) if tree["x"].dtype == object or abs(vecs[n]).max(initial=0) >= 1 << 28 else vecs[n]
-                            search(tree, query_id, q, sizes[n], top, best[n], k, least[n])
-            out = [(asked[n][0], -i, s) for n, heap in enumerate(best) for s, i in heap]
+                dims, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                found = [(float(lows.min()), row, at, lows) for row, at, lows in routed(batch, vecs)]
+                for _, row, at, lows in sorted(found, key=lambda f: f[:2]):  # near groups first
+                    top = known[dims[row]][0]
+                    able = []
+                    for n, low in zip(at.tolist(), lows.tolist(), strict=True):
+                        bound = max(least[n], best[n][0][0]) if len(best[n]) == k else least[n]
+                        far = np.sqrt(max(sizes[n] + top - 2.0 * bound, 0.0) + 1e-9 * (sizes[n] + top) + 1e-6) if bound > -np.inf else np.inf
+                        if low <= far + 1e-9 and (only is None or only.get(n) == groups[row]):
+                            able.append(n)
+                    if not able:
+                        continue
+                    tree = pickle.loads(batch.column(4)[row].as_py())
+                    for n in able:
+                        q = vecs[n].astype(object) if tree["x"].dtype == object or abs(vecs[n]).max(initial=0) >= 1 << 28 else vecs[n]
+                        search(tree, asked[n][0], q, sizes[n], top, best[n], k, least[n])
+            out = [(n, asked[n][0], -i, s) for n, heap in enumerate(best) for s, i in heap]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["n", "query_id", "vec_id", "score"])
 
-        part = trees.mapInArrow(run, "query_id long, vec_id long, score long")
+        schema = "n long, query_id long, vec_id long, score long"
+        # first the one nearest group of each query, for a floor: at most k rows a query
+        early = trees.where(F.col("grp").isin(sorted(set(first.values())))).mapInArrow(partial(run, only=first), schema)
+        floors = {r["n"]: float(r["s"]) for r in early.groupBy("n").agg(F.min("score").alias("s"), F.count("*").alias("c")).where(F.col("c") == k).collect()}
+        part = trees.mapInArrow(partial(run, floors=floors), schema).drop("n")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
