@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm import html_text, jaccard, linededup, lm_score, merkle, packing, sentencepiece_lattice, topk, toxicity, warc
+from docfacts.llm import filter_audit, html_text, jaccard, linededup, lm_score, merkle, packing, sentencepiece_lattice, topk, toxicity, vector_codes, warc
 from docfacts.llm.common import table
 
 
@@ -67,7 +67,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_line_dedup, op4_ngram_jaccard_join, op5_document_fingerprints, op6_toxicity, op7_html_extraction, op8_exact_top_k, op9_sentencepiece, op10_warc)}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_line_dedup, op4_ngram_jaccard_join, op5_document_fingerprints, op6_toxicity, op7_html_extraction, op8_exact_top_k, op9_sentencepiece, op10_warc, op12_vector_codes, op13_filter_audit)}
 
 OP3_SQL = r"""
 WITH d AS (
@@ -148,4 +156,60 @@ WITH d AS (
 SELECT doc_id, coalesce(k, 0)::BIGINT AS n_tokens, round(coalesce(cn, 0), 6) AS ce_background, round(coalesce(ct, 0), 6) AS ce_target, round(coalesce(ct - cn, 0), 6) AS score FROM d LEFT JOIN e USING (doc_id)
 """
 
-ORACLES = {"op2_lm_scoring": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc": OP10_SQL}
+OP12_ROUND = """, d{n} AS (
+  SELECT s.r, s.p, min((list_sum(list_transform(list_zip(s.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.e)) AS m FROM s JOIN b{n} b USING (p) GROUP BY s.r, s.p
+)"""
+OP12_UPDATE = """, u{n} AS (
+  SELECT p, e, i, sum(v)::HUGEINT AS total, count(*)::HUGEINT AS n FROM (SELECT p, m[2] AS e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM s JOIN d{n} USING (r, p)) y GROUP BY p, e, i
+), b{m} AS (
+  SELECT p, e, coalesce(mean, c) AS c FROM b{n} LEFT JOIN (SELECT p, e, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY i) AS mean FROM u{n} GROUP BY p, e) t USING (p, e)
+)"""
+OP12_SQL = (
+    """
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), f AS (
+  SELECT q, row_number() OVER (ORDER BY vec_id, q) - 1 AS e FROM (SELECT * FROM k WHERE vec_id IS NOT NULL ORDER BY vec_id, q LIMIT 64) h
+), s AS (
+  SELECT r, p, q[p * len(q) // 16 + 1 : (p + 1) * len(q) // 16] AS x FROM k, range(16) t(p)
+), b0 AS (
+  SELECT p, e, q[p * len(q) // 16 + 1 : (p + 1) * len(q) // 16] AS c FROM f, range(16) t(p)
+)"""
+    + OP12_ROUND.format(n=0) + OP12_UPDATE.format(n=0, m=1) + OP12_ROUND.format(n=1) + OP12_UPDATE.format(n=1, m=2) + OP12_ROUND.format(n=2)
+    + """, z AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS sha FROM b2
+), c AS (
+  SELECT r, string_agg(lower(lpad(to_hex(m[2]), 2, '0')), '' ORDER BY p) AS code, sum(m[1])::BIGINT AS error FROM d2 GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM c JOIN k USING (r), z
+"""
+)
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM t
+), m AS (
+  SELECT part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask,
+    doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS bad FROM w
+), g AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM m GROUP BY part, mask
+), o AS (
+  SELECT '' AS filter_order, 0 AS step, 0 AS before, 0 AS own, 0 AS all_before
+  UNION ALL SELECT filter_order || chr(65 + i), step + 1, all_before, 1 << i, all_before + (1 << i) FROM o, (SELECT unnest(range(5))::INT AS i) l WHERE step < 5 AND all_before & (1 << i) = 0
+), s AS (
+  SELECT p.filter_order, x.step, x.before, x.own FROM o p JOIN o x ON p.step = 5 AND x.step > 0 AND left(p.filter_order, x.step) = x.filter_order
+), r AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+ORACLES = {"op12_vector_codes": OP12_SQL, "op13_filter_audit": OP13_SQL, "op2_lm_scoring": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc": OP10_SQL}
