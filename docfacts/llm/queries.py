@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfacts.llm import filter_audit, html_text, jaccard, linededup, lm_score, merkle, packing, sentencepiece_lattice, topk, toxicity, vector_codes, warc
+from docfacts.llm import filter_audit, html_text, jaccard, linededup, lm_score, merkle, packing, sentencepiece_lattice, topk, toxicity, url_templates, vector_codes, warc
 from docfacts.llm.common import table
 
 
@@ -67,6 +67,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: The rules of op11: host, begin of the path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -75,7 +83,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_line_dedup, op4_ngram_jaccard_join, op5_document_fingerprints, op6_toxicity, op7_html_extraction, op8_exact_top_k, op9_sentencepiece, op10_warc, op12_vector_codes, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_lm_scoring, op3_line_dedup, op4_ngram_jaccard_join, op5_document_fingerprints, op6_toxicity, op7_html_extraction, op8_exact_top_k, op9_sentencepiece, op10_warc, op11_url_filters, op12_vector_codes, op13_filter_audit)}
 
 OP3_SQL = r"""
 WITH d AS (
@@ -156,6 +164,46 @@ WITH d AS (
 SELECT doc_id, coalesce(k, 0)::BIGINT AS n_tokens, round(coalesce(cn, 0), 6) AS ce_background, round(coalesce(ct, 0), 6) AS ce_target, round(coalesce(ct - cn, 0), 6) AS score FROM d LEFT JOIN e USING (doc_id)
 """
 
+
+
+def op11_sql(depth: int = 3, share: float = 0.05, support: int = 4, least: float = 0.5) -> str:
+    """The template tree level by level; branches are folded by recursion over their order."""
+    stem = r"regexp_extract({0}, '(?s)^(.*?)(\.[A-Za-z]{{2,5}})?\z', 1)"
+    shape = (r"(CASE WHEN regexp_matches(" + stem + r", '^[0-9]+\z') THEN '{{n}}' WHEN regexp_matches(" + stem + r", '^[A-Za-z_-]+\z') THEN '{{w}}' ELSE '{{x}}' END || regexp_extract({0}, '(?s)^(.*?)(\.[A-Za-z]{{2,5}})?\z', 2))").format
+    total = "list_sum({0})".format
+    terms = "list_sum(list_transform(list_zip({0}, {1}), lambda z: CASE WHEN z[1] + z[2] > 0 THEN (z[1] * list_sum({1}) - z[2] * list_sum({0})) ** 2 / (z[1] + z[2]) ELSE 0 END))".format
+    freedom = "(len(list_filter(list_zip({0}, {1}), lambda z: z[1] + z[2] > 0)) - 1)".format
+    apart = lambda a, b: f"({total(a)} > 0 AND {total(b)} > 0 AND {freedom(a, b)} > 0 AND {terms(a, b)} / ({total(a)} * {total(b)}) > {freedom(a, b)} + 3 * sqrt(2.0 * {freedom(a, b)}))"
+    added = "list_transform(list_zip({0}, {1}), lambda z: z[1] + z[2])".format
+    kinds = ", ".join(f"count(*) FILTER (WHERE {w})::DOUBLE" for w in ("k IS NULL", *[f"{k} AND {m}" for k in ("k = '{n}'", "k = '{w}'", "k = '{x}'", "length(k) > 3") for m in ("NOT more", "more")]))
+    step = lambda i, literal: f"CASE WHEN segs[{i + 1}] IS NULL THEN '' ELSE '/' || coalesce({literal}, {shape(f'segs[{i + 1}]')}) END"
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    ctes = [
+        "u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages)",
+        "h AS (SELECT r, page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u)",
+        f"x AS (SELECT r, max((length(h || p), length(h), h || p, v)) AS x FROM h JOIN (VALUES {rules}) l(h, p, v) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)",
+        "t0 AS (SELECT h.*, x[3] AS rule, x[4] AS ruled, list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS template, '' AS plain, coalesce(x[4] = 'allow', false)::INT AS good, coalesce(x[4] = 'block', false)::INT AS bad FROM h LEFT JOIN x USING (r))",
+    ]
+    for i in range(depth):
+        ctes += [
+            f"a{i} AS (SELECT host, template, segs[{i + 1}] AS s, CASE WHEN segs[{i + 2}] IS NOT NULL THEN {shape(f'segs[{i + 2}]')} END AS k, len(segs) > {i + 2} AS more, good, bad FROM t{i} WHERE len(segs) > {i})",
+            f"c{i} AS (SELECT host, template, s, count(*) AS n, sum(good)::DOUBLE AS good, sum(bad)::DOUBLE AS bad, [{kinds}] AS nx FROM a{i} GROUP BY ALL)",
+            f"l{i} AS (SELECT c.*, [good, bad] AS lb, row_number() OVER (PARTITION BY host, template ORDER BY list_position(nx, list_max(nx)) DESC, (good + 1) / (good + bad + 2) DESC, s DESC) AS rn FROM c{i} c JOIN (SELECT host, template, count(*) AS pages FROM a{i} GROUP BY ALL) USING (host, template) WHERE n >= {support} AND n >= {share} * pages)",
+            f"m{i} AS (SELECT host, template, s, rn, 1 AS g, nx, lb FROM l{i} WHERE rn = 1 UNION ALL SELECT host, template, s, rn, g + new::INT, CASE WHEN new THEN nb ELSE {added('na', 'nb')} END, CASE WHEN new THEN lbb ELSE {added('la', 'lbb')} END FROM "
+            f"(SELECT l.host, l.template, l.s, l.rn, m.g, m.nx AS na, m.lb AS la, l.nx AS nb, l.lb AS lbb, {apart('m.nx', 'l.nx')} OR {apart('m.lb', 'l.lb')} AS new FROM m{i} m JOIN l{i} l ON m.host = l.host AND m.template = l.template AND l.rn = m.rn + 1) y)",
+            f"b{i} AS (SELECT host, template, s, CASE WHEN count(*) OVER w = 1 THEN s ELSE '{{' || array_to_string(list_sort(list(s) OVER w), '|') || '}}' END AS branch FROM m{i} WINDOW w AS (PARTITION BY host, template, g))",
+            f"t{i + 1} AS (SELECT t.* EXCLUDE (template, plain), t.template || {step(i, 'branch')} AS template, plain || {step(i, 'b.s')} AS plain FROM t{i} t LEFT JOIN b{i} b ON t.host = b.host AND t.template = b.template AND b.s = segs[{i + 1}])",
+        ]
+    tail = f"array_to_string(list_transform(segs[{depth + 1}:], lambda s: '/' || {shape('s')}), '')"
+    ctes += [
+        f"t AS (SELECT * EXCLUDE (template, plain), template || {tail} AS template, plain || {tail} AS plain FROM t{depth})",
+        "e AS (SELECT (sum(good) + 1.0::DOUBLE) / (sum(good) + sum(bad) + 2) AS base FROM t)",
+        "p AS (SELECT plain, round_even((sum(good) + 2 * base) / (sum(good) + sum(bad) + 2) * 1e6, 0)::BIGINT AS prior FROM t, e GROUP BY plain, base)",
+        "f AS (SELECT host, template, (sum(good) + 2 * (sum(prior)::DOUBLE / count(*) / 1e6)) / (sum(good) + sum(bad) + 2) AS purity FROM t JOIN p USING (plain) GROUP BY host, template)",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity < {least} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM t JOIN f USING (host, template)"
+
+
 OP12_ROUND = """, d{n} AS (
   SELECT s.r, s.p, min((list_sum(list_transform(list_zip(s.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, b.e)) AS m FROM s JOIN b{n} b USING (p) GROUP BY s.r, s.p
 )"""
@@ -212,4 +260,4 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
   (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
 """
 
-ORACLES = {"op12_vector_codes": OP12_SQL, "op13_filter_audit": OP13_SQL, "op2_lm_scoring": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op11_url_filters": op11_sql(), "op12_vector_codes": OP12_SQL, "op13_filter_audit": OP13_SQL, "op2_lm_scoring": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc": OP10_SQL}
