@@ -51,7 +51,7 @@ def site(rng, n=400):
 
 
 def test_similar_branches_merge_and_others_do_not(spark):
-    rules = [("s.example", "/blog/", "allow"), ("s.example", "/go/1", "block")]
+    rules = [("s.example", "/blog/", "allow"), ("s.example", "/shop/1", "allow"), ("s.example", "/go/1", "block")]
     urls = site(random.Random(0))
     got = judged(spark, urls, rules)
     templates = {r.template for r in got.values()}
