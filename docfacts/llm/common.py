@@ -39,23 +39,21 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docfacts-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder.
-
-    Preferred to ``cut`` for wide or large intermediate results: columnar,
-    compressed, and read back with column pruning and known sizes.
-    """
+    """Cut the lineage with a Parquet table in the shared folder: columnar, compressed, read back with column pruning and known sizes."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove ``stored`` tables of a finished step from the shared folder; nothing may read them any more."""
     for df in tables:

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import discard, stored, tidy, with_text
+from docfacts.llm.common import discard, free_name, stored, tidy, with_text
 from docfacts.llm.packing import slices
 
 FEW_IDS = 1_000_000
@@ -311,6 +311,7 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, ro
 def one_of_each(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay when one document of each component does: the one whose id names it. Rows without id all stay."""
     found = near_duplicates(df, k, num, den, id_col=id_col, text_col=text_col)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    name = free_name(df, "__gone")
+    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
     few = gone.count() <= FEW_IDS
-    return df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col(name), "left_anti")

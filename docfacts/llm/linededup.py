@@ -50,24 +50,27 @@ def boilerplate(df: DataFrame, host: Column, text: Column, ratio: float = RATIO,
     return often.groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_lines(df: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = 100_000, salts: int = 32) -> DataFrame:
-    """The table with its text rebuilt, and ``n_lines`` and ``n_dropped`` in a struct ``line_dedup``.
+def drop_lines(df: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = 100_000, salts: int = 32, facts: str = "line_dedup") -> DataFrame:
+    """The table with its text rebuilt, and ``n_lines`` and ``n_dropped`` in a struct ``facts`` (instead of a column of that name).
 
     The lines to drop are broadcast where they were counted to be few;
     otherwise each host's list is repeated for ``salts`` salts, and the pages
     meet it by host and salt, so that a hot host is spread.
     """
-    drop = stored(boilerplate(df, host, F.col(text_col), ratio, min_pages), "lines").select(F.col("host").alias("__host"), F.col("keys").alias("__keys"))
-    few = (drop.agg(F.sum(F.size("__keys"))).first()[0] or 0) <= broadcast_lines
+    drop = stored(boilerplate(df, host, F.col(text_col), ratio, min_pages), "lines").select(F.col("host").alias("of"), "keys")
+    few = (drop.agg(F.sum(F.size("keys"))).first()[0] or 0) <= broadcast_lines
+    # the row as one column: no name of its own meets one of ours
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), host.alias("host"), F.col(text_col).alias("text"))
     if few:
-        met = df.join(F.broadcast(drop), host.eqNullSafe(F.col("__host")), "left")
+        met = rows.join(F.broadcast(drop), F.col("host").eqNullSafe(F.col("of")), "left")
     else:
-        spread = drop.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = df.join(spread, host.eqNullSafe(F.col("__host")) & (F.pmod(F.xxhash64(F.col(text_col)), F.lit(salts)) == F.col("__salt")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__keys"), line_key(x)), F.lit(False)))
-    rebuilt = F.when(F.col("__keys").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-    n_kept = F.when(F.col("__keys").isNull() | F.col(text_col).isNull(), n_lines).otherwise(F.size(kept))
-    columns = [rebuilt.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return met.select(*columns, F.struct(n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")).alias("line_dedup"))
+        spread = drop.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = rows.join(spread, F.col("host").eqNullSafe(F.col("of")) & (F.pmod(F.xxhash64("text"), F.lit(salts)) == F.col("salt")), "left")
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("keys"), line_key(x)), F.lit(False)))
+    as_it_is = F.col("keys").isNull() | F.col("text").isNull()
+    rebuilt = F.when(as_it_is, F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    n_kept = F.when(as_it_is, n_lines).otherwise(F.size(kept))
+    columns = [(rebuilt if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in df.columns if c != facts]
+    return met.select(*columns, F.struct(n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")).alias(facts))

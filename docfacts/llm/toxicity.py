@@ -1,7 +1,8 @@
 """Toxicity: a linear-chain conditional random field over the words of a document.
 
-Training (driver, on a bounded sample of labelled documents): document labels
-become word labels: words and word beginnings that are found mostly in toxic
+Training, on a bounded sample of labelled documents that tasks read (the driver
+gets counts of features, a bounded number of windows, and four figures a text):
+document labels become word labels: words and word beginnings that are found mostly in toxic
 documents, and in more of them than chance allows, mark the tokens of the
 sample's toxic documents. A two-state chain (clean, toxic) with the word
 itself, its beginnings (compounds of one stem) and its two neighbours as features is fitted to windows of tokens by
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import release_memory, tidy, with_text
+from docfacts.llm.common import discard, release_memory, stored, tidy, with_text
 from docfacts.llm.packing import slices
 
 FOLDS = 5
@@ -139,96 +140,81 @@ def expected_counts(score: np.ndarray, bounds: np.ndarray, step: np.ndarray) ->
     return both / (1 + both), (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
-def document_features(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected number of toxic words, and the greatest marginal (0 without words)."""
-    total = np.concatenate(([0], np.cumsum(p)))
-    expected = np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0)
+def document_features(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected number of toxic words, the same of two readings that agree, and the greatest marginal (0 without words).
+
+    Agreement weighs a marginal by itself: the many small ones of a long clean
+    document come to little.
+    """
+    def over(x: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(x)))
+        return np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0)
+
     most = np.zeros(len(bounds) - 1)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         most[full] = np.maximum.reduceat(p, bounds[:-1][full])
-    return expected, most
+    return over(p), over(p * p), most
 
 
-def layer_input(expected: np.ndarray, most: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def layer_input(agreed: np.ndarray, most: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Of the document score; a chance hit is likelier in a long document."""
-    return np.column_stack((np.ones(len(most)), np.log(0.05 + expected), most, most * np.log1p(np.diff(bounds))))
+    return np.column_stack((np.ones(len(most)), np.log(0.05 + agreed), most, most * np.log1p(np.diff(bounds))))
 
 
-def lone_documents(of_doc: list[np.ndarray], hashes: np.ndarray, toxic: np.ndarray) -> list[int]:
+def lone_documents(lows: list[tuple[int, ...]], toxic: list[bool]) -> list[int]:
     """One document of each group of near copies, told by their four smallest word hashes: copies are no evidence of their own."""
     first: dict[tuple, int] = {}
-    for i, words in enumerate(of_doc):
-        low = tuple(np.sort(hashes[words])[:4].tolist())
+    for i, low in enumerate(lows):
         j = first.setdefault(low, i)
         if toxic[i] and not toxic[j]:
             first[low] = i
     return sorted(first.values())
 
 
-def toxic_features(codes: np.ndarray, of_doc: list[np.ndarray], alone: list[int], toxic: np.ndarray, precision: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
-    """How many documents have each feature (words and beginnings), and which features mark toxic ones: mostly in those, and in too many for chance."""
-    size = int(codes.max(initial=0)) + 1
-    every, total, bad = np.zeros(size), np.zeros(size), np.zeros(size)
-    lone = set(alone)
-    for i, words in enumerate(of_doc):
-        own = np.unique(codes[:, words])
-        every[own] += 1
-        if i in lone:
-            total[own] += 1
-            if toxic[i]:
-                bad[own] += 1
-    rate, chance = toxic[alone].mean(), np.log((total > 0).sum() + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        marks = ((bad - 0.5) / (total + 0.5) >= precision) & (bad * np.log(bad / total / rate) >= chance)
-    marks[0] = False
-    return every, marks
-
-
-def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int = 20_000, rounds: int = 80, seed: int = 7) -> Model | None:
-    """The model of the labelled texts; None without two classes."""
-    unique: dict[str, int] = {}
-    for t, y in zip(texts, labels, strict=True):  # copies would count as evidence again and again
-        unique[t] = max(unique.get(t, 0), y)
-    texts, toxic = list(unique), np.array(list(unique.values()), bool)
-    if not toxic.any() or toxic.all():
-        return None
-    array = pa.array(texts, pa.string())
-    split = pc.ascii_split_whitespace(array)
+def smallest_hashes(texts: pa.Array) -> list[tuple[int, ...]]:
+    """The four smallest hashes of each text's words."""
+    split = pc.ascii_split_whitespace(texts)
     bounds = np.asarray(split.offsets).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    features = pa.concat_arrays(word_features(coded.dictionary)).dictionary_encode()
-    codes = (np.asarray(pc.fill_null(features.indices, -1)) + 1).reshape(-1, len(coded.dictionary))
-    indices = np.asarray(coded.indices)
-    of_doc = [np.unique(indices[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    hashes = np.fromiter((zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-    alone = lone_documents(of_doc, hashes, toxic)
-    every, found = toxic_features(codes, of_doc, alone, toxic)
-    kept = (every[1:] >= 3) | found[1:]
-    vocabulary = features.dictionary.filter(pa.array(kept))
-    words = vocabulary.to_pylist()
-    marks = np.concatenate(([False], found[1:][kept]))
-    del features, codes, of_doc, hashes, split, coded, indices
-    release_memory()
-    number, tokens, bounds = word_codes(array, vocabulary)
-    tokens = tokens.astype(np.int32)
-    del array
-    release_memory()
-    target = marks[number].any(axis=0)[tokens] & np.repeat(toxic, np.diff(bounds))
-
-    cuts = np.concatenate([np.arange(a, b, window) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] + [np.array([bounds[-1]])])
-    cuts = np.unique(cuts)
-    hot = np.add.reduceat(target, cuts[:-1]) > 0 if len(cuts) > 1 else np.zeros(0, bool)
-    rng = np.random.default_rng(seed)
-    keep = [rng.permutation(np.flatnonzero(hot == side))[: most_windows // 2] for side in (True, False)]
-    chosen = np.sort(np.concatenate(keep))
-    take = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in chosen]) if len(chosen) else np.zeros(0, np.int64)
-    wb = np.concatenate(([0], np.cumsum(np.diff(cuts)[chosen])))
-    x, y = tokens[take], target[take].astype(float)
-    if not len(x):
-        return None
+    hashes = np.fromiter((zlib.crc32(w.encode()) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))[np.asarray(coded.indices)]
+    bounds = bounds - bounds[0]
+    return [tuple(np.unique(hashes[a:b])[:4].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
 
-    emit, bias, step = np.zeros((3, len(words) + 1)), -2.0, np.zeros((2, 2))
+def feature_counts(texts: pa.Array, toxic: np.ndarray, alone: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The features of the texts, and of each in how many texts, lone texts, and toxic lone texts it is."""
+    split = pc.ascii_split_whitespace(texts)
+    bounds = np.asarray(split.offsets).astype(np.int64)
+    coded = split.flatten().dictionary_encode()
+    features = pa.concat_arrays(word_features(coded.dictionary.cast(pa.string()))).dictionary_encode()
+    codes = np.asarray(pc.fill_null(features.indices, -1)).astype(np.int64).reshape(-1, len(coded.dictionary))
+    size, doc = len(features.dictionary), np.repeat(np.arange(len(texts)), np.diff(bounds))
+    own = np.unique(doc * max(1, len(coded.dictionary)) + np.asarray(coded.indices))  # distinct words of each text
+    doc, word = np.divmod(own, max(1, len(coded.dictionary)))
+    pairs = np.unique(np.concatenate([doc * (size + 1) + row[word] + 1 for row in codes]))
+    doc, code = np.divmod(pairs, size + 1)
+    doc, code = doc[code > 0], code[code > 0] - 1
+    return features.dictionary, np.array([np.bincount(code, minlength=size), np.bincount(code, alone[doc], size), np.bincount(code, alone[doc] & toxic[doc], size)]).astype(np.int64)
+
+
+def windows(key: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of the texts begin and end, and a rank for each that depends on its text's key and its place alone."""
+    starts = [np.arange(a, b, width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    n = np.array([len(x) for x in starts], np.int64)
+    cuts = np.concatenate([*starts, bounds[-1:]])
+    place = np.concatenate([np.arange(k) for k in n]) if len(n) else n
+    with np.errstate(over="ignore"):
+        rank = (np.repeat(key, n).astype(np.uint64) + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        rank = (rank ^ (rank >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return cuts, (rank ^ (rank >> np.uint64(32))).astype(np.int64)
+
+
+def fit_chain(codes: np.ndarray, y: np.ndarray, wb: np.ndarray, size: int, rounds: int = 80) -> tuple[np.ndarray, float, np.ndarray]:
+    """Emissions, bias and transitions of the chain. codes: feature numbers (kinds x tokens); wb: where the windows begin."""
+    number, x = np.unique(codes, axis=1, return_inverse=True)
+    x = x.ravel()
+    emit, bias, step = np.zeros((3, size)), -2.0, np.zeros((2, 2))
     inner = np.ones(len(x), bool)
     inner[wb[:-1]] = False
     prev = np.flatnonzero(inner)
@@ -245,9 +231,9 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
         grad = np.zeros_like(emit)
         of_word = np.bincount(x, gap, number.shape[1])
         for row in number:
-            grad[0] += np.bincount(row, of_word, len(words) + 1)
-        grad[1] = np.bincount(lone, np.bincount(x[prev - 1], gap[prev], number.shape[1]), len(words) + 1)
-        grad[2] = np.bincount(lone, np.bincount(x[prev], gap[prev - 1], number.shape[1]), len(words) + 1)
+            grad[0] += np.bincount(row, of_word, size)
+        grad[1] = np.bincount(lone, np.bincount(x[prev - 1], gap[prev], number.shape[1]), size)
+        grad[2] = np.bincount(lone, np.bincount(x[prev], gap[prev - 1], number.shape[1]), size)
         grad[:, 0] = 0  # the unknown
         grad -= 0.05 * emit
         side = gap.sum()
@@ -259,53 +245,145 @@ def fit(texts: list[str], labels: list[int], window: int = 32, most_windows: int
         emit += 0.15 * (moment[0] / a) / (np.sqrt(moment[1] / b) + 1e-2)
         bias += 0.15 * (moment[2] / a) / (np.sqrt(moment[3] / b) + 1e-2)
         step += 0.05 * (moment[4] / a) / (np.sqrt(moment[5] / b) + 1e-2)
+    return emit, bias, step
 
-    del moment, grad, p, gap, pairs, of_word, x, y, take, target, prev, inner
-    z = []
-    for i in range(0, len(bounds) - 1, 200):
-        at = bounds[i : i + 201]
-        p = marginals(emissions(number, tokens[at[0] : at[-1]], at - at[0], emit, bias), at - at[0], step)
-        z.append(layer_input(*document_features(p, at - at[0]), at - at[0]))
-    z = np.concatenate(z)
+
+def fit_layer(z: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic weights by Newton steps with a little shrinkage."""
     layer = np.zeros(z.shape[1])
-    for _ in range(60):  # Newton steps with a little shrinkage
+    for _ in range(60):
         q = 1 / (1 + np.exp(-np.clip(z @ layer, -30, 30)))
         hessian = (z * (q * (1 - q))[:, None]).T @ z + 0.1 * np.eye(z.shape[1])
         change = np.linalg.solve(hessian, z.T @ (toxic - q) - 0.1 * layer)
         layer += np.clip(change, -2, 2)
         if np.abs(change).max() < 1e-6:
             break
-    return Model(words, emit, bias, step, layer)
+    return layer
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1200, most_clean: int = 2400) -> Model | None:
-    """The model from at most ``most_toxic`` and ``most_clean`` labelled documents outside the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_toxic: int, most_clean: int) -> DataFrame | None:
+    """key, text, y of the labelled texts to learn from, each text once (toxic if any of its rows is); None without two classes.
 
-    The sample takes the smallest hashes of the ids, so it is the same on every
-    run. Only its ids (first) and texts (then) come to the driver.
+    The smallest hashes of the ids are taken, so the sample is the same on every
+    run. Ids and keys come to the driver, at most ``most_toxic + most_clean``; texts do not.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rank = F.xxhash64("doc_id")
+    rank, spark = F.xxhash64("doc_id"), docs.sparkSession
     picked = [r for side, most in ((0, most_clean), (1, most_toxic)) for r in known.where(F.col("y") == side).orderBy(rank, "doc_id").limit(most).collect()]
     if len({r["y"] for r in picked}) < 2:
         return None
-    few = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in picked], "doc_id long, y int")
-    rows = with_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(most_toxic + most_clean).collect()
-    texts, known_labels = [r["text"] for r in rows], [r["y"] for r in rows]
-    del rows
-    model = fit(texts, known_labels)
-    del texts
+    few = spark.createDataFrame([(r["doc_id"], r["y"]) for r in picked], "doc_id long, y int")
+    rows = stored(with_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").select("doc_id", "text", "y", F.xxhash64("text").alias("key")), "toxic-rows")
+    keys = rows.groupBy("key").agg(F.max("y").alias("y"), F.min(rank).alias("rank")).orderBy("rank", "key").limit(most_toxic + most_clean).select("key", "y").collect()
+    if len({r["y"] for r in keys}) < 2:
+        return None
+    once = spark.createDataFrame([tuple(r) for r in keys], "key long, y int")
+    chosen = stored(rows.select("key", "text").join(F.broadcast(once), "key").groupBy("key", "y").agg(F.first("text").alias("text")).select("key", "text", "y"), "toxic-sample")
+    discard(rows)
+    return chosen
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+    """key, text and label of the sample's rows, about a megabyte of text at a time."""
+    for batch in batches:
+        for i, j in slices(batch.column(1), 1 << 20):
+            rows = batch.slice(i, j - i)
+            yield np.asarray(rows.column(0)), pc.ascii_trim_whitespace(rows.column(1)), np.asarray(rows.column(2)) == 1
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_toxic: int = 1200, most_clean: int = 2400, window: int = 32, most_windows: int = 20_000) -> Model | None:
+    """The model from at most ``most_toxic`` and ``most_clean`` labelled documents outside the held-out fold; None without two classes.
+
+    Tasks read the sample's texts. To the driver come four hashes a text, the
+    features of several texts, at most ``most_windows`` windows of ``window``
+    words as feature numbers, and four figures a text: nothing of the length of texts.
+    """
+    chosen = sample(docs, labels, id_col, text_col, label_col, most_toxic, most_clean)
+    if chosen is None:
+        return None
+    context = docs.sparkSession.sparkContext
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, texts, toxic in in_slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(toxic), pa.array(smallest_hashes(texts), pa.list_(pa.int64()))], ["key", "toxic", "low"])
+
+    found = sorted(chosen.mapInArrow(tidy(hashed), "key long, toxic boolean, low array<long>").collect(), key=lambda r: r["key"])
+    toxic = [r["toxic"] for r in found]
+    alone = lone_documents([tuple(r["low"]) for r in found], toxic)
+    rate = float(np.mean([toxic[i] for i in alone]))
+    lone = context.broadcast(np.array(sorted(found[i]["key"] for i in alone), np.int64))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, texts, toxic in in_slices(batches):
+            features, counts = feature_counts(texts, toxic, np.isin(key, lone.value))
+            yield pa.RecordBatch.from_arrays([features, *[pa.array(c) for c in counts]], ["feature", "docs", "total", "bad"])
+
+    sums = chosen.mapInArrow(tidy(counted), "feature string, docs long, total long, bad long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("docs", "total", "bad")])
+    sums = stored(sums, "toxic-features")
+    chance = float(np.log(sums.where("total > 0").count() + 1))
+    bad, total = F.col("bad"), F.col("total")
+    marks = F.coalesce(((bad - 0.5) / (total + 0.5) >= 0.7) & (bad * F.ln(F.try_divide(bad, total) / rate) >= chance), F.lit(False)) if rate else F.lit(False)  # mostly in toxic texts, and in too many for chance
+    kept = sums.select("feature", "docs", marks.alias("mark")).where("docs >= 3 OR mark").orderBy("feature").collect()
+    discard(sums)
+    words = [r["feature"] for r in kept]
+    shared = context.broadcast((words, np.array([False, *[r["mark"] for r in kept]])))
+    half = most_windows // 2
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, marked = pa.array(shared.value[0], pa.string()), shared.value[1]
+        for key, texts, toxic in in_slices(batches):
+            number, tokens, bounds = word_codes(texts, vocabulary)
+            target = marked[number].any(axis=0)[tokens] & np.repeat(toxic, np.diff(bounds))
+            cuts, rank = windows(key, bounds, window)
+            if not len(rank):
+                continue
+            hot = np.add.reduceat(target, cuts[:-1]) > 0
+            few = np.sort(np.concatenate([at[np.argsort(rank[at], kind="stable")[:half]] for at in (np.flatnonzero(hot), np.flatnonzero(~hot))]))
+            take = np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in few])
+            at = np.concatenate(([0], np.cumsum(np.diff(cuts)[few]))).astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(at * len(number)), pa.array(np.ascontiguousarray(number[:, tokens[take]].T).ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(hot[few]), pa.array(rank[few]), codes, pa.ListArray.from_arrays(pa.array(at), pa.array(target[take]))], ["hot", "rank", "codes", "target"])
+
+    every = stored(chosen.mapInArrow(tidy(cut), "hot boolean, rank long, codes array<int>, target array<boolean>"), "toxic-windows")
+    parts = [every.where(F.col("hot") == side).orderBy("rank", "codes").limit(half).select("codes", "target").toArrow() for side in (True, False)]
+    taken = pa.concat_tables(parts).combine_chunks()
+    discard(every)
+    if not len(taken):
+        return None
+    target = taken["target"].chunk(0) if taken["target"].num_chunks else taken["target"]
+    codes = taken["codes"].chunk(0).flatten()
+    wb = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(target)).astype(np.int64))))
+    y = np.asarray(target.flatten()).astype(float)
+    codes = np.asarray(codes).reshape(len(y), -1).T
+    del taken, parts
+    emit, bias, step = fit_chain(codes, y, wb, len(words) + 1)
     release_memory()
-    return model
+    chain = context.broadcast((words, emit, bias, step))
+
+    def layered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, emit, bias, step = chain.value
+        vocabulary = pa.array(words, pa.string())
+        for key, texts, toxic in in_slices(batches):
+            number, tokens, bounds = word_codes(texts, vocabulary)
+            p = marginals(emissions(number, tokens, bounds, emit, bias), bounds, step)
+            z = layer_input(*document_features(p, bounds)[1:], bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(toxic), pa.array(list(z), pa.list_(pa.float64()))], ["key", "toxic", "z"])
+
+    rows = sorted(chosen.mapInArrow(tidy(layered), "key long, toxic boolean, z array<double>").collect(), key=lambda r: r["key"])
+    layer = fit_layer(np.array([r["z"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    discard(chosen)
+    return Model(words, emit, bias, step, layer)
 
 
 def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Score, expected toxic words, greatest marginal and offending spans of every document; ``keep`` passes columns through."""
+    """Score, expected toxic words, greatest marginal and offending spans of every document; ``keep`` passes columns through, the text among them."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(vars(model).values()) if model else None)  # plain values: unpickling needs no import of this module
-    base = with_text(docs, id_col, text_col)
     if keep:
-        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+        place = keep.index(text_col)  # the text goes to the tasks once, with its row
+        base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    else:
+        base = with_text(docs, id_col, text_col)
     schema = SCHEMA + (f", row {base.schema['row'].dataType.simpleString()}" if keep else "")
 
     def spans(text: str, p: np.ndarray) -> list[dict]:
@@ -326,23 +404,24 @@ def tag(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
         vocabulary = pa.array(model.words if model else [], pa.string())
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
         for batch in batches:
-            for i, j in slices(batch.column(1), 1 << 20):
-                rows = batch.slice(i, j - i)
-                texts = rows.column(1)
+            every = pc.fill_null(batch.column(1).field(place), "") if keep else batch.column(1)
+            for i, j in slices(every, 1 << 20):
+                rows, texts = batch.slice(i, j - i), every.slice(i, j - i)
                 if model is None:
                     score, expected, most, found = np.zeros(j - i), np.zeros(j - i), np.zeros(j - i), [[]] * (j - i)
                 else:
                     trimmed = pc.ascii_trim_whitespace(texts)
                     number, tokens, bounds = word_codes(trimmed, vocabulary)
                     p = marginals(emissions(number, tokens, bounds, model.emit, model.bias), bounds, model.step)
-                    expected, most = document_features(p, bounds)
-                    score = 1 / (1 + np.exp(-np.clip(layer_input(expected, most, bounds) @ model.layer, -30, 30)))
+                    expected, agreed, most = document_features(p, bounds)
+                    score = 1 / (1 + np.exp(-np.clip(layer_input(agreed, most, bounds) @ model.layer, -30, 30)))
                     found = [spans(texts[k].as_py(), p[bounds[k] : bounds[k + 1]]) if most[k] >= 0.5 else [] for k in range(j - i)]
                 columns = [rows.column(0), pa.array(score), pa.array(expected), pa.array(most), pa.array(found, kind)]
                 names = ["doc_id", "score", "expected_toxic", "max_marginal", "spans"]
                 if keep:
-                    columns, names = [*columns, rows.column(2)], [*names, "row"]
+                    columns, names = [*columns, rows.column(1)], [*names, "row"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            del batch, every
             release_memory()
 
     return base.mapInArrow(tidy(run), schema)
