@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfacts.llm import jaccard, linededup, packing, toxicity
-from docfacts.llm.common import stored, table
+from docfacts.llm.common import discard, free_name, stored, table
 from docfacts.llm.queries import tokenizer_path
 
 
@@ -19,9 +19,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = linededup.drop_lines(docs, F.col("source"))
-    changed = F.col("line_dedup.n_dropped") > 0
-    return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    facts = free_name(docs, "line_dedup")
+    cleaned = linededup.drop_lines(docs, F.col("source"), facts=facts)
+    changed = F.col(facts)["n_dropped"] > 0
+    return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = given = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not given:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
