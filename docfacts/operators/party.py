@@ -47,7 +47,7 @@ def file_tenant(path: Column, brands: list[str]) -> Column:
 def cover_title(spans: Column) -> Column:
     """The cover's line in the largest type that can be a name (struct text, page), the first of equals, or null."""
     low = lambda x: F.lower(F.trim(x["text"]))
-    fits = lambda x: F.length(x["text"]).between(2, 49) & ~F.regexp_like(x["text"], F.lit(r"[$%]|^\d|^[\d\W]+$")) & ~F.exists(F.array(*[F.lit(r) for r in NO_TITLE]), lambda r: low(x).contains(r))
+    fits = lambda x: F.length(x["text"]).between(2, 49) & ~F.regexp_like(x["text"], F.lit(r"(?U)[$%]|^\d|^[\d\W]+$")) & ~F.exists(F.array(*[F.lit(r) for r in NO_TITLE]), lambda r: low(x).contains(r))
     kept = F.filter(spans, fits)
     top = F.array_max(F.transform(kept, lambda x: x["size"]))
     return first(F.transform(F.filter(kept, lambda x: x["size"] == top), lambda x: F.struct(F.trim(x["text"]).alias("text"), x["page"].alias("page"))))
@@ -56,7 +56,7 @@ def cover_title(spans: Column) -> Column:
 def clean_tenant(value: Column) -> Column:
     """A labelled or titled tenant, or null where it is a head, a number or of the wrong length."""
     v = F.trim(F.regexp_replace(F.trim(value), "^:+|:+$", ""))
-    return F.when(~F.lower(v).isin(NO_TENANT) & F.length(v).between(2, 49) & ~F.regexp_like(v, F.lit(r"(?i)^(overview|summary|profile)\b ?|^(overview|summary|profile) | (overview|summary|profile)$|^[\d\W]+$")), v)
+    return F.when(~F.lower(v).isin(NO_TENANT) & F.length(v).between(2, 49) & ~F.regexp_like(v, F.lit(r"(?iU)^(overview|summary|profile)( |$)| (overview|summary|profile)$|^[\d\W]+$")), v)
 
 
 def title_tenant(title: Column) -> Column:

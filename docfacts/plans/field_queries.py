@@ -9,6 +9,7 @@ from docfacts.functions.text import found, money, number, parse_date
 from docfacts.operators import fields as X
 from docfacts.operators import verify as V
 from docfacts.plans.render import OM_SQL, documents
+from docfacts.schemas import KINDS
 from docfacts.plans.sql import DATE_SQL, LINES_SQL, MONEY_SQL, PCT_SQL, date_sql, field_sql, first_sql, kv_sql, money_sql, near_sql, rate_sql
 
 QUERIES, ORACLES = {}, {}
@@ -257,7 +258,7 @@ def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = X.extract_fields(documents(spark, sf_dir))
     df = df.withColumns({"price0": F.col("price"), "cap0": F.col("capRate"), "noi0": F.col("noi")})
     df = V.rent_from_noi(V.verify_money(V.derive_identity(df)))
-    df = V.cap_ocr(df, ["price", "noi", "capRate", "buildingSf", "commenced", "expires", "currentRent"])
+    df = V.cap_ocr(df, [n for n in KINDS if n in df.columns])
     return V.cross_checks(df)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from docfacts.operators import party, place, record
 from docfacts.operators import verify as V
 from docfacts.plans import field_queries as Q
 from docfacts.plans.render import OM_SQL, documents
+from docfacts.schemas import KINDS
 from docfacts.sources import tables
+from docfacts.sources.shared import shared_dir, written
 
 QUERIES, ORACLES = {}, {}
 BRANDS = ["Quick Mart", "Bean House", "Taco Hut", "Corner Bank"]
@@ -129,46 +133,117 @@ def offering_firm(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", party.offering_firm(F.col("pages"), FINGERPRINTS, DOMAINS).alias("firm"))
 
 
-def whole_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fields of the listings: extraction, derivation, reconciliation, fallbacks, checks."""
-    df = X.extract(listings(spark, sf_dir), *X.all_extractors())
-    df = df.withColumns({"price0": F.col("price"), "cap0": F.col("capRate"), "noi0": F.col("noi")})
-    df = V.rent_from_noi(V.verify_money(V.derive_identity(df)))
-    df = party.extract_firm(place.extract_address(party.verify_tenant(df, BRANDS)), FINGERPRINTS, DOMAINS)
-    return V.cross_checks(V.cap_ocr(df, [n for n in record.HIGH_STAKES if n in df.columns]))
-
+def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listings as a batch: some texts are thin (unless OCR gave them), some could not be read."""
+    docs, k = listings(spark, sf_dir).drop("lines"), F.col("doc_id")
+    thin = F.array(F.lit("Offering Memorandum"), F.lit(None).cast("string"))
+    return record.routed(docs.withColumns({"pages": F.when(k % 29 == 3, thin).otherwise(F.col("pages")), "_corrupt": F.when(k % 31 == 5, "%PDF")}))
 
-DEAL_SQL = Q.with_ctes([L_SQL, Q.LINES_SQL, *Q.FULL_CTES, *Q.SIMPLE["parkingCount"][1]], """
-SELECT l.doc_id, '$' || format('{:,}', p.v) AS price_display, l.brand AS tenant, trim(regexp_extract(p1, 'STREET', 1)) || ', ' || city || ', ' || state || ' ' || regexp_extract(p1, '[0-9]{5}$') AS address,
-  city || ', ' || state AS city_line, round_even(p.v / s.v::DOUBLE, 2) AS price_per_sf, CAST(round_even(a.v * 43560, 0) AS BIGINT) AS lot_sf, nullif(k.v, 0) || ' spaces' AS parking,
-  CASE WHEN p.conf = 'low' OR n.conf = 'low' OR c.conf = 'low' THEN 'flagged' ELSE 'unreviewed' END AS review_state,
-  concat_ws(',', CASE WHEN p.conf = 'low' THEN 'price' END, CASE WHEN n.conf = 'low' THEN 'noi' END, CASE WHEN c.conf = 'low' THEN 'capRate' END, CASE WHEN t.v IS NULL AND n.v IS NOT NULL AND n.conf = 'low' THEN 'currentRent' END) AS flagged
-FROM l JOIN r_price p USING (doc_id) JOIN r_noi n USING (doc_id) JOIN r_cap c USING (doc_id) JOIN f_buildingSf s USING (doc_id) JOIN f_lotAcres a USING (doc_id) JOIN f_parkingCount k USING (doc_id) JOIN f_currentRent t USING (doc_id)""").replace("STREET", STREET_SQL)
 
+def whole_chain(docs: DataFrame) -> DataFrame:
+    """All fields of routed documents: extraction, derivation, reconciliation, fallbacks, checks.
 
-@query(DEAL_SQL)
+    What the text gives is written as a table before it is reconciled, and what
+    is reconciled before it is checked: three plans of a size that the
+    optimiser handles, and no expression over a text is evaluated twice.
+    """
+    df = X.extract(X.with_lines(docs.where("status = 'complete'").drop("_corrupt")), *X.all_extractors())
+    df = party.extract_firm(place.extract_address(party.verify_tenant(df, BRANDS)), FINGERPRINTS, DOMAINS)
+    df = written(df.drop("lines", "cover_spans"), "fields")
+    df = df.withColumns({"price0": F.col("price"), "cap0": F.col("capRate"), "noi0": F.col("noi"), "n_pages": F.size("pages")})
+    df = written(V.verify_money(V.derive_identity(df)).drop("pages", "price0", "cap0", "noi0"), "verified")
+    return V.cross_checks(V.cap_ocr(V.rent_from_noi(df), [n for n in KINDS if n in df.columns]))
+
+
+def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the whole batch, extracted or not."""
+    docs = batch(spark, sf_dir)
+    return record.deal_records(whole_chain(docs)).unionByName(record.unextracted(docs), allowMissingColumns=True)
+
+
+FIELD_NAMES = ["price", "noi", "capRate", "tenant", "buildingSf", "commenced", "expires", "currentRent"]
+CHAIN_CTES = [L_SQL, Q.LINES_SQL, *Q.FULL_CTES, *[c for n in ("parkingCount", "yearBuilt") for c in Q.SIMPLE[n][1]], *Q.TRAFFIC_CTES,
+    "st AS (SELECT *, CASE WHEN doc_id % 31 = 5 THEN 'error' WHEN doc_id % 10 > 0 AND (doc_id % 29 = 3 OR (length(p1) + length(pages[2]) + length(p3)) / 3.0 < 100) THEN 'pending_broker_review' ELSE 'complete' END AS status, doc_id % 10 = 0 AS ocr, doc_id % 29 = 3 AS bare FROM l)",
+    # an OCR text of one bare page is extracted, and has nothing
+    """ch AS (SELECT st.*, nullif(p.v, 0) AS price, nullif(n.v, 0) AS noi, nullif(c.v, 0) AS cap, s.v AS sf, a.v AS acres, k.v AS parking, y.v AS year, b.v AS b, e.v AS e, t.v AS own_rent, coalesce(t.v, n.v) AS rent, tr.v AS traffic, p.n AS pn, n.n AS nn, c.n AS cn,
+      p.conf AS pc, n.conf AS nc, c.conf AS cc, s.conf AS sc, b.conf AS bc, e.conf AS ec, CASE WHEN t.v IS NULL AND n.v IS NOT NULL THEN 'medium' ELSE t.conf END AS tc, t.v IS NULL AND n.conf = 'low' AS rent_review, 1 + (kind IN (0, 2))::INT + known::INT AS n_tenant
+      FROM st JOIN r_price p USING (doc_id) JOIN r_noi n USING (doc_id) JOIN r_cap c USING (doc_id) JOIN f_buildingSf s USING (doc_id) JOIN f_lotAcres a USING (doc_id) JOIN f_parkingCount k USING (doc_id) JOIN f_yearBuilt y USING (doc_id)
+      JOIN f_currentRent t USING (doc_id) JOIN f_commenced b USING (doc_id) JOIN f_expires e USING (doc_id) JOIN f_trafficCount tr USING (doc_id) WHERE status = 'complete' AND NOT bare)""",
+    # OCR grades no higher than medium with fewer than two sources; then the checks lower
+    """gr AS (SELECT *, abs(noi::DOUBLE / price - cap) > 0.005 AS gap, b >= e AS disordered, CASE WHEN ocr AND pc = 'high' AND pn < 2 THEN 'medium' ELSE pc END AS o_p, CASE WHEN ocr AND nc = 'high' AND nn < 2 THEN 'medium' ELSE nc END AS o_n, CASE WHEN ocr AND cc = 'high' AND cn < 2 THEN 'medium' ELSE cc END AS o_c,
+      CASE WHEN n_tenant > 1 THEN 'high' ELSE 'medium' END AS g_tenant, CASE WHEN ocr AND sc = 'high' THEN 'medium' ELSE sc END AS g_sf, CASE WHEN ocr AND bc = 'high' THEN 'medium' ELSE bc END AS o_b, CASE WHEN ocr AND ec = 'high' THEN 'medium' ELSE ec END AS o_e, CASE WHEN ocr AND tc = 'high' THEN 'medium' ELSE tc END AS g_rent FROM ch)""",
+    """fin AS (SELECT *, CASE WHEN gap AND o_p <> 'low' THEN 'medium' ELSE o_p END AS g_price, CASE WHEN gap AND o_n <> 'low' THEN 'medium' ELSE o_n END AS g_noi, CASE WHEN gap AND o_c <> 'low' THEN 'medium' ELSE o_c END AS g_cap, CASE WHEN disordered THEN 'low' ELSE o_b END AS g_b, CASE WHEN disordered THEN 'low' ELSE o_e END AS g_e,
+      concat_ws(',', CASE WHEN pc = 'low' THEN 'price' END, CASE WHEN nc = 'low' THEN 'noi' END, CASE WHEN cc = 'low' THEN 'capRate' END, CASE WHEN rent_review THEN 'currentRent' END) AS flagged FROM gr)""",
+]
+CHAIN_SQL = Q.with_ctes(CHAIN_CTES, "{}")
+
+
+def chain_sql(select: str) -> str:
+    return CHAIN_SQL.replace("{}", select).replace("STREET", STREET_SQL)
+
+
+@query(chain_sql("""SELECT doc_id, '$' || format('{:,}', price) AS price_display, brand AS tenant, trim(regexp_extract(p1, 'STREET', 1)) || ', ' || city || ', ' || state || ' ' || regexp_extract(p1, '[0-9]{5}$') AS address,
+  city || ', ' || state AS city_line, round_even(price / sf::DOUBLE, 2) AS price_per_sf, CAST(round_even(acres * 43560, 0) AS BIGINT) AS lot_sf, nullif(parking, 0) || ' spaces' AS parking, CASE WHEN flagged <> '' THEN 'flagged' ELSE 'unreviewed' END AS review_state, flagged,
+  format('{:.2f}', cap * 100) || '%' AS cap_display, year::INT AS year, b AS commenced, e AS expires, rent, traffic, CASE kind WHEN 1 THEN 'flyers' END AS folder, CASE kind WHEN 0 THEN brand || ' - ' || city || ', ' || state || ' - OM (' || doc_id % 3 || ').pdf' WHEN 1 THEN '12 Elm Rd.pdf' WHEN 2 THEN 'om_' || brand || '.pdf' ELSE 'Final Draft - x (2).pdf' END AS file, 3 AS pages,
+  concat_ws(',', CASE WHEN g_price = 'high' AND pn >= 2 THEN 'verified' WHEN pc = 'low' THEN 'flagged' WHEN g_price = 'medium' THEN 'single' WHEN price IS NULL AND pc = 'unknown' THEN 'missing' ELSE 'extracted' END, CASE WHEN g_tenant = 'high' THEN 'verified' ELSE 'single' END,
+    CASE WHEN g_sf = 'medium' THEN 'single' WHEN sf IS NULL THEN 'missing' ELSE 'extracted' END, CASE WHEN g_b = 'medium' THEN 'single' WHEN b IS NULL THEN 'missing' ELSE 'extracted' END, CASE WHEN rent_review THEN 'flagged' WHEN g_rent = 'medium' THEN 'single' WHEN rent IS NULL THEN 'missing' ELSE 'extracted' END) AS badges FROM fin""").replace("'STREET'", f"'{STREET_SQL}'"))
 def deal_record(spark, sf_dir):
-    d = F.col("deal")
-    return record.deal_records(whole_chain(spark, sf_dir)).select(
+    """The records of the documents that were extracted from a whole text."""
+    d, m = F.col("deal"), F.col("deal")["meta"]
+    docs = batch(spark, sf_dir).where("doc_id % 29 <> 3")
+    return record.deal_records(whole_chain(docs)).select(
         "doc_id", d["cover"]["price"].alias("price_display"), d["cover"]["tenant"].alias("tenant"), d["cover"]["address"].alias("address"), d["cityLine"].alias("city_line"), d["offering"]["pricePerSf"].alias("price_per_sf"),
         d["property"]["lotSf"].alias("lot_sf"), d["property"]["parking"].alias("parking"), d["verification"]["review_state"].alias("review_state"), F.array_join(d["verification"]["flagged_fields"], ",").alias("flagged"),
+        d["offering"]["capRateDisplay"].alias("cap_display"), d["property"]["yearBuilt"].alias("year"), d["lease"]["commenced"].alias("commenced"), d["lease"]["expires"].alias("expires"), d["lease"]["currentRent"].alias("rent"), d["market"]["demoMetrics"]["trafficCount"].alias("traffic"),
+        d["extraction_metadata"]["source_folder"].alias("folder"), d["extraction_metadata"]["primary_om_filename"].alias("file"), d["extraction_metadata"]["primary_om_pages"].alias("pages"),
+        F.concat_ws(",", *[m[n]["badge"] for n in ("price", "tenant", "buildingSf", "commenced", "currentRent")]).alias("badges"),
     )
 
 
-@query(f"SELECT doc_id, flagged AS reason FROM ({DEAL_SQL}) x WHERE flagged <> ''")
+REVIEW_SQL = chain_sql("SELECT doc_id, flagged AS reason FROM fin WHERE flagged <> '' UNION ALL SELECT doc_id, CASE status WHEN 'error' THEN 'unreadable' ELSE 'thin text' END FROM st WHERE status <> 'complete'")
+
+
+@query(REVIEW_SQL)
 def review_queue(spark, sf_dir):
-    return record.review_queue(record.deal_records(whole_chain(spark, sf_dir)))
+    return record.review_queue(batch_records(spark, sf_dir))
 
 
-@query(f"SELECT count(*) AS count, count(*) AS complete, 0::BIGINT AS pending, 0::BIGINT AS errored, count(*) FILTER (WHERE flagged <> '') AS flagged FROM ({DEAL_SQL}) x")
+@query(f"SELECT count(*) AS count, count(*) FILTER (WHERE s = 'complete') AS complete, count(*) FILTER (WHERE s = 'pending_broker_review') AS pending, count(*) FILTER (WHERE s = 'error') AS errored, count(*) FILTER (WHERE f) AS flagged FROM ({chain_sql("SELECT st.doc_id, st.status AS s, coalesce(fin.flagged, '') <> '' AS f FROM st LEFT JOIN fin USING (doc_id)")}) x")
 def batch_summary(spark, sf_dir):
-    return record.batch_summary(record.deal_records(whole_chain(spark, sf_dir))).select("count", "complete", "pending", "errored", "flagged")
+    return record.batch_summary(batch_records(spark, sf_dir)).select("count", "complete", "pending", "errored", "flagged")
+
+
+@query(chain_sql("""SELECT doc_id, CASE kind WHEN 0 THEN brand || ' - ' || city || ', ' || state || ' - OM (' || doc_id % 3 || ').pdf' WHEN 1 THEN '12 Elm Rd.pdf' WHEN 2 THEN 'om_' || brand || '.pdf' ELSE 'Final Draft - x (2).pdf' END AS pdf, st.status, coalesce(fin.flagged, '') AS flagged,
+  CASE st.status WHEN 'error' THEN 'unreadable' END AS error, CASE WHEN fin.flagged IS NOT NULL THEN CASE WHEN p3 LIKE 'Listed by%' THEN 'Alpha Realty' WHEN p3 LIKE 'Exclusively%' THEN 'Beta Net' WHEN p3 LIKE '%@firm1.%' THEN 'Firm One' WHEN p3 LIKE '%@firm2.%' THEN 'Firm Two' WHEN p3 LIKE '%@firm3.%' THEN 'Firm Three' END END AS firm
+FROM st LEFT JOIN (SELECT doc_id, flagged FROM fin) fin USING (doc_id)"""))
+def batch_list(spark, sf_dir):
+    """How each document of the batch ended."""
+    rows = record.batch_results(batch_records(spark, sf_dir))
+    return rows.select("doc_id", "pdf", "status", F.array_join("flagged_fields", ",").alias("flagged"), "error", "firm")
+
+
+@query("SELECT field, grade, count(*) AS n, count(*) FILTER (WHERE review) AS flagged FROM (" + chain_sql("""SELECT unnest(['price', 'noi', 'capRate', 'tenant', 'buildingSf', 'commenced', 'expires', 'currentRent']) AS field, unnest([g_price, g_noi, g_cap, g_tenant, g_sf, g_b, g_e, g_rent]) AS grade,
+  unnest([pc = 'low', nc = 'low', cc = 'low', false, false, false, false, rent_review]) AS review FROM fin""") + ") x GROUP BY field, grade")
+def grade_report(spark, sf_dir):
+    """How the eight fields that decide a review grade after all checks, and how many are flagged."""
+    rows = record.grade_rows(whole_chain(batch(spark, sf_dir).where("doc_id % 29 <> 3")))
+    return rows.groupBy("field", "grade").agg(F.count(F.lit(1)).alias("n"), F.count_if("review").alias("flagged"))
+
+
+@query(f"SELECT status, count(*) AS n, count(*) FILTER (WHERE status <> 'complete') AS without_deal FROM ({chain_sql('SELECT status FROM st')}) x GROUP BY status")
+def json_records(spark, sf_dir):
+    """The records written as JSON lines to the shared folder, and read again."""
+    path = f"{shared_dir(spark)}/docfacts-json-{uuid.uuid4().hex[:12]}"
+    record.write_json(batch_records(spark, sf_dir), path)
+    rows = tables.read_json(spark, path, "extraction_status string, extraction_metadata struct<extraction_status:string>", one_per_file=False)
+    status = F.coalesce("extraction_metadata.extraction_status", "extraction_status")
+    return rows.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("extraction_metadata").isNull()).alias("without_deal"))
 
 
 @query()
 def provenance_report(spark, sf_dir):
     """doc_id and the report of every document as JSON: each field with grade, page, snippet and sources."""
-    return record.deal_records(whole_chain(spark, sf_dir)).select("doc_id", "fields_found", F.to_json("report").alias("report"))
+    return record.deal_records(whole_chain(batch(spark, sf_dir))).select("doc_id", "fields_found", F.to_json("report").alias("report"))
 
 
 @query("""SELECT o_orderkey AS doc_id, o_orderkey % 50 AS n, CASE WHEN (o_orderkey % 50) * 10 < 200 THEN 'pending_broker_review' ELSE 'complete' END AS status, ((o_orderkey % 50) * 10)::DOUBLE / 2 AS chars_per_page FROM orders""")

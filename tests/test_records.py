@@ -93,3 +93,52 @@ def test_preservation_is_idempotent(spark, tmp_path):
     assert sorted((r.k is None, r._corrupt is None) for r in rows) == [(False, True), (True, False)]
     table = spark.createDataFrame([(1, "x"), (1, "w"), (None, "n")], "k int, v string")
     assert {r.k: r.v for r in tables.looked_up(spark.createDataFrame([(1,), (2,)], "k int"), table, "k", ["v"]).collect()} == {1: "w", 2: None}
+
+
+def test_displays_and_names(spark):
+    rows = spark.createDataFrame([(0.08155, "Overview: Grill"), (0.0, "Profile-Fit"), (None, "Summary/Bar"), (0.0625, "Overview"), (0.06, "Tenant Overview"), (12.5, "Столовая"), (0.061249, "summary x"), (0.07, "12-34 !")], "c double, t string")
+    got = rows.select(record.percent(F.col("c")).alias("p"), party.clean_tenant(F.col("t")).alias("t")).collect()
+    assert [r.p for r in got] == [f"{c * 100:.2f}%" if c else None for c in (0.08155, 0.0, None, 0.0625, 0.06, 12.5, 0.061249, 0.07)]
+    assert [r.t for r in got] == ["Overview: Grill", "Profile-Fit", "Summary/Bar", None, None, "Столовая", None, None]
+    titles = spark.createDataFrame([([("Столовая", 20.0, 1), ("#1!", 30.0, 1)],), ([("123 - 4", 9.0, 1)],), (None,)], "s array<struct<text:string,size:double,page:int>>")
+    assert [r.t and r.t.text for r in titles.select(party.cover_title(F.col("s")).alias("t")).collect()] == ["Столовая", None, None]
+
+
+def test_ocr_grades_every_field(spark):
+    text = "Price: $1,000,000\nLease Type NNN\nYear Built 1999\nwith a drive-thru\nParking: 12 spaces"
+    docs = spark.createDataFrame([(1, "a.pdf", [text], True), (2, "b.pdf", [text], False)], "doc_id long, path string, pages array<string>, ocr_used boolean")
+    fields = X.extract_fields(docs)
+    names = [x.name for x in X.all_extractors()]
+    rows = V.cap_ocr(fields, names).orderBy("doc_id").collect()
+    assert all(rows[0][n].confidence != "high" for n in names) and {n for n in names if rows[1][n].confidence == "high"} >= {"price", "leaseType", "yearBuilt", "driveThru", "parkingCount"}
+    assert rows[0].yearBuilt.notes == "ocr" and rows[0].driveThru.confidence == "medium"
+
+
+def test_thin_unreadable_and_ocr_texts_are_routed(spark):
+    docs = spark.createDataFrame([(1, "x/a.pdf", ["short"], False, None), (2, "b.pdf", ["short"], True, None), (3, "c.pdf", None, False, "%PDF"), (4, "d.pdf", ["long " * 40], False, None)], "doc_id long, path string, pages array<string>, ocr_used boolean, _corrupt string")
+    routed = record.routed(docs)
+    assert [r.status for r in routed.orderBy("doc_id").collect()] == ["pending_broker_review", "complete", "error", "complete"]
+    rest = record.unextracted(routed).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.reason) for r in rest] == [(1, "thin text: 5.0 characters a page"), (3, "unreadable")]
+    done = record.deal_records(X.extract(X.with_lines(routed.where("status = 'complete'")), X.price())).unionByName(record.unextracted(routed), allowMissingColumns=True)
+    assert {r.doc_id: r.reason for r in record.review_queue(done).collect()} == {1: "thin text", 3: "unreadable"}
+    assert {(r.pdf, r.status, r.error) for r in record.batch_results(done).collect()} == {("a.pdf", "pending_broker_review", None), ("b.pdf", "complete", None), ("c.pdf", "error", "unreadable"), ("d.pdf", "complete", None)}
+    total = record.batch_summary(done).first()
+    assert (total["count"], total.complete, total.pending, total.errored) == (4, 2, 1, 1)
+
+
+def test_records_have_one_shape_and_are_written(spark, tmp_path):
+    import json
+
+    docs = record.routed(pages_of(spark, ("in/a.pdf", ["Price: $1,000,000\n" + "word " * 100]), ("b.pdf", [None])))
+    done = record.deal_records(X.extract(docs.where("status = 'complete'"), X.price(), X.cap_rate())).unionByName(record.unextracted(docs), allowMissingColumns=True)
+    bodies = {r.doc_id: (r.file, json.loads(r.body)) for r in record.as_json(done).collect()}
+    deal = bodies[0][1]
+    assert bodies[0][0] == "deal_data" and {"cover", "cityLine", "project", "property", "offering", "tenant", "lease", "market", "extraction_metadata", "meta", "verification"} == set(deal)
+    assert deal["project"]["county"] is None and deal["property"]["apn"] is None and deal["offering"]["capRateDisplay"] is None and deal["extraction_metadata"]["source_folder"] == "in" and deal["extraction_metadata"]["primary_om_filename"] == "a.pdf"
+    assert bodies[1] == ("extraction_status", {"extraction_status": "pending_broker_review", "reason": "thin text: 0.0 characters a page", "api_calls": 0})
+    record.write_json(done, str(tmp_path / "each"), per_document=True)
+    assert sorted(p.parent.name for p in (tmp_path / "each").rglob("part-*.txt")) == ["file=deal_data", "file=extraction_status"] and (tmp_path / "each" / "doc_id=1").is_dir()
+    record.write_json(done, str(tmp_path / "lines"))
+    rows = tables.read_json(spark, str(tmp_path / "lines"), "offering struct<price:long>, extraction_status string", one_per_file=False).collect()
+    assert {(r.offering and r.offering.price, r.extraction_status) for r in rows} == {(1_000_000, None), (None, "pending_broker_review")}
