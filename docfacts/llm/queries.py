@@ -142,7 +142,7 @@ WITH d AS (
 ), s AS (
   SELECT sum(n) AS n, sum(t) AS t FROM c
 ), v AS (
-  SELECT c.w, c.n, c.t FROM c, s WHERE c.n * 100000 >= s.n AND length(c.w) <= 64
+  SELECT c.w, c.n, c.t FROM c
 ), z AS (
   SELECT s.n AS n, s.t AS t, count(v.w) AS size, s.n - sum(v.n) AS un, s.t - sum(v.t) AS ut FROM v, s GROUP BY s.n, s.t
 ), one AS (
@@ -152,7 +152,6 @@ WITH d AS (
   SELECT doc_id, target, i, v.w AS w, CASE WHEN i = 1 THEN chr(1) ELSE lag(v.w) OVER (PARTITION BY doc_id ORDER BY i) END AS h FROM k LEFT JOIN v USING (w)
 ), two AS (
   SELECT h, w, count(*) AS n, count(*) FILTER (WHERE target) AS t FROM b WHERE h IS NOT NULL AND w IS NOT NULL GROUP BY h, w
-  HAVING count(*) * 1048576 >= (SELECT n FROM s)
 ), his AS (
   SELECT h, sum(n) AS n, sum(t) AS t FROM two GROUP BY h
 ), g AS (
