@@ -9,9 +9,13 @@ inside, also when the words outside it count threefold.
 
 Within the region, elements that are never content (scripts, forms, menus,
 adverts, notices, comments, ...) are skipped; the rest becomes blocks of text.
-Where only a class, id, role or label says so, a whole one of its words has to, and an
-element is not skipped that holds the page's one ``article`` (or else ``main``)
-element, or, on pages without, most of the page's words.
+Any element can say so by a word of its class, id or role, by the last part of a
+word in dashes (unless a "no" or "has" goes before), or by its whole label;
+words that labelled pages use outside their content only are learnt besides. An
+element that says it with one word among others is kept if its inside outweighs
+a toll by the learnt weights. None is skipped that holds the page's one
+``article`` (or else ``main``) element, or, on pages without, most of the page's
+words. A header within an article is content.
 
 Defined cases: null or empty html gives an empty text; a page without words
 gives an empty text; repeated rows give equal texts; without labelled pages the
@@ -45,6 +49,13 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 HINT = re.compile(r"(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|nav\w*|menu|side-?bar|foot(?:er)?|cookies?|consent|notices?|alert|popup|modal|comments?|repl(?:y|ies)|disqus|share|social|related|recommend\w*|breadcrumbs?|subscribe|newsletter|login|search|pager|pagination|toolbar|complementary|navigation|contentinfo|dialog)", re.I)
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HOLDERS = frozenset("article aside div footer form header main nav section table ul ol dl figure body head button select details dialog label".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end where a block (or another of their kind) begins.
+SOFT = frozenset("p li dt dd td th tr option h1 h2 h3 h4 h5 h6".split())
+#: Before the last part of a word in dashes: it tells of the page, not of the element.
+OTHERWISE = frozenset("no not non has have with without is in".split())
+#: What the inside of an element with a mixed class has to score.
+TOLL = 20.0
 NEVER = frozenset("nav footer aside form header button select dialog menu head".split())
 
 
@@ -52,6 +63,7 @@ NEVER = frozenset("nav footer aside form header button select dialog menu head".
 class Weights:
     tag: dict[str, float] = field(default_factory=dict)
     word: dict[str, float] = field(default_factory=dict)
+    outside: frozenset[str] = frozenset()  # words of classes that labelled pages use outside their content only
 
     def of_tag(self, key: str) -> float:
         return self.tag.get(key, -1.0)
@@ -71,13 +83,24 @@ class Unit:
     skipped: bool
 
 
-def is_hinted(rest: str) -> bool:
-    """Whether a class, id or role (each of their words by itself) or the label as a whole names what is never content."""
-    for m in ATTRIBUTE.finditer(rest):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id", "role") and any(map(HINT.fullmatch, value.split())) or name == "aria-label" and HINT.fullmatch(value.strip()):
-            return True
-    return False
+def names_of(rest: str) -> list[str]:
+    """The words of an element's class, id and role."""
+    return [w.lower() for m in ATTRIBUTE.finditer(rest) if m[1].lower() in ("class", "id", "role") for w in (m[2] or m[3] or m[4] or "").split()]
+
+
+def hinted_word(word: str, outside: frozenset[str]) -> bool:
+    if word in outside or HINT.fullmatch(word):
+        return True
+    *before, last = re.split("[-_]+", word)
+    return bool(before) and before[-1] not in OTHERWISE and bool(HINT.fullmatch(last))
+
+
+def hints(rest: str, outside: frozenset[str] = frozenset()) -> float:
+    """The share of an element's words that name what is never content; its label, as a whole, counts for all of them."""
+    if any(m[1].lower() == "aria-label" and HINT.fullmatch((m[2] or m[3] or m[4] or "").strip()) for m in ATTRIBUTE.finditer(rest)):
+        return 1.0
+    words = names_of(rest)
+    return sum(hinted_word(w, outside) for w in words) / len(words) if words else 0.0
 
 
 @dataclass
@@ -88,18 +111,21 @@ class Held:
     words: int = 0
     article: int = 0
     main: int = 0
+    mixed: bool = False  # not all of its words are hints
+    score: float = 0.0  # of its inside
 
 
-def units(page: str) -> list[Unit]:
-    out, held = parse(page, frozenset())
+def units(page: str, weights: Weights | None = None) -> list[Unit]:
+    weights = weights or Weights()
+    out, held = parse(page, frozenset(), weights)
     opens = [u.key for u in out]
     one = next((name for name in ("article", "main") if opens.count(f"<{name}") == 1), None)
     total = sum(u.words for u in out)
-    spared = frozenset(i for i, h in enumerate(held) if (getattr(h, one) if one else 2 * h.words > total))
-    return parse(page, spared)[0] if spared else out
+    spared = frozenset(i for i, h in enumerate(held) if (getattr(h, one) if one else 2 * h.words > total) or (h.mixed and h.score > TOLL))
+    return parse(page, spared, weights)[0] if spared else out
 
 
-def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
+def parse(page: str, spared: frozenset[int], weights: Weights = Weights()) -> tuple[list[Unit], list[Held]]:
     """The units, and what each hinted element holds; the hints of those ``spared`` do not count."""
     out: list[Unit] = []
     held: list[Held] = []
@@ -113,6 +139,7 @@ def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
             out.append(Unit(top[1], n, text, False, top[2]))
             if top[3] >= 0:
                 held[top[3]].words += n
+                held[top[3]].score += n * weights.of_word(top[1].rstrip("~"))
         elif text:
             out.append(Unit("", 0, " ", False, False))
 
@@ -124,7 +151,12 @@ def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
         if not name:
             out.append(Unit("<" + (m["raw"] or m["closed"] or "!").lower(), 0, "", False, False))
             continue
-        if name not in HOLDERS:
+        while not m["end"] and stack and stack[-1][0] in SOFT and (name in BLOCKS or name == stack[-1][0]) and not (stack[-1][0] in ("li", "td", "th", "dd") and name not in SOFT - {"p"}) and not (stack[-1][0] == "tr" and name != "tr"):
+            opened[stack.pop()[0]] -= 1  # of the others only hinted ones are on the stack
+        share = hints(m["rest"], weights.outside) if not m["end"] and m["rest"] and name not in VOID and name not in ("body", "html", "article", "main") else 0.0
+        if stack and stack[-1][3] >= 0:
+            held[stack[-1][3]].score += weights.of_tag(f"<{m['end']}{name}")
+        if name not in HOLDERS and not share and not (m["end"] and opened.get(name)):
             out.append(Unit(f"<{m['end']}{name}", 0, "", name in BLOCKS, False))
             continue
         if m["end"]:
@@ -141,12 +173,12 @@ def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
             if name in ("article", "main"):
                 if within >= 0:
                     setattr(held[within], name, 1)
-            elif name != "body" and m["rest"] and is_hinted(m["rest"]):
+            elif share:
                 if len(held) not in spared:
                     key = f"{name}~"
-                held.append(Held(within))
+                held.append(Held(within, mixed=share < 1))
                 within = len(held) - 1
-            never = key.endswith("~") or name in NEVER
+            never = key.endswith("~") or (name in NEVER and not (name == "header" and (opened.get("article") or opened.get("main"))))
             out.append(Unit(f"<{key}", 0, "", name in BLOCKS, False))
             if not m["rest"].endswith("/"):
                 stack.append((name, key, never or bool(stack and stack[-1][2]), within))
@@ -156,7 +188,7 @@ def parse(page: str, spared: frozenset[int]) -> tuple[list[Unit], list[Held]]:
     for h in reversed(held):
         if h.around >= 0:
             up = held[h.around]
-            up.words, up.article, up.main = up.words + h.words, up.article + h.article, up.main + h.main
+            up.words, up.article, up.main, up.score = up.words + h.words, up.article + h.article, up.main + h.main, up.score + h.score
     return out, held
 
 
@@ -186,9 +218,43 @@ def labelled_region(seq: list[Unit]) -> tuple[int, int] | None:
     return None
 
 
+def outside_only(pages: list[str], least: int = 5) -> frozenset[str]:
+    """The words of classes that are on ``least`` labelled pages at least, on each outside its one ``article`` (or else ``main``) element and not around it."""
+    outside: dict[str, int] = {}
+    other: set[str] = set()
+    for page in pages:
+        opens = {name: [m for m in TOKEN.finditer(page) if (m["name"] or "").lower() == name and not m["end"]] for name in ("article", "main")}
+        one = next((name for name in ("article", "main") if len(opens[name]) == 1), None)
+        if one is None:
+            continue
+        begin = opens[one][0].start()
+        end = page.lower().find(f"</{one}", begin)
+        end = len(page) if end < 0 else end
+        here: set[str] = set()
+        depth: list[tuple[str, list[str], int]] = []
+        for m in TOKEN.finditer(page):
+            name = (m["name"] or "").lower()
+            if not name or name in VOID:
+                continue
+            if m["end"]:
+                at = next((i for i in range(len(depth) - 1, max(-1, len(depth) - 50), -1) if depth[i][0] == name), None)
+                if at is not None:
+                    for _, words, start in depth[at:]:
+                        around = start < begin < m.start() or begin <= start < end
+                        (other if around else here).update(words)
+                    del depth[at:]
+            else:
+                depth.append((name, names_of(m["rest"] or ""), m.start()))
+        for _, words, _ in depth:  # never closed
+            other.update(words)
+        for w in here:
+            outside[w] = outside.get(w, 0) + 1
+    return frozenset(w for w, n in outside.items() if n >= least and w not in other)
+
+
 def learn(pages: list[str], rounds: int = 12) -> Weights:
-    weights = Weights()
-    known = [(seq, gold) for page in pages if (gold := labelled_region(seq := units(page)))]
+    weights = Weights(outside=outside_only(pages))
+    known = [(seq, gold) for page in pages if (gold := labelled_region(seq := units(page, weights)))]
     for _ in range(rounds):
         wrong = 0
         for seq, (a, b) in known:
@@ -216,7 +282,7 @@ def learn(pages: list[str], rounds: int = 12) -> Weights:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    seq = units(page)
+    seq = units(page, weights)
     a, b = best_region(score_units(seq, weights))
     blocks, held = [], []
     for u in [*seq[a:b], Unit("", 0, "", True, False)]:

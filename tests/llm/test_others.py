@@ -40,6 +40,32 @@ def test_hinted_elements_are_skipped(hint):
     assert html_text.main_text(f"<p>one two three four five six seven <div {hint}>eight nine</div> ten eleven twelve", html_text.Weights()) == "one two three four five six seven\nten eleven twelve"
 
 
+BODY = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ('<p class="ad">Buy now cheap</p>', ""), ("<p class=ad>Buy<p>after it", "after it\n"), ('<div class="user-comments">I agree</div>', ""), ('<span id="cookie-notice">We use cookies</span>', ""),
+        ("<header><h1>The title of this whole article</h1></header>", "The title of this whole article\n"), ('<header class="site banner">x y</header>', ""), (f'<div class="notice board"><p>{BODY} board</p></div>', f"{BODY} board\n"),
+        (f'<table class="search results"><tr><td>{BODY} cell</td></tr></table>', f"{BODY} cell\n"), ('<div class="notice board">short</div>', ""), ('<li class="no-comments">one item</li>', "one item\n"), ("<p class='has-ads'>two words</p>", "two words\n"),
+        ('<b class="promo">now</b> then', "then\n"), ('<img class="ad">picture text', "picture text\n"), ('<ul><li class="share">share me<li>stay here</ul>', "stay here\n"),
+    ],
+)
+def test_what_is_dropped_within_the_content(inside, kept):
+    weights = html_text.learn([PAGE] * 5)
+    page = f"<html><body><nav><a>x</a></nav><article>{inside}<p>{BODY}</p></article><footer>f g</footer></body></html>"
+    assert html_text.main_text(page, weights) == kept + BODY
+
+
+def test_words_outside_the_content_are_learnt():
+    page = "<body><div class='zeta x'>one two</div><div class=wrap><article><p class=x>{}</p></article></div><div class=zeta>three</div></body>".format(BODY)
+    assert html_text.outside_only([page] * 5) == {"zeta"} and not html_text.outside_only([page] * 4)
+    weights = html_text.learn([page] * 5)
+    assert html_text.main_text(f"<p>{BODY}<div class=zeta>{BODY}</div>", weights) == BODY  # also on a page without article
+    assert html_text.main_text(f"<p>{BODY}<div class=other>more words of the page</div>", weights) == f"{BODY}\nmore words of the page"
+
+
 def test_raw_names_end_and_closed_images_are_empty():
     weights = html_text.Weights()
     assert html_text.main_text("<p>one two <svg width='1'/>three four</p><p>five six", weights) == "one two three four\nfive six"
