@@ -134,10 +134,10 @@ def offering_firm(spark, sf_dir):
 
 
 def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The listings as a batch: some texts are thin (unless OCR gave them), some could not be read."""
+    """The listings as a batch: some texts are cut to a thin one, some could not be read."""
     docs, k = listings(spark, sf_dir).drop("lines"), F.col("doc_id")
     thin = F.array(F.lit("Offering Memorandum"), F.lit(None).cast("string"))
-    return record.routed(docs.withColumns({"pages": F.when(k % 29 == 3, thin).otherwise(F.col("pages")), "_corrupt": F.when(k % 31 == 5, "%PDF")}))
+    return record.routed(docs.withColumns({"pages": F.when((k % 29 == 3) & (k % 10 != 0), thin).otherwise(F.col("pages")), "_corrupt": F.when(k % 31 == 5, "%PDF")}))
 
 
 def whole_chain(docs: DataFrame) -> DataFrame:
@@ -163,12 +163,11 @@ def batch_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FIELD_NAMES = ["price", "noi", "capRate", "tenant", "buildingSf", "commenced", "expires", "currentRent"]
 CHAIN_CTES = [L_SQL, Q.LINES_SQL, *Q.FULL_CTES, *[c for n in ("parkingCount", "yearBuilt") for c in Q.SIMPLE[n][1]], *Q.TRAFFIC_CTES,
-    "st AS (SELECT *, CASE WHEN doc_id % 31 = 5 THEN 'error' WHEN doc_id % 10 > 0 AND (doc_id % 29 = 3 OR (length(p1) + length(pages[2]) + length(p3)) / 3.0 < 100) THEN 'pending_broker_review' ELSE 'complete' END AS status, doc_id % 10 = 0 AS ocr, doc_id % 29 = 3 AS bare FROM l)",
-    # an OCR text of one bare page is extracted, and has nothing
+    "st AS (SELECT *, CASE WHEN doc_id % 31 = 5 THEN 'error' WHEN doc_id % 10 > 0 AND (doc_id % 29 = 3 OR (length(p1) + length(pages[2]) + length(p3)) / 3.0 < 100) THEN 'pending_broker_review' ELSE 'complete' END AS status, doc_id % 10 = 0 AS ocr FROM l)",
     """ch AS (SELECT st.*, nullif(p.v, 0) AS price, nullif(n.v, 0) AS noi, nullif(c.v, 0) AS cap, s.v AS sf, a.v AS acres, k.v AS parking, y.v AS year, b.v AS b, e.v AS e, t.v AS own_rent, coalesce(t.v, n.v) AS rent, tr.v AS traffic, p.n AS pn, n.n AS nn, c.n AS cn,
       p.conf AS pc, n.conf AS nc, c.conf AS cc, s.conf AS sc, b.conf AS bc, e.conf AS ec, CASE WHEN t.v IS NULL AND n.v IS NOT NULL THEN 'medium' ELSE t.conf END AS tc, t.v IS NULL AND n.conf = 'low' AS rent_review, 1 + (kind IN (0, 2))::INT + known::INT AS n_tenant
       FROM st JOIN r_price p USING (doc_id) JOIN r_noi n USING (doc_id) JOIN r_cap c USING (doc_id) JOIN f_buildingSf s USING (doc_id) JOIN f_lotAcres a USING (doc_id) JOIN f_parkingCount k USING (doc_id) JOIN f_yearBuilt y USING (doc_id)
-      JOIN f_currentRent t USING (doc_id) JOIN f_commenced b USING (doc_id) JOIN f_expires e USING (doc_id) JOIN f_trafficCount tr USING (doc_id) WHERE status = 'complete' AND NOT bare)""",
+      JOIN f_currentRent t USING (doc_id) JOIN f_commenced b USING (doc_id) JOIN f_expires e USING (doc_id) JOIN f_trafficCount tr USING (doc_id) WHERE status = 'complete')""",
     # OCR grades no higher than medium with fewer than two sources; then the checks lower
     """gr AS (SELECT *, abs(noi::DOUBLE / price - cap) > 0.005 AS gap, b >= e AS disordered, CASE WHEN ocr AND pc = 'high' AND pn < 2 THEN 'medium' ELSE pc END AS o_p, CASE WHEN ocr AND nc = 'high' AND nn < 2 THEN 'medium' ELSE nc END AS o_n, CASE WHEN ocr AND cc = 'high' AND cn < 2 THEN 'medium' ELSE cc END AS o_c,
       CASE WHEN n_tenant > 1 THEN 'high' ELSE 'medium' END AS g_tenant, CASE WHEN ocr AND sc = 'high' THEN 'medium' ELSE sc END AS g_sf, CASE WHEN ocr AND bc = 'high' THEN 'medium' ELSE bc END AS o_b, CASE WHEN ocr AND ec = 'high' THEN 'medium' ELSE ec END AS o_e, CASE WHEN ocr AND tc = 'high' THEN 'medium' ELSE tc END AS g_rent FROM ch)""",
@@ -188,9 +187,9 @@ def chain_sql(select: str) -> str:
   concat_ws(',', CASE WHEN g_price = 'high' AND pn >= 2 THEN 'verified' WHEN pc = 'low' THEN 'flagged' WHEN g_price = 'medium' THEN 'single' WHEN price IS NULL AND pc = 'unknown' THEN 'missing' ELSE 'extracted' END, CASE WHEN g_tenant = 'high' THEN 'verified' ELSE 'single' END,
     CASE WHEN g_sf = 'medium' THEN 'single' WHEN sf IS NULL THEN 'missing' ELSE 'extracted' END, CASE WHEN g_b = 'medium' THEN 'single' WHEN b IS NULL THEN 'missing' ELSE 'extracted' END, CASE WHEN rent_review THEN 'flagged' WHEN g_rent = 'medium' THEN 'single' WHEN rent IS NULL THEN 'missing' ELSE 'extracted' END) AS badges FROM fin""").replace("'STREET'", f"'{STREET_SQL}'"))
 def deal_record(spark, sf_dir):
-    """The records of the documents that were extracted from a whole text."""
+    """The records of the documents that were extracted."""
     d, m = F.col("deal"), F.col("deal")["meta"]
-    docs = batch(spark, sf_dir).where("doc_id % 29 <> 3")
+    docs = batch(spark, sf_dir)
     return record.deal_records(whole_chain(docs)).select(
         "doc_id", d["cover"]["price"].alias("price_display"), d["cover"]["tenant"].alias("tenant"), d["cover"]["address"].alias("address"), d["cityLine"].alias("city_line"), d["offering"]["pricePerSf"].alias("price_per_sf"),
         d["property"]["lotSf"].alias("lot_sf"), d["property"]["parking"].alias("parking"), d["verification"]["review_state"].alias("review_state"), F.array_join(d["verification"]["flagged_fields"], ",").alias("flagged"),
@@ -226,7 +225,7 @@ def batch_list(spark, sf_dir):
   unnest([pc = 'low', nc = 'low', cc = 'low', false, false, false, false, rent_review]) AS review FROM fin""") + ") x GROUP BY field, grade")
 def grade_report(spark, sf_dir):
     """How the eight fields that decide a review grade after all checks, and how many are flagged."""
-    rows = record.grade_rows(whole_chain(batch(spark, sf_dir).where("doc_id % 29 <> 3")))
+    rows = record.grade_rows(whole_chain(batch(spark, sf_dir)))
     return rows.groupBy("field", "grade").agg(F.count(F.lit(1)).alias("n"), F.count_if("review").alias("flagged"))
 
 
