@@ -1,23 +1,29 @@
-"""SentencePiece encoding and decoding over a lattice of pieces.
-
-Texts are cut into words: a run of word marks with what follows it. Each task
-explodes its distinct words into all substrings up to the longest piece, joins
-them to the piece table by equality, and groups the edges found by word and end.
-A Spark higher-order ``aggregate`` folds Viterbi over the ends: the path with the
-greatest sum of the scores that the model gives its pieces. Where two paths to one
-place have equal sums, the one with the shorter last piece is taken. A
-character that is no piece costs 10 more than the worst piece, as unigram models have it, and becomes byte
-pieces. The ids go back to the documents in the same stage: nothing is shuffled,
-and a word is encoded once a task (``cache_words`` bounds what a task keeps).
+"""SentencePiece encoding and decoding over a relational lattice of pieces.
+
+Texts are cut into words: a run of word marks with what follows it. A task cuts
+its documents into slices of bounded size and numbers the distinct words of
+each; the documents of a slice travel as packed numbers, its words as rows. Over
+the distinct words of the whole table Spark explodes all substrings up to the
+longest piece, joins them to the piece table by equality (a vocabulary is of
+fixed size, so it is broadcast), groups the edges found by word and folds
+Viterbi with a higher-order ``aggregate`` over the edges in order of their ends:
+the path with the greatest sum of the scores that the model gives its pieces.
+Where two paths to one place have equal sums, the one with the shorter last
+piece is taken. A character that is no piece costs 10 more than the worst piece,
+as unigram models have it, and becomes byte pieces. The state of the fold is the
+scores of the last ends that a piece can reach back to, and one back pointer an
+end; the path is read off once, from the end. The ids of a slice's words go back
+to it packed, and its documents are put together there.
+
+Shuffled are the packed slices, their distinct words (by a hash of the word;
+words are compared whole) and the words' ids; the edges are not, as they stay
+with the hash of their word. A word comes once a slice, so none is hot.
 
 ``rule="bpe"`` applies a BPE model's own rule instead: merge the neighbours whose
 union is the best piece, leftmost first. It is the default for BPE models, for
 which it gives their library's ids; ``rule="viterbi"`` takes the greatest sum of
 such a model's scores (ranks) too, which is another optimum. The query uses Viterbi.
 
-Words over ``LONG`` characters are folded in the task, by the same
-rule in linear time: a fold of arrays copies its state at each step.
-
 Defined cases: null or empty text has no ids and decodes to an empty text;
 repeated rows are encoded each; an empty table gives an empty table; other
 columns are ignored. Without byte pieces an unknown character is the unknown id. In
@@ -26,6 +32,7 @@ decoding, null ids and ids of no piece give U+2047, control ids nothing, and byt
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -33,7 +40,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +49,13 @@ from docfacts.llm.packing import slices
 
 MARK = "▁"
 WORDS = f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n"
-LONG = 200
 UNKNOWN_PENALTY = 10.0
-OPTIONS = pa.struct([("b", pa.int32()), ("id", pa.int32()), ("score", pa.float64())])
-SCHEMA = "number int, ends array<array<struct<b:int,id:int,score:double>>>, ids array<int>, doc_id long, text string, words array<int>"
+SLICE = 32 << 20  # bytes of text, but for single longer documents
+BLOCK = 64  # characters of a word that are exploded together
+RUN = 512  # edges whose back pointers are gathered together
+WIDE, LONGEST = 1 << 25, 64  # an edge in one long: (end * LONGEST + length) * WIDE + id, unknown characters WIDE / 2 + code point
+SLICES = "slice long, doc_ids array<long>, sizes array<int>, digests array<string>, numbers binary, words binary"
+BACK = "slice long, number binary, size binary, ids binary"
 
 
 class Pieces(NamedTuple):
@@ -76,72 +86,11 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORDS, MARK + text.replace(" ", MARK)) if text else []
 
 
-class Lattice:
-    """The piece table of a task, and the edges of words."""
+class Merger:
+    """The rule of BPE models, word by word."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-        self.table = pa.array([p for _, p, _ in pieces.rows], pa.string())
-        self.ids = np.array([i for i, _, _ in pieces.rows], np.int32)
-        self.scores = np.array([s for _, _, s in pieces.rows])
         self.known = {p: (i, s) for i, p, s in pieces.rows}
-        self.worst = float(self.scores.min()) - UNKNOWN_PENALTY
-
-    def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
-        """word, begin, end, id and score of every piece in every word, by word, end and begin; unknown characters have the id -1 - code point."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-size, kind="stable")
-        sorted_words, sizes = pa.array([words[i] for i in order], pa.string()), size[order]
-        parts, word, begin, length = [], [], [], []
-        for b in range(int(sizes[0]) if len(sizes) else 0):
-            for n in range(1, self.pieces.longest + 1):
-                m = int(np.searchsorted(-sizes, -(b + n), side="right"))  # words that reach so far
-                if not m:
-                    break
-                parts.append(pc.utf8_slice_codeunits(sorted_words.slice(0, m), b, b + n))
-                word.append(order[:m])
-                begin.append(np.full(m, b))
-                length.append(np.full(m, n))
-        if not parts:
-            none = np.zeros(0, np.int64)
-            return none, none, none, none, none.astype(float)
-        piece = pa.concat_arrays(parts)
-        at = np.asarray(pc.fill_null(pc.index_in(piece, self.table), -1))
-        word, begin, length = np.concatenate(word), np.concatenate(begin), np.concatenate(length)
-        keep = np.flatnonzero((at >= 0) | (length == 1))
-        at, word, begin, end = at[keep], word[keep], begin[keep], (begin + length)[keep]
-        ids, score = self.ids[at].astype(np.int64), self.scores[at]
-        unknown = np.flatnonzero(at < 0)
-        ids[unknown] = [-1 - ord(c) for c in piece.take(pa.array(keep[unknown])).to_pylist()]
-        score[unknown] = self.worst
-        rank = np.argsort((word * (int(sizes[0]) + 1) + end) * (int(sizes[0]) + 1) + begin, kind="stable")
-        return word[rank], begin[rank], end[rank], ids[rank], score[rank]
-
-    def grouped(self, words: list[str]) -> pa.Array:
-        """For each word, for each of its ends, the edges that end there."""
-        word, begin, end, ids, score = self.edges(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        first = np.concatenate(([0], np.cumsum(size)))
-        there = np.bincount(first[word] + end - 1, minlength=int(first[-1]))
-        options = pa.StructArray.from_arrays([pa.array(begin.astype(np.int32)), pa.array(ids.astype(np.int32)), pa.array(score)], fields=list(OPTIONS))
-        ends = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(there))).astype(np.int32)), options)
-        return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), ends)
-
-    def long_word(self, word: str) -> list[int]:
-        """The fold of one long word, in the task: the same rule, in linear time."""
-        known, best = self.known, [(0.0, 0, 0)]
-        for e in range(1, len(word) + 1):
-            options = []
-            for b in range(max(0, e - self.pieces.longest), e):
-                found = known.get(word[b:e]) or ((-1 - ord(word[b]), self.worst) if e - b == 1 else None)
-                if found:
-                    options.append((best[b][0] + found[1], b, found[0]))
-            best.append(max(options))
-        out, e = [], len(word)
-        while e:
-            out.append(best[e][2])
-            e = best[e][1]
-        return out[::-1]
 
     def merged(self, word: str) -> list[int]:
         """The final pieces by the rule of BPE models, with a heap of possible merges."""
@@ -170,118 +119,228 @@ class Lattice:
         return [known[p][0] if p in known else -1 - ord(p) for p in part if p is not None]
 
 
-def viterbi(ends: Column) -> Column:
-    """The ids of the best path over the ends of a word, each with the edges that end there."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")))
+def squeezed(x: np.ndarray) -> bytes:
+    """Integers under 2^31, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
 
-    def step(states: Column, options: Column) -> Column:
-        best = F.array_max(F.transform(options, lambda o: F.struct((F.get(states, o["b"])["score"] + o["score"]).alias("score"), o["b"].alias("b"), o["id"].alias("id"))))
-        return F.concat(states, F.transform(F.array(best), lambda t: F.struct(t["score"].alias("score"), F.concat(F.get(states, t["b"])["ids"], F.array(t["id"])).alias("ids"))))
+def loosened(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
-    return F.element_at(F.aggregate(ends, start, step), -1)["ids"]
 
+def sliced(docs: DataFrame) -> DataFrame:
+    """One row a slice of documents: ids, words and digests of each (of its text, marks as spaces), the numbers of their words, and the distinct words in order of number."""
+    names = [c.split()[0] for c in SLICES.split(", ")]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary(), pa.binary()]
 
-def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", rule: str | None = None, cache_words: int = 200_000, keep_text: bool = False) -> DataFrame:
-    """doc_id and ids of every row, and its text where that is to be kept."""
-    rule = rule or ("viterbi" if pieces.unigram else "bpe")
-    shared = df.sparkSession.sparkContext.broadcast(tuple(pieces))  # a model's vocabulary is fixed
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = [pa.int32(), pa.list_(pa.list_(OPTIONS)), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.list_(pa.int32())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        ids, sizes, digests, numbers, number, held = [], [], [], [], {}, 0
 
-    def rows(**columns: pa.Array) -> pa.RecordBatch:
-        m = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(m, k)).cast(k) for c, k in zip(names, kinds, strict=True)], names)
+        def row() -> pa.RecordBatch:
+            every = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+            words = "\n".join("" if w == "\n" else w for w in number).encode()  # no other word holds a line's end, and none is empty
+            packed = len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True) if number else None
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([at, ids, sizes, digests, squeezed(every), packed], kinds, strict=True)], names)
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each word once, numbered from 0, before the first text that has it; a number 0 begins anew."""
-        lattice, number = Lattice(Pieces(*shared.value)), {}
         for batch in batches:
-            for i, j in slices(batch.column(1), 2 << 20):
-                texts = batch.column(1).slice(i, j - i)
-                found = [words_of(t) for t in texts.to_pylist()]
-                fresh = dict.fromkeys(w for words in found for w in words if w not in number)
-                if len(number) + len(fresh) > cache_words:
-                    number, fresh = {}, dict.fromkeys(w for words in found for w in words)
-                at = len(number)
-                number.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-                plain = [w for w in fresh if rule == "viterbi" and len(w) <= LONG]
-                other = [w for w in fresh if rule != "viterbi" or len(w) > LONG]
-                if fresh:  # the first row is that of the least number
-                    number_of = lambda words: pa.array(list(map(number.__getitem__, words)), pa.int32())  # noqa: B023, E731
-                    if not at:
-                        yield rows(number=pa.array([-1], pa.int32()))
-                    for k in range(0, len(plain), 5_000):
-                        some = plain[k : k + 5_000]
-                        yield rows(number=number_of(some), ends=lattice.grouped(some))
-                    fold = lattice.long_word if rule == "viterbi" else lattice.merged
-                    for k in range(0, len(other), 5_000):
-                        some = other[k : k + 5_000]
-                        yield rows(number=number_of(some), ids=pa.array([fold(w) for w in some], pa.list_(pa.int32())))
-                ends = np.concatenate(([0], np.cumsum([len(w) for w in found]))).astype(np.int32)
-                flat = np.fromiter((number[w] for words in found for w in words), np.int32, int(ends[-1]))
-                yield rows(doc_id=batch.column(0).slice(i, j - i), text=texts, words=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts with the ids of their words."""
-        of_byte, unknown = shared.value[1], shared.value[2]
-        parts: list[np.ndarray] = []
-        numbers: list[np.ndarray] = []
-        start = size = np.zeros(0, np.int64)
-        flat = np.zeros(0, np.int32)
-
-        def spelled(ids: list[int]) -> list[int]:
-            out: list[int] = []
-            for x in ids:
-                out.extend([x] if x >= 0 else [of_byte[b] for b in chr(-1 - x).encode()] if of_byte else [unknown])
-            return out
+            for i, j in slices(batch.column(1)):
+                for doc_id, text in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist(), strict=True):
+                    found = words_of(text)
+                    for w in found:
+                        if w not in number:
+                            number[w] = len(number)
+                    ids.append(doc_id)
+                    sizes.append(len(found))
+                    digests.append(hashlib.sha256(text.replace(MARK, " ").encode()).hexdigest())
+                    numbers.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+                    held += len(text) + 64
+                    if held >= SLICE:
+                        yield row()
+                        ids, sizes, digests, numbers, number, held, at = [], [], [], [], {}, 0, at + 1
+        if ids:
+            yield row()
+
+    return docs.mapInArrow(tidy(run), SLICES)
+
+
+def word_rows(parts: DataFrame) -> DataFrame:
+    """slice, number, word of the distinct words of each slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = np.asarray(pc.fill_null(batch.column(0), -2))
-            edge = np.flatnonzero(np.diff(np.where(number == -2, 0, np.where(number == -1, 1, 2)), prepend=9))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(number)], strict=True):
-                if number[a] == -1:
-                    start, size, flat = start[:0], size[:0], flat[:0]
-                elif number[a] >= 0:
-                    ids = batch.column(1).slice(a, b - a)
-                    values, n = np.asarray(ids.flatten()), np.diff(np.asarray(ids.offsets))
-                    if len(values) and values.min() < 0:
-                        lists = [spelled(x) for x in ids.to_pylist()]
-                        values, n = np.array([x for one in lists for x in one], np.int32), np.array([len(x) for x in lists])
-                    numbers.append(number[a:b])
-                    parts.append((values, n))
-                else:
-                    if parts:
-                        every, n = np.concatenate(numbers), np.concatenate([p[1] for p in parts])
-                        top = max(len(start), int(every.max()) + 1)
-                        start, size = np.resize(start, top) if len(start) else np.zeros(top, np.int64), np.resize(size, top) if len(size) else np.zeros(top, np.int64)
-                        start[every], size[every] = len(flat) + np.concatenate(([0], np.cumsum(n)[:-1])), n
-                        flat = np.concatenate((flat, *[p[0] for p in parts])).astype(np.int32)
-                        parts, numbers = [], []
-                    words = batch.column(4).slice(a, b - a)
-                    w, bounds = np.asarray(words.flatten()), np.asarray(words.offsets).astype(np.int64)
-                    n = size[w] if len(w) else np.zeros(0, np.int64)
-                    ends = np.concatenate(([0], np.cumsum(n)))
-                    got = flat[np.repeat(start[w] - ends[:-1], n) + np.arange(ends[-1])] if len(w) else flat[:0]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]].astype(np.int32)), pa.array(got, pa.int32()))], ["doc_id", "text", "ids"]
-                    )
-
-    folded = with_text(df, id_col, text_col).mapInArrow(tidy(edges), SCHEMA)
-    folded = folded.select("number", F.when(F.col("ends").isNotNull(), viterbi(F.col("ends"))).otherwise(F.coalesce("ids", F.array().cast("array<int>"))).alias("ids"), "doc_id", "text", "words")
-    found = folded.mapInArrow(tidy(placed), "doc_id long, text string, ids array<int>")
-    return found if keep_text else found.select("doc_id", "ids")
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(5), strict=True):
+                if packed.is_valid:
+                    raw = packed.as_py()
+                    words = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True).decode().split("\n")
+                    for k in range(0, len(words), 50_000):
+                        some = pa.array([w or "\n" for w in words[k : k + 50_000]], pa.string())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at)), pa.array(np.arange(k, k + len(some), dtype=np.int32)), some], ["slice", "number", "word"])
+
+    return parts.mapInArrow(tidy(run), "slice long, number int, word string")
+
+
+def edges(words: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
+    """The keys of each word and its edges, in order of end and length: every substring that is a piece, and every unknown character."""
+    if pieces.longest >= LONGEST or max(i for i, _, _ in pieces.rows) >= WIDE // 2:
+        raise ValueError("a piece has fewer than 64 characters and an id under 2^24")
+    spark, longest = words.sparkSession, pieces.longest
+    known = spark.createDataFrame(pa.table({"piece": [p for _, p, _ in pieces.rows], "id": pa.array([i for i, _, _ in pieces.rows], pa.int32()), "score": [float(s) for _, _, s in pieces.rows]}))
+    n = F.col("n_chars")
+    blocks = words.withColumn("n_chars", F.length("word")).withColumn("base", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))))
+    blocks = blocks.select(*keys, "base", "n_chars", F.substring(F.col("word"), F.col("base") + 1, F.lit(BLOCK + longest - 1)).alias("block"))
+    begins = blocks.withColumn("begin", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), n - F.col("base")))))
+    rows = begins.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("base") - F.col("begin") + 1))))
+    rows = rows.select(*keys, (F.col("base") + F.col("begin") + F.col("size") - 1).alias("end"), "size", F.substring(F.col("block"), F.col("begin"), F.col("size")).alias("piece"))
+    found = rows.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    worst = min(s for _, _, s in pieces.rows) - UNKNOWN_PENALTY
+    code = F.coalesce(F.col("id"), F.lit(WIDE // 2) + F.ascii("piece")).cast("long")
+    edge = F.struct(((F.col("end").cast("long") * LONGEST + F.col("size")) * WIDE + code).alias("at"), F.coalesce(F.col("score"), F.lit(worst)).alias("score"))
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def viterbi(edges: Column, longest: int) -> Column:
+    """The ids of the best path over a word's edges; unknown characters have the id -1 - code point."""
+    end_of = lambda at: F.shiftright(at, 31)  # noqa: E731  LONGEST * WIDE is 2^31
+    size_of = lambda at: F.shiftright(at, 25).bitwiseAND(LONGEST - 1).cast("int")
+
+    def state(last: Column, at: Column, before: Column) -> Column:
+        """Scores of the last ends, the newest first; the best edge into the newest; those into the ends before."""
+        return F.struct(last.alias("last"), at.alias("at"), before.alias("before"))
+
+    def step(s: Column, edge: Column) -> Column:
+        at = edge["at"]
+        opens = end_of(at) > end_of(s["at"])
+        score = F.get(s["last"], size_of(at) - F.when(opens, 1).otherwise(0)) + edge["score"]
+        better = score > F.get(s["last"], F.lit(0))
+        return (
+            F.when(opens, state(F.concat(F.array(score), F.slice(s["last"], 1, longest)), at, F.concat(s["before"], F.array(s["at"]))))
+            .when(better, state(F.concat(F.array(score), F.slice(s["last"], 2, longest)), at, s["before"]))
+            .otherwise(s)
+        )
+
+    none = F.array().cast("array<bigint>")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / RUN).cast("int")), lambda i: F.slice(edges, i * RUN + 1, F.lit(RUN)))
+
+    def whole(s: Column, run: Column) -> Column:
+        inner = F.aggregate(run, state(s["last"], s["at"], none), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["last"].alias("last"), x["at"].alias("at"), F.concat(s["before"], F.array(x["before"])).alias("before")))[0]
+
+    start = state(F.array(F.lit(0.0)), F.lit(0).cast("bigint"), F.array().cast("array<array<bigint>>"))
+    best = F.aggregate(runs, start, whole, lambda s: F.concat(F.array(s["at"]), F.reverse(F.flatten(s["before"]))))  # an edge an end, the last first
+
+    def back(s: Column, at: Column) -> Column:
+        code = at.bitwiseAND(WIDE - 1).cast("int")
+        ids = F.concat(s["ids"], F.array(F.when(code < WIDE // 2, code).otherwise(WIDE // 2 - 1 - code)))
+        return F.when(end_of(at) == s["end"], F.struct((s["end"] - size_of(at)).alias("end"), ids.alias("ids"))).otherwise(s)
+
+    begin = F.struct(end_of(F.element_at(edges, -1)["at"]).alias("end"), F.array().cast("array<int>").alias("ids"))
+    on_path = lambda s: F.reverse(s["ids"])
+    return F.aggregate(F.filter(best, lambda at: at > 0), begin, back, on_path)
+
+
+def spelled(ids: list[int], of_byte: list[int], unknown: int) -> list[int]:
+    out: list[int] = []
+    for x in ids:
+        out.extend([x] if x >= 0 else [of_byte[b] for b in chr(-1 - x).encode()] if of_byte else [unknown])
+    return out
+
+
+def packed_ids(found: DataFrame, of_byte: list[int], unknown: int, most: int = 200_000) -> DataFrame:
+    """The ids of words (slice, number, ids), packed by slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(kept).combine_chunks().sort_by([("slice", "ascending"), ("number", "ascending")]).combine_chunks()
+            at, number, lists = np.asarray(t["slice"]), np.asarray(t["number"]), t["ids"].chunk(0)
+            flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+            if flat[offsets[0] : offsets[-1]].min() < 0:
+                lists = pa.array([spelled(x, of_byte, unknown) for x in lists.to_pylist()], pa.list_(pa.int32()))
+                flat, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+            begin = np.flatnonzero(np.diff(at, prepend=at[0] - 1))
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True):
+                columns = [np.diff(number[a:b], prepend=0), np.diff(offsets[a : b + 1]), flat[offsets[a] : offsets[b]]]
+                yield pa.RecordBatch.from_arrays([pa.array([at[a]], pa.int64()), *[pa.array([squeezed(c)], pa.binary()) for c in columns]], ["slice", "number", "size", "ids"])
 
-def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, ids of a table of words by Viterbi; unknown characters have the id -1 - code point."""
-    shared = words.sparkSession.sparkContext.broadcast(tuple(pieces))
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+            if sum(b.num_rows for b in kept) >= most:
+                yield from rows()
+                kept = []
+        if kept:
+            yield from rows()
+
+    return found.select("slice", "number", "ids").mapInArrow(tidy(run), BACK)
+
+
+def placed(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
+    """The documents of a slice with the ids of their words."""
+    number = [np.cumsum(loosened(x.as_py())) for x in words["number"]]
+    size, ids = ([loosened(x.as_py()) for x in words[c]] for c in ("size", "ids"))
+    every, n, flat = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (number, size, ids))
+    start, length = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    start[every], length[every] = np.cumsum(n) - n, n
+    one = {c: docs[c][0] for c in docs.column_names}
+    w, sizes = loosened(one["numbers"].as_py()), np.asarray(one["sizes"].values).astype(np.int64)
+    took = length[w]
+    ends = np.concatenate(([0], np.cumsum(took)))
+    bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
+    got = flat[np.repeat(start[w] - ends[:-1], took) + np.arange(ends[-1])] if len(w) else flat[:0]
+    lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(got, pa.int32())).cast(pa.list_(pa.int32()))
+    return pa.table({"doc_id": one["doc_ids"].values, "digest": one["digests"].values, "ids": lists})
+
+
+def by_merges(docs: DataFrame, pieces: Pieces, cache_words: int = 200_000) -> DataFrame:
+    """doc_id, digest, ids by the rule of BPE models; a task keeps so many words that it has met."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(pieces))  # a model's vocabulary is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(Pieces(*shared.value))
+        pieces = Pieces(*shared.value)
+        merger, seen = Merger(pieces), {}
+
+        def ids_of(word: str) -> list[int]:
+            if word not in seen:
+                if len(seen) >= cache_words:
+                    seen.clear()
+                seen[word] = spelled(merger.merged(word), pieces.bytes, pieces.unknown)
+            return seen[word]
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), lattice.grouped(batch.column(0).to_pylist())], ["word", "ends"])
+            for i, j in slices(batch.column(1), 2 << 20):
+                texts = batch.column(1).slice(i, j - i).to_pylist()
+                ids = pa.array([[x for w in words_of(t) for x in ids_of(w)] for t in texts], pa.list_(pa.int32()))
+                digests = pa.array([hashlib.sha256(t.replace(MARK, " ").encode()).hexdigest() for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), digests, ids], ["doc_id", "digest", "ids"])
 
-    return words.select("word").mapInArrow(tidy(run), f"word string, {SCHEMA.split(', ')[1]}").select("word", viterbi(F.col("ends")).alias("ids"))
+    return docs.mapInArrow(tidy(run), "doc_id long, digest string, ids array<int>")
+
+
+def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word and ids of a table of distinct words by Viterbi; unknown characters have the id -1 - code point."""
+    return edges(words.select("word", F.col("word").alias("__word")).select("__word", "word"), pieces, ["__word"]).select(F.col("__word").alias("word"), viterbi(F.col("edges"), pieces.longest).alias("ids"))
+
+
+def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", rule: str | None = None) -> DataFrame:
+    """doc_id, ids and digest of every row: the SHA-256 of its text, with spaces for word marks."""
+    docs = with_text(df, id_col, text_col)
+    if (rule or ("viterbi" if pieces.unigram else "bpe")) == "bpe":
+        return by_merges(docs, pieces).select("doc_id", "ids", "digest")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = sliced(docs).repartition(n, "slice")
+    spread = word_rows(parts).withColumn("h", F.xxhash64("word")).repartition(n, "h")
+    # a word is known by its number in the last slice that has it; so every reader of the words takes all columns, and they share one shuffle
+    distinct = spread.groupBy("h", "word").agg(F.max("slice").alias("s"), F.max_by("number", "slice").alias("m"))
+    folded = edges(distinct, pieces, ["h", "s", "m"]).select("h", "s", "m", viterbi(F.col("edges"), pieces.longest).alias("ids"))
+    known = distinct.join(folded.hint("merge"), ["h", "s", "m"]).select("h", "word", "ids")
+    found = spread.join(known.hint("merge"), ["h", "word"])
+    back = packed_ids(found, pieces.bytes, pieces.unknown)
+    return parts.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(placed, "doc_id long, digest string, ids array<int>").select("doc_id", "ids", "digest")
 
 
 def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", to: str = "text") -> DataFrame:

@@ -215,13 +215,14 @@ def test_viterbi_equals_brute_force(spark):
         assert abs(sum(score[i] for i in got[w]) - best(w)[0]) < 1e-9
 
 
-def test_viterbi_of_whole_texts_by_brute_force(spark):
+def test_viterbi_of_whole_texts_by_brute_force(spark, monkeypatch):
     """Ids of every kind of text against a plain dynamic program over the whole text's words, and the round trip."""
+    import hashlib
     import re
 
     pieces = sentencepiece_lattice.load(queries.piece_model_path())
     by, worst = {p: (i, s) for i, p, s in pieces.rows}, min(s for _, _, s in pieces.rows) - 10
-    texts = ["Hello  world\n\n x  ", "", None, "日本語 ünï\t tab mark", "a" * 1200 + " b", "x" * 199 + " " + "y" * 201, "%%% the*** 12345 https://a.b/c?d=1", "the the the", "the the the", "𝔘𝔫 é \u0301"]
+    texts = ["Hello  world\n\n x  ", "", None, "日本語 ünï\t tab mark", "a" * 1200 + " b", "abcdefghij" * 3000 + " é" + "z" * 64 + "é" * 70, "x" * 199 + " " + "y" * 201, "%%% the*** 12345 https://a.b/c?d=1", "the the the", "the the the", "𝔘𝔫 é \u0301"]
 
     def plain(text):
         out = []
@@ -239,11 +240,13 @@ def test_viterbi_of_whole_texts_by_brute_force(spark):
         return out
 
     docs = spark.createDataFrame([(i, t, 9, 8) for i, t in enumerate(texts)], "doc_id long, text string, ids int, number int").repartition(2)
-    for cache in (200_000, 3):
-        got = sentencepiece_lattice.encode(docs, pieces, rule="viterbi", cache_words=cache, keep_text=True)
+    for most in (sentencepiece_lattice.SLICE, 100):  # one slice a task, and many
+        monkeypatch.setattr(sentencepiece_lattice, "SLICE", most)
+        got = sentencepiece_lattice.encode(docs, pieces, rule="viterbi")
         rows = sentencepiece_lattice.decode(got, pieces, to="decoded").collect()
-        assert {r.doc_id: r.ids for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
-        assert all(r.decoded == r.text for r in rows)
+        assert len(rows) == len(texts) and {r.doc_id: r.ids for r in rows} == {i: plain(t) for i, t in enumerate(texts)}
+        assert all(r.decoded == (texts[r.doc_id] or "") and r.digest == hashlib.sha256(r.decoded.encode()).hexdigest() for r in rows)
+    assert sentencepiece_lattice.encode(docs.limit(0), pieces, rule="viterbi").count() == 0
     assert sentencepiece_lattice.decode(spark.createDataFrame([(1, [0, 1, None, 2]), (2, None)], "doc_id long, ids array<int>"), pieces).orderBy("doc_id").collect()[1].text == ""
 
 
