@@ -10,9 +10,9 @@ Viterbi with a higher-order ``aggregate`` over the edges in order of their ends:
 the path with the greatest sum of the scores that the model gives its pieces.
 Where two paths to one place have equal sums, the one with the shorter last
 piece is taken. A character that is no piece costs 10 more than the worst piece,
-as unigram models have it, and becomes byte pieces. The state of the fold is the
-scores of the last ends that a piece can reach back to, and one back pointer an
-end; the path is read off once, from the end. The ids of a slice's words go back
+as unigram models have it, and becomes byte pieces. The state of the fold is a
+score and a back pointer an end, in runs that hold the last ends that a piece can
+reach back to; the path is read off once, from the end. The ids of a slice's words go back
 to it packed, and its documents are put together there.
 
 Shuffled are the packed slices, their distinct words (by a hash of the word;
@@ -52,7 +52,7 @@ WORDS = f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n"
 UNKNOWN_PENALTY = 10.0
 SLICE = 32 << 20  # bytes of text, but for single longer documents
 BLOCK = 64  # characters of a word that are exploded together
-RUN = 512  # edges whose back pointers are gathered together
+RUN = 128  # edges that are folded together
 WIDE, LONGEST = 1 << 25, 64  # an edge in one long: (end * LONGEST + length) * WIDE + id, unknown characters WIDE / 2 + code point
 SLICES = "slice long, doc_ids array<long>, sizes array<int>, digests array<string>, numbers binary, words binary"
 BACK = "slice long, number binary, size binary, ids binary"
@@ -188,7 +188,7 @@ def edges(words: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
     if pieces.longest >= LONGEST or max(i for i, _, _ in pieces.rows) >= WIDE // 2:
         raise ValueError("a piece has fewer than 64 characters and an id under 2^24")
     spark, longest = words.sparkSession, pieces.longest
-    known = spark.createDataFrame(pa.table({"piece": [p for _, p, _ in pieces.rows], "id": pa.array([i for i, _, _ in pieces.rows], pa.int32()), "score": [float(s) for _, _, s in pieces.rows]}))
+    known = spark.createDataFrame(pa.table({"piece": [p for _, p, _ in pieces.rows], "id": pa.array([i for i, _, _ in pieces.rows], pa.int32())}))
     n = F.col("n_chars")
     blocks = words.withColumn("n_chars", F.length("word")).withColumn("base", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))))
     blocks = blocks.select(*keys, "base", "n_chars", F.substring(F.col("word"), F.col("base") + 1, F.lit(BLOCK + longest - 1)).alias("block"))
@@ -196,50 +196,46 @@ def edges(words: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
     rows = begins.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("base") - F.col("begin") + 1))))
     rows = rows.select(*keys, (F.col("base") + F.col("begin") + F.col("size") - 1).alias("end"), "size", F.substring(F.col("block"), F.col("begin"), F.col("size")).alias("piece"))
     found = rows.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
-    worst = min(s for _, _, s in pieces.rows) - UNKNOWN_PENALTY
     code = F.coalesce(F.col("id"), F.lit(WIDE // 2) + F.ascii("piece")).cast("long")
-    edge = F.struct(((F.col("end").cast("long") * LONGEST + F.col("size")) * WIDE + code).alias("at"), F.coalesce(F.col("score"), F.lit(worst)).alias("score"))
-    return found.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy(*keys).agg(F.sort_array(F.collect_list((F.col("end").cast("long") * LONGEST + F.col("size")) * WIDE + code)).alias("edges"))
 
 
-def viterbi(edges: Column, longest: int) -> Column:
-    """The ids of the best path over a word's edges; unknown characters have the id -1 - code point."""
+def viterbi(edges: Column, pieces: Pieces) -> Column:
+    """The ids of the best path over a word's edges; unknown characters have the id -1 - code point.
+
+    The state is the best edge into each end with its score, the newest first. The edge of one character sorts first and opens an end.
+    """
+    score_of = dict((i, s) for i, _, s in pieces.rows)
+    worst = min(score_of.values()) - UNKNOWN_PENALTY
+    scores = F.split(F.lit(",".join(repr(score_of.get(i, worst)) for i in range(max(score_of) + 1))), ",").cast("array<double>")  # folded into one constant
     end_of = lambda at: F.shiftright(at, 31)  # noqa: E731  LONGEST * WIDE is 2^31
     size_of = lambda at: F.shiftright(at, 25).bitwiseAND(LONGEST - 1).cast("int")
-
-    def state(last: Column, at: Column, before: Column) -> Column:
-        """Scores of the last ends, the newest first; the best edge into the newest; those into the ends before."""
-        return F.struct(last.alias("last"), at.alias("at"), before.alias("before"))
-
-    def step(s: Column, edge: Column) -> Column:
-        at = edge["at"]
-        opens = end_of(at) > end_of(s["at"])
-        score = F.get(s["last"], size_of(at) - F.when(opens, 1).otherwise(0)) + edge["score"]
-        better = score > F.get(s["last"], F.lit(0))
-        return (
-            F.when(opens, state(F.concat(F.array(score), F.slice(s["last"], 1, longest)), at, F.concat(s["before"], F.array(s["at"]))))
-            .when(better, state(F.concat(F.array(score), F.slice(s["last"], 2, longest)), at, s["before"]))
-            .otherwise(s)
-        )
-
-    none = F.array().cast("array<bigint>")
+    score = lambda at: F.coalesce(F.get(scores, at.bitwiseAND(WIDE - 1).cast("int")), F.lit(worst))
+    rest = 1 << 30
+
+    def step(ends: Column, at: Column) -> Column:
+        with_edge = lambda total, others: F.concat(F.array(F.struct(total.alias("score"), at.alias("at"))), others)
+        through = F.get(ends, size_of(at))["score"] + score(at)
+        newest = F.get(ends, F.lit(0))["score"]
+        return F.when(size_of(at) == 1, with_edge(newest + score(at), ends)).when(through > newest, with_edge(through, F.slice(ends, 2, rest))).otherwise(ends)
+
+    def run(s: Column, some: Column) -> Column:
+        """Goes on from the last ends; of these only the newest can still change, so it is replaced."""
+        last = F.slice(F.get(s, F.lit(0)), 1, pieces.longest + 1)
+        kept = F.transform(F.array(F.aggregate(some, last, step)), lambda ends: F.slice(ends, 1, F.size(ends) - F.size(last) + 1 + pieces.longest))
+        return F.concat(kept, s)
+
+    start = F.array(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("at"))))
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(edges) - 1) / RUN).cast("int")), lambda i: F.slice(edges, i * RUN + 1, F.lit(RUN)))
 
-    def whole(s: Column, run: Column) -> Column:
-        inner = F.aggregate(run, state(s["last"], s["at"], none), step)
-        return F.transform(F.array(inner), lambda x: F.struct(x["last"].alias("last"), x["at"].alias("at"), F.concat(s["before"], F.array(x["before"])).alias("before")))[0]
-
-    start = state(F.array(F.lit(0.0)), F.lit(0).cast("bigint"), F.array().cast("array<array<bigint>>"))
-    best = F.aggregate(runs, start, whole, lambda s: F.concat(F.array(s["at"]), F.reverse(F.flatten(s["before"]))))  # an edge an end, the last first
-
-    def back(s: Column, at: Column) -> Column:
+    def back(s: Column, edge: Column) -> Column:
+        at = edge["at"]
         code = at.bitwiseAND(WIDE - 1).cast("int")
-        ids = F.concat(s["ids"], F.array(F.when(code < WIDE // 2, code).otherwise(WIDE // 2 - 1 - code)))
-        return F.when(end_of(at) == s["end"], F.struct((s["end"] - size_of(at)).alias("end"), ids.alias("ids"))).otherwise(s)
+        ids = F.concat(F.array(F.when(code < WIDE // 2, code).otherwise(WIDE // 2 - 1 - code)), s["ids"])
+        return F.when((end_of(at) == s["end"]) & (at > 0), F.struct((s["end"] - size_of(at)).alias("end"), ids.alias("ids"))).otherwise(s)
 
-    begin = F.struct(end_of(F.element_at(edges, -1)["at"]).alias("end"), F.array().cast("array<int>").alias("ids"))
-    on_path = lambda s: F.reverse(s["ids"])
-    return F.aggregate(F.filter(best, lambda at: at > 0), begin, back, on_path)
+    begin = F.struct(end_of(F.element_at(edges, -1)).alias("end"), F.array().cast("array<int>").alias("ids"))
+    return F.aggregate(F.flatten(F.aggregate(runs, start, run)), begin, back, lambda s: s["ids"])
 
 
 def spelled(ids: list[int], of_byte: list[int], unknown: int) -> list[int]:
@@ -323,7 +319,7 @@ def by_merges(docs: DataFrame, pieces: Pieces, cache_words: int = 200_000) -> Da
 
 def word_ids(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word and ids of a table of distinct words by Viterbi; unknown characters have the id -1 - code point."""
-    return edges(words.select("word", F.col("word").alias("__word")).select("__word", "word"), pieces, ["__word"]).select(F.col("__word").alias("word"), viterbi(F.col("edges"), pieces.longest).alias("ids"))
+    return edges(words.select("word", F.col("word").alias("__word")).select("__word", "word"), pieces, ["__word"]).select(F.col("__word").alias("word"), viterbi(F.col("edges"), pieces).alias("ids"))
 
 
 def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", rule: str | None = None) -> DataFrame:
@@ -336,7 +332,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     spread = word_rows(parts).withColumn("h", F.xxhash64("word")).repartition(n, "h")
     # a word is known by its number in the last slice that has it; so every reader of the words takes all columns, and they share one shuffle
     distinct = spread.groupBy("h", "word").agg(F.max("slice").alias("s"), F.max_by("number", "slice").alias("m"))
-    folded = edges(distinct, pieces, ["h", "s", "m"]).select("h", "s", "m", viterbi(F.col("edges"), pieces.longest).alias("ids"))
+    folded = edges(distinct, pieces, ["h", "s", "m"]).select("h", "s", "m", viterbi(F.col("edges"), pieces).alias("ids"))
     known = distinct.join(folded.hint("merge"), ["h", "s", "m"]).select("h", "word", "ids")
     found = spread.join(known.hint("merge"), ["h", "word"])
     back = packed_ids(found, pieces.bytes, pieces.unknown)
