@@ -180,7 +180,7 @@ def word_rows(parts: DataFrame) -> DataFrame:
                         some = pa.array([w or "\n" for w in words[k : k + 50_000]], pa.string())
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), at)), pa.array(np.arange(k, k + len(some), dtype=np.int32)), some], ["slice", "number", "word"])
 
-    return parts.mapInArrow(tidy(run), "slice long, number int, word string")
+    return parts.mapInArrow(tidy(run), "slice long NOT NULL, number int NOT NULL, word string NOT NULL")
 
 
 def edges(words: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
@@ -189,11 +189,11 @@ def edges(words: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
         raise ValueError("a piece has fewer than 64 characters and an id under 2^24")
     spark, longest = words.sparkSession, pieces.longest
     known = spark.createDataFrame(pa.table({"piece": [p for _, p, _ in pieces.rows], "id": pa.array([i for i, _, _ in pieces.rows], pa.int32())}))
-    n = F.col("n_chars")
-    blocks = words.withColumn("n_chars", F.length("word")).withColumn("base", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))))
+    n = F.col("n_chars")  # no word is empty; explode_outer keeps the optimiser from filters that would part the readers of one shuffle
+    blocks = words.withColumn("n_chars", F.length("word")).withColumn("base", F.explode_outer(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))))
     blocks = blocks.select(*keys, "base", "n_chars", F.substring(F.col("word"), F.col("base") + 1, F.lit(BLOCK + longest - 1)).alias("block"))
-    begins = blocks.withColumn("begin", F.explode(F.sequence(F.lit(1), F.least(F.lit(BLOCK), n - F.col("base")))))
-    rows = begins.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("base") - F.col("begin") + 1))))
+    begins = blocks.withColumn("begin", F.explode_outer(F.sequence(F.lit(1), F.least(F.lit(BLOCK), n - F.col("base")))))
+    rows = begins.withColumn("size", F.explode_outer(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("base") - F.col("begin") + 1))))
     rows = rows.select(*keys, (F.col("base") + F.col("begin") + F.col("size") - 1).alias("end"), "size", F.substring(F.col("block"), F.col("begin"), F.col("size")).alias("piece"))
     found = rows.join(F.broadcast(known), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
     code = F.coalesce(F.col("id"), F.lit(WIDE // 2) + F.ascii("piece")).cast("long")
@@ -329,12 +329,14 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
         return by_merges(docs, pieces).select("doc_id", "ids", "digest")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = sliced(docs).repartition(n, "slice")
-    spread = word_rows(parts).withColumn("h", F.xxhash64("word")).repartition(n, "h")
-    # a word is known by its number in the last slice that has it; so every reader of the words takes all columns, and they share one shuffle
+    spread = word_rows(parts).repartition(n, F.xxhash64("word")).withColumn("h", F.xxhash64("word"))
+    # a word is known by its number in the last slice that has it; so every reader of the words takes all columns, of which none is null, and they share one shuffle
     distinct = spread.groupBy("h", "word").agg(F.max("slice").alias("s"), F.max_by("number", "slice").alias("m"))
-    folded = edges(distinct, pieces, ["h", "s", "m"]).select("h", "s", "m", viterbi(F.col("edges"), pieces).alias("ids"))
-    known = distinct.join(folded.hint("merge"), ["h", "s", "m"]).select("h", "word", "ids")
-    found = spread.join(known.hint("merge"), ["h", "word"])
+    folded = edges(distinct, pieces, ["h", "s", "m"]).select(F.col("h").alias("fh"), F.col("s").alias("fs"), F.col("m").alias("fm"), viterbi(F.col("edges"), pieces).alias("ids"))
+    # joined by the hash alone, by which all sides are partitioned; told apart by bounds, since equalities would become keys and shuffle again
+    same = lambda a, b: (F.col(a) <= F.col(b)) & (F.col(a) >= F.col(b))
+    known = distinct.join(folded.hint("merge"), (F.col("h") == F.col("fh")) & same("s", "fs") & same("m", "fm")).select(F.col("h").alias("kh"), F.col("word").alias("known"), "ids")
+    found = spread.join(known.hint("merge"), (F.col("h") == F.col("kh")) & same("word", "known"))
     back = packed_ids(found, pieces.bytes, pieces.unknown)
     return parts.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(placed, "doc_id long, digest string, ids array<int>").select("doc_id", "ids", "digest")
 
