@@ -54,6 +54,7 @@ SLICE = 32 << 20  # bytes of text, but for single longer documents
 BLOCK = 64  # characters of a word that are exploded together
 RUN = 128  # edges that are folded together
 WIDE, LONGEST = 1 << 25, 64  # an edge in one long: (end * LONGEST + length) * WIDE + id, unknown characters WIDE / 2 + code point
+FINER = 8  # partitions of words to one of the session: edges take many times the room of their words, and are sorted in memory
 SLICES = "slice long, doc_ids array<long>, sizes array<int>, digests array<string>, numbers binary, words binary"
 BACK = "slice long, number binary, size binary, ids binary"
 
@@ -329,7 +330,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
         return by_merges(docs, pieces).select("doc_id", "ids", "digest")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = sliced(docs).repartition(n, "slice")
-    spread = word_rows(parts).repartition(n, F.xxhash64("word")).withColumn("h", F.xxhash64("word"))
+    spread = word_rows(parts).repartition(n * FINER, F.xxhash64("word")).withColumn("h", F.xxhash64("word"))
     # a word is known by its number in the last slice that has it; so every reader of the words takes all columns, of which none is null, and they share one shuffle
     distinct = spread.groupBy("h", "word").agg(F.max("slice").alias("s"), F.max_by("number", "slice").alias("m"))
     folded = edges(distinct, pieces, ["h", "s", "m"]).select(F.col("h").alias("fh"), F.col("s").alias("fs"), F.col("m").alias("fm"), viterbi(F.col("edges"), pieces).alias("ids"))
