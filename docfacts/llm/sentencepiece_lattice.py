@@ -40,6 +40,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,10 +51,11 @@ from docfacts.llm.packing import slices
 MARK = "▁"
 WORDS = f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n"
 UNKNOWN_PENALTY = 10.0
-SLICE = 32 << 20  # bytes of text, but for single longer documents
+SLICE = 16 << 20  # bytes of text, but for single longer documents
 BLOCK = 64  # characters of a word that are exploded together
 RUN = 128  # edges that are folded together
 WIDE, LONGEST = 1 << 25, 64  # an edge in one long: (end * LONGEST + length) * WIDE + id, unknown characters WIDE / 2 + code point
+RUN_IDS = 500_000  # ids that are decoded together
 FINER = 8  # partitions of words to one of the session: edges take many times the room of their words, and are sorted in memory
 SLICES = "slice long, doc_ids array<long>, sizes array<int>, digests array<string>, numbers binary, words binary"
 BACK = "slice long, number binary, size binary, ids binary"
@@ -350,10 +352,25 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", to: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(*shared.value)
         raw = {i: p.encode() for i, p, _ in pieces.rows} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)} | dict.fromkeys(pieces.control, b"")
-        lost = " ⁇ ".encode()
+        lost = max(raw) + 1  # stands for every id of no piece
+        spelling = [raw.get(i, " ⁇ ".encode()) for i in range(lost + 1)]
+        length = np.array([len(x) for x in spelling])
+        start, blob = np.cumsum(length) - length, np.frombuffer(b"".join(spelling), np.uint8)
         for batch in batches:
-            at = batch.schema.get_field_index(ids_col)
-            texts = [b"".join([raw.get(i, lost) for i in ids or []]).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for ids in batch.column(at).to_pylist()]
+            lists = batch.column(batch.schema.get_field_index(ids_col))
+            size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            done, texts = np.concatenate(([0], np.cumsum(size))), []
+            i = 0
+            while i < len(size):  # runs of so many ids, one row at least
+                j = max(i + 1, int(np.searchsorted(done, done[i] + RUN_IDS, side="right")) - 1)
+                ids = np.asarray(pc.fill_null(lists.slice(i, j - i).flatten(), -1)).astype(np.int64)
+                ids = np.where((ids < 0) | (ids > lost), lost, ids)
+                n = length[ids]
+                ends = np.concatenate(([0], np.cumsum(n)))
+                text = blob[np.repeat(start[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+                bounds = ends[done[i : j + 1] - done[i]].tolist()
+                texts += [text[a:b].decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for a, b in zip(bounds, bounds[1:], strict=False)]
+                i = j
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
     return df.mapInArrow(tidy(run), f"{columns}, `{to}` string")
