@@ -55,7 +55,7 @@ SLICE = 16 << 20  # bytes of text, but for single longer documents
 BLOCK = 64  # characters of a word that are exploded together
 RUN = 128  # edges that are folded together
 WIDE, LONGEST = 1 << 25, 64  # an edge in one long: (end * LONGEST + length) * WIDE + id, unknown characters WIDE / 2 + code point
-RUN_IDS = 500_000  # ids that are decoded together
+RUN_IDS = 500_000  # ids that are decoded, or words that are put in place, together
 FINER = 8  # partitions of words to one of the session: edges take many times the room of their words, and are sorted in memory
 SLICES = "slice long, doc_ids array<long>, sizes array<int>, digests array<string>, numbers binary, words binary"
 BACK = "slice long, number binary, size binary, ids binary"
@@ -290,7 +290,11 @@ def placed(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
     took = length[w]
     ends = np.concatenate(([0], np.cumsum(took)))
     bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
-    got = flat[np.repeat(start[w] - ends[:-1], took) + np.arange(ends[-1])] if len(w) else flat[:0]
+    got = np.empty(int(ends[-1]), np.int32)
+    for i in range(0, len(w), RUN_IDS):  # positions take more room than ids: so many words at a time
+        some = slice(i, i + RUN_IDS)
+        a, b = ends[i], ends[min(i + RUN_IDS, len(w))]
+        got[a:b] = flat[np.repeat(start[w[some]] - ends[:-1][some], took[some]) + np.arange(a, b)]
     lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(got, pa.int32())).cast(pa.list_(pa.int32()))
     return pa.table({"doc_id": one["doc_ids"].values, "digest": one["digests"].values, "ids": lists})
 
