@@ -14,8 +14,11 @@ part of the second order; only then are whole sets compared, exactly.
 Equal sets are one node from the start. Within an index entry (the nodes
 that share a prefix token) pairs are not enumerated: one node, the leader, meets
 the others, and nodes that are connected by now need not meet. What is left apart after
-a few leaders is met by a join that makes a pair once, at its first common token, and
-only if sizes and the common part of their first tokens allow the threshold: no link is lost.
+a few leaders is met by a join on token and size band. The place of a token within the smaller
+set bounds the larger set's size, so a set enters only the bands that it can still reach; a template that
+falls short of the threshold comes after the sets' own tokens, from where it reaches none. Nodes of an
+entry's greatest component meet the others only, not one another. A pair is made once, at its
+first common token, if sizes and the common part of their first tokens allow the threshold: no link is lost.
 
 Memory and skew: one slice of texts a task; tokens are counted with partial
 sums, and entries are joined by token, so that a hot token is split by the adaptive skew join.
@@ -214,6 +217,30 @@ def reachable(x: str, y: str, num: int, den: int):
     return (n * den >= m * num) & (m * den >= n * num) & (most * (num + den) >= num * (n + m)), common
 
 
+def meetings(live: DataFrame, heads: DataFrame, num: int, den: int) -> list[tuple[DataFrame, DataFrame]]:
+    """What is left of the entries (token, node, own: its component), to be joined on token and band: pairs of tables of the smaller sets and of the larger ones.
+
+    With its first common token at place i the smaller set x has at most |x| + 1 - i tokens in common with another;
+    so that one has at most M = ((|x| + 1 - i) (num + den) - num |x|) / num tokens, and x enters the bands from |x| to M.
+    Each pair of different components of an entry has a node out of the entry's greatest, so those within that one are left out.
+    """
+    greatest = live.groupBy("token", "own").count().groupBy("token").agg(F.max_by("own", F.struct("count", "own")).alias("greatest"))
+    n, place = F.col("n"), F.col("n") - F.expr(f"(n * {num} + {den - 1}) div {den}") + 1 - F.col("lead") + F.array_position("head", F.col("token"))
+    rows = live.join(heads, "node").join(greatest, "token").withColumn("left", n + 1 - place).withColumn("most", F.expr(f"(left * {num + den} - n * {num}) div {num}"))
+    band = lambda size: F.floor(F.log(size.cast("double")) * 20)  # noqa: E731  sizes of one band differ by 5 % at most
+    row = F.struct("node", "own", "n", "left", "most", "reach", "head")
+    apart = F.col("own") != F.col("greatest")
+
+    def low(which):
+        able = rows.where(which & (F.col("most") >= n))
+        return able.select("token", row.alias("x"), F.explode(F.sequence(band(n), band(F.col("most")))).alias("band"))
+
+    def high(which):
+        return rows.where(which).select("token", row.alias("y"), band(n).alias("band"))
+
+    return [(low(apart), high(F.lit(True))), (low(~apart), high(apart))]
+
+
 def verified(pairs: DataFrame, heads: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     """Of the distinct pairs (a, b), those whose sets reach the threshold: sizes, heads, the other orders' prefixes, then whole sets."""
     side = lambda c: heads.select(F.col("node").alias(c), F.struct("n", "reach", "head", "second", "third").alias(f"of_{c}"))
@@ -279,11 +306,16 @@ def near_duplicates(df: DataFrame, k: int = 5, num: int = 80, den: int = 100, ro
         if turn < rounds:
             now = live.where("own <> of").select(*pair("leader", "node"))
         else:
-            x, y = (live.join(heads, "node").select("token", F.struct("node", "own", "n", "reach", "head").alias(c)) for c in "xy")
             fits, common = reachable("x", "y", num, den)
+            n, m = F.col("x.n"), F.col("y.n")
+            smaller = (n < m) | ((n == m) & (F.col("x.node") < F.col("y.node")))
+            near = (m <= F.col("x.most")) & (F.col("y.left") * (num + den) >= (n + m) * num) & (F.col("x.own") != F.col("y.own"))
             # of the tokens that two nodes share, the first makes the pair
-            once = (F.col("x.node") < F.col("y.node")) & (F.col("x.own") != F.col("y.own")) & fits & (F.try_element_at(common, F.lit(1)) == x["token"])
-            now = x.join(y, (x["token"] == y["token"]) & once).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            once = smaller & near & fits & (F.try_element_at(common, F.lit(1)) == F.col("token"))
+            now = None
+            for low, high in meetings(live, heads, num, den):
+                made = low.join(high, ["token", "band"]).where(once).select(*pair(F.col("x.node"), F.col("y.node")))
+                now = made if now is None else now.union(made)
         fresh = stored(now.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(verified(fresh, heads, whole, num, den))
         tested = tested.unionByName(fresh)

@@ -128,6 +128,34 @@ def test_chains_and_large_groups_keep_their_links(spark):
     assert Counter(map(tuple, got)) == components_by_hand(out, 4, 85, 100)
 
 
+def test_a_template_under_the_threshold_makes_few_pairs(spark, monkeypatch):
+    """Every two texts have a likeness of 0.785; all are in the entries of the template's tokens."""
+    template, seen, meetings = [f"t{i}" for i in range(340)], [], jaccard.meetings
+
+    def watched(live, heads, num, den):
+        parts = meetings(live, heads, num, den)
+        seen.append((live.alias("p").join(live.alias("q"), "token").where("p.node < q.node").count(), sum(low.join(high, ["token", "band"]).count() for low, high in parts)))
+        return parts
+
+    monkeypatch.setattr(jaccard, "meetings", watched)
+    out = [(i, " ".join([*template, *(f"own{i}x{j}" for j in range(46))]), "s") for i in range(60)]
+    got = jaccard.near_duplicates(make(spark, out), 5, 80, 100).collect()
+    assert sorted(map(tuple, got)) == [(i, 382, i) for i in range(60)]
+    ((all_pairs, joined),) = seen
+    assert all_pairs > 60 * 59 // 4 and joined == 0
+
+
+def test_templates_with_parts_of_all_sizes(spark):
+    rng = random.Random(11)
+    out = []
+    for i in range(90):  # own parts of few words, shared by some: links, near misses, and nodes apart in entries with a large component
+        own = [f"v{rng.randrange(25)}" for _ in range(rng.randrange(4, 34))]
+        out.append((i, " ".join([*(f"t{j}" for j in range(100)), *own]), "s"))
+    for rounds in (0, 1, 2):
+        got = jaccard.near_duplicates(make(spark, out), 4, 85, 100, rounds=rounds).collect()
+        assert Counter(map(tuple, got)) == components_by_hand(out, 4, 85, 100)
+
+
 @pytest.mark.parametrize("k", [4, 5])
 def test_shingles_of_a_few_words_in_all(k):
     import pyarrow as pa
