@@ -2,9 +2,10 @@
 
 The greatest inner product becomes the least Euclidean distance when every
 vector x gets one more component sqrt(M^2 - |x|^2), M being the greatest norm,
-and the query gets 0. In that space each row goes to the nearest of a bounded
-sample of pivots; crowded pivots (also one vector many times over) are split by
-a hash of the id, so that a group stays near ``group_rows``. Each group becomes
+and the query gets 0. In that space each row goes to the nearest of a sample of
+pivots, whose number follows from the counted rows, so that crowded regions have more of them, up to
+``most_pivots``. What is crowded still (one vector many times over, or rows beyond that bound) is
+split by a hash, so that a group stays near ``group_rows``. Each group becomes
 a tree: nodes with a routing vector, a covering radius and the distance to the
 parent's routing vector; leaf pages whose entries store theirs to the page's.
 The trees are written as a table, one row a group.
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from docfacts.llm.common import stored
 
 PAGE = 256  # entries of a leaf page, at most
+SEEDS = 16  # pivots that every query meets first
 FANOUT = 8
 
 
@@ -133,33 +135,40 @@ def search(tree: dict, query_id: int, q: np.ndarray, size2: float, top: float, b
                 heapq.heappush(queue, (li, serial, di, node["children"][i]))
 
 
-def index(vectors: DataFrame, pivots: int = 16, group_rows: int = 8192) -> tuple[DataFrame, dict[int, tuple[float, list]]]:
-    """The table of trees (dim, grp, centre, radius, tree), and by vector length the greatest squared norm with the pivots.
+def index(vectors: DataFrame, pivots: int = 16, group_rows: int = 8192, most_pivots: int = 4096) -> tuple[DataFrame, dict[int, tuple[float, list]]]:
+    """The table of trees (dim, grp, centre, radius, tree), and by vector length the greatest squared norm with a few pivots.
 
-    Pivots are the rows with the smallest hashes, at most ``pivots`` a length;
-    only they, one norm a length and one count a pivot come to the driver.
+    Pivots are the rows with the smallest hashes: for each length two for every ``group_rows`` rows, at least ``pivots``;
+    beyond ``most_pivots`` for all lengths the lengths share that number. Only they, one norm and one count a length and one
+    count a pivot come to the driver and are broadcast.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "q", F.size("q").alias("dim"))
-    tops = rows.groupBy("dim").agg(F.max(F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("top")).collect()
-    known: dict[int, tuple[float, list]] = {}
+    norm = F.aggregate("q", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    tops = rows.groupBy("dim").agg(F.max(norm).alias("top"), F.count(F.lit(1)).alias("n")).collect()
+    wanted = {r["dim"]: max(pivots, -(-2 * r["n"] // group_rows)) for r in tops}
+    share = min(1.0, most_pivots / max(1, sum(wanted.values())))
+    chosen: dict[int, tuple[float, list]] = {}
     for r in tops:
-        few = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(pivots).collect()
-        known[r["dim"]] = (r["top"] * (1 + 1e-12), [(x["vec_id"], list(x["q"])) for x in few])
-    shared = spark.sparkContext.broadcast(known)
+        most = max(1, int(wanted[r["dim"]] * share))
+        few = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(most).collect()
+        chosen[r["dim"]] = (r["top"] * (1 + 1e-12), [(x["vec_id"], list(x["q"])) for x in few])
+    known = {dim: (top, few[:SEEDS]) for dim, (top, few) in chosen.items()}
+    different = {dim: (top, sorted({tuple(q) for _, q in few})) for dim, (top, few) in chosen.items()}
+    shared = spark.sparkContext.broadcast({dim: (top, np.array(few, float).reshape(len(few), dim)) for dim, (top, few) in different.items()})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = np.asarray(batch.column(2))
             nearest = np.zeros(len(dims), np.int32)
             for dim in np.unique(dims):
-                top, few = shared.value[int(dim)]
+                top, sample = shared.value[int(dim)]
                 at = np.flatnonzero(dims == dim)
-                centres = lifted(np.array([q for _, q in few], float).reshape(len(few), -1), top)
-                for i in range(0, len(at), 4096):
-                    part = batch.column(1).take(pa.array(at[i : i + 4096]))
+                centres = lifted(sample, top)
+                for i in range(0, len(at), 1024):
+                    part = batch.column(1).take(pa.array(at[i : i + 1024]))
                     x = lifted(matrix(part), top)
-                    nearest[at[i : i + 4096]] = np.argmin((centres**2).sum(axis=1) - 2.0 * x @ centres.T, axis=1)
+                    nearest[at[i : i + 1024]] = np.argmin((centres**2).sum(axis=1) - 2.0 * (x @ centres.T), axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest)], ["vec_id", "q", "dim", "pivot"])
 
     assigned = rows.mapInArrow(assign, "vec_id long, q array<long>, dim int, pivot int")

@@ -112,6 +112,29 @@ def test_the_tree_leaves_out_candidates():
     assert count[0] < len(x) / 2
 
 
+def test_crowded_regions_have_groups_of_their_own(spark):
+    """Most groups are out of reach of a query by their bounds; one vector many times over is split and still found."""
+    import pickle
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-3, 4, (40, 8))
+    rows = [(i, (centres[i % 40] + rng.normal(0, 0.02, 8)).tolist()) for i in range(3000)] + [(5000 + i, [1.0] * 8) for i in range(1000)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    trees, known = topk.index(vectors, group_rows=100)
+    found = [(np.array(r["centre"]), r["radius"], len(pickle.loads(r["tree"])["ids"])) for r in trees.collect()]
+    assert sum(n for _, _, n in found) == 4000 and len(found) > 30 and len(known[8][1]) == topk.SEEDS
+    x = np.array([[int(256 * c // 1) for c in v] for _, v in rows], np.int64)
+    top, near = known[8][0], 0
+    for q in x[:3000:100]:
+        far = np.sqrt(float((q * q).sum()) + top - 2.0 * np.sort(x @ q)[-5])
+        near += sum(n for centre, radius, n in found if np.sqrt(((np.append(q, 0.0) - centre) ** 2).sum()) - radius <= far)
+    assert near < 0.3 * 30 * 4000
+    got = Counter(map(tuple, topk.top_k(spark.createDataFrame(rows[::7], "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).collect()))
+    assert got == top_by_hand(rows[::7], 5)
+
+
 def test_warc_round_trip(spark):
     big = "x" * 150 + "é\r\n\r\nWARC/1.1\r\n"
     rows = [(1, "u", "small"), (2, "u", "small"), (9, "u\r\nv", big), (4, None, big), (5, "u", big), (6, "u", None), (7, "u", ""), (4, None, big)]
