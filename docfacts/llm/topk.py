@@ -4,7 +4,7 @@ The greatest inner product becomes the least Euclidean distance when every
 vector x gets one more component sqrt(M^2 - |x|^2), M being the greatest norm,
 and the query gets 0. In that space each row goes to the nearest of a sample of
 pivots, whose number follows from the counted rows, so that crowded regions have more of them, up to
-``most_pivots``. What is crowded still (one vector many times over, or rows beyond that bound) is
+``most_pivots``. What is crowded still (one vector many times over, an uneven share, rows beyond that bound) is
 split by a hash, so that a group stays near ``group_rows``. Each group becomes
 a tree: nodes with a routing vector, a covering radius and the distance to the
 parent's routing vector; leaf pages whose entries store theirs to the page's.
