@@ -4,13 +4,15 @@ from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
 from docfacts.operators import place
+from docfacts.plans import grid_queries
 from docfacts.plans.render import documents
 
 
 def test_documents_of_a_compact_table_are_work_for_many_tasks(spark, tmp_path):
     orders = spark.range(30_000).select(F.col("id").alias("o_orderkey"), F.lit(1000.5).cast("decimal(12,2)").alias("o_totalprice"))
     orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
-    assert documents(spark, str(tmp_path)).rdd.getNumPartitions() > 1  # before: one, whatever the number of cores
+    for made in (documents, grid_queries.documents, grid_queries.words):
+        assert made(spark, str(tmp_path)).rdd.getNumPartitions() > 1  # before: one, whatever the number of cores
 
 
 def test_the_blocks_of_a_page_are_made_once(spark):
