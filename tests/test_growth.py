@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
-from docfacts.operators import place
-from docfacts.plans import grid_queries
+from docfacts.operators import party, place
+from docfacts.plans import grid_queries, record_queries
 from docfacts.plans.render import documents
 
 
@@ -38,3 +38,25 @@ def test_windows_of_near_anchors(spark):
     df = spark.createDataFrame([(["Price Price $1,000", None, "PRICE of 2 " + "x" * 40 + " $9,999"],)], "pages array<string>")
     hit = df.select(T.regex_near(F.col("pages"), ["Price"], r"\$([0-9,]+)", 10).alias("h")).first().h
     assert (hit.value, hit.page, hit.snippet) == ("1,0", 1, "Price $1,0")
+
+
+def test_brands_are_patterns_of_the_plan(spark):
+    df = spark.createDataFrame([("a Quick Mart Express’s, Bean House",), ("beanhouse",), (None,)], "t string").select(party.brand_in(F.col("t"), ["Bean House", "Quick Mart", "Quick Mart Express's"]).alias("b"))
+    assert [r.b for r in df.collect()] == ["Quick Mart Express's", None, None]
+    assert ".pattern" not in df._jdf.queryExecution().optimizedPlan().toString()  # before: read from a table of brands, and compiled for every text
+
+
+def test_a_chain_extracts_what_its_query_reads(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(record_queries, "written", lambda df, name: seen.append(df.columns) or df)
+    docs = spark.createDataFrame([], "doc_id long, path string, pages array<string>, ocr_used boolean, cover_spans array<struct<text:string,size:double,page:int>>, _corrupt string, status string")
+    left = record_queries.whole_chain(docs, shown=())
+    assert set(record_queries.CHECKED) <= set(seen[0]) and not {"address", "trafficCount", "offeringFirm"} & {c for columns in seen for c in columns}  # before: all were written
+    assert "warnings" in left.columns
+
+
+def test_regular_lines_equal_searched_ones(spark):
+    texts = ["a\nb c\nd", " a\nb", "a\nb ", "a\n\nb", "a \nb", "a\n\tb", "a\r\nb", "a\x85b", "a b", "\n", "", "a", " a \n b"]
+    df = spark.createDataFrame([([t],) for t in texts], "pages array<string>").select(T.numbered_lines(F.col("pages")).alias("n"), T.page_lines(F.col("pages")).alias("l"))
+    for row in df.collect():
+        assert row.n == "".join(f"1\f{x.line}\n" for x in row.l[0]) or (row.n == "1\f\n" and not row.l[0])
