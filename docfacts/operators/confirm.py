@@ -7,6 +7,7 @@ are listed by ``unasked``, to be asked and appended.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -119,14 +120,17 @@ def confirm(df: DataFrame, geocodes: DataFrame, zips: DataFrame) -> DataFrame:
     return df.select(*[c("__a2").alias("address") if x == "address" else c(f"`{x}`") for x in keep if x != "conflicts"], F.array_compact(F.array(*items)).alias("conflicts"))
 
 
-def contains_join(needles: DataFrame, needle: str, haystack: DataFrame, text: str, order: str, gram: int = 3) -> DataFrame:
+def contains_join(needles: DataFrame, needle: str, haystack: DataFrame, text: str, order: str, gram: int = 3, part_rows: int = 1_000_000, few: int = FEW_ROWS) -> DataFrame:
     """needle, and the columns of the first row of ``haystack`` (by ``order``) whose ``text`` contains it; needles without one are left out.
 
     Texts are indexed by their character n-grams, a row a text and distinct
     gram. A needle asks by its rarest gram only, and what the index gives is
     verified. Needles shorter than ``gram`` ask an index of their own length.
-    Neither side is collected or crossed: both may grow. An empty or null
-    needle, or one that is nowhere, finds nothing.
+    Neither side is collected or crossed: both may grow. Up to FEW_ROWS needles,
+    by their count, are broadcast to where the texts are cut into grams; more
+    meet the index in a shuffle, where a gram's texts are dealt to tasks of
+    about ``part_rows``. An empty or null needle, or one that is nowhere, finds
+    nothing.
     """
     grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substr(c, i, n)))
     asked = needles.select(F.col(needle).alias("__needle")).where(F.length("__needle") > 0).distinct().withColumn("__n", F.least(F.length("__needle"), F.lit(gram)))
@@ -138,7 +142,14 @@ def contains_join(needles: DataFrame, needle: str, haystack: DataFrame, text: st
     counts = index.groupBy("__gram").agg(F.count(F.lit(1)).alias("__count"))
     # a needle with a gram that no text has is in none
     rarest = own.join(counts, "__gram", "left").groupBy("__needle").agg(F.min(F.struct(F.coalesce("__count", F.lit(0)).alias("count"), "__gram")).alias("__r")).where("__r.count > 0")
-    met = rarest.select("__needle", F.col("__r.__gram").alias("__gram")).join(index, "__gram").where(F.contains(F.col(f"__row.`{text}`"), F.col("__needle")))
+    asking = rarest.select("__needle", F.col("__r.__gram").alias("__gram"))
+    if asked.count() <= few:
+        pairs = index.join(F.broadcast(asking), "__gram")
+    else:
+        parts = math.ceil(max(1, rows.count()) / part_rows)
+        dealt = index.withColumn("__part", F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("int"))
+        pairs = dealt.join(asking.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["__gram", "__part"])
+    met = pairs.where(F.contains(F.col(f"__row.`{text}`"), F.col("__needle")))
     first = met.groupBy("__needle").agg(F.min_by("__row", F.struct(F.col(f"__row.`{order}`"), F.col("__row"))).alias("__row"))
     return first.select(F.col("__needle").alias(needle), "__row.*")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
-from docfacts.operators import party, place
+from docfacts.operators import confirm, party, place
 from docfacts.plans import grid_queries, record_queries
 from docfacts.plans.render import documents
 
@@ -60,3 +60,13 @@ def test_regular_lines_equal_searched_ones(spark):
     df = spark.createDataFrame([([t],) for t in texts], "pages array<string>").select(T.numbered_lines(F.col("pages")).alias("n"), T.page_lines(F.col("pages")).alias("l"))
     for row in df.collect():
         assert row.n == "".join(f"1\f{x.line}\n" for x in row.l[0]) or (row.n == "1\f\n" and not row.l[0])
+
+
+def test_needles_meet_their_index_where_it_is_made(spark):
+    needles = spark.createDataFrame([("ab",), ("x1",), ("zz",)], "s string")
+    rows = spark.createDataFrame([(i, f"ab{i}x{i}") for i in range(40)], "ord long, t string")
+    joined = lambda **how: confirm.contains_join(needles, "s", rows, "t", "ord", **how)
+    for df in (joined(), joined(few=0, part_rows=7)):
+        assert sorted(map(tuple, df.select("s", "ord").collect())) == [("ab", 0), ("x1", 1)]
+    plan = joined(few=0, part_rows=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__part" in plan and "strategy=broadcast" in joined()._jdf.queryExecution().optimizedPlan().toString()  # before: all texts of a gram were one task's
