@@ -141,10 +141,12 @@ def image_cover(places: DataFrame, texts: DataFrame) -> DataFrame:
     """doc_id, page, image, overlap (the most text boxes over one of its places), cover (its largest share of the page).
 
     places: doc_id, page, image, place, box, page_width, page_height. texts: doc_id, page, text, box; blank ones do not count.
+    Equal boxes of a page are compared once and counted: pairs are made of different boxes only.
     """
-    boxes = texts.where(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")) != "").select("doc_id", "page", *BOX)
-    over = overlaps(places.select("doc_id", "page", "image", "place", *BOX), boxes, ["doc_id", "page"])
-    counts = over.groupBy("doc_id", "page", "image", "place").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id", "page", "image").agg(F.max("n").alias("overlap"))
+    keys = ["doc_id", "page"]
+    boxes = texts.where(F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")) != "").groupBy(*keys, *BOX).agg(F.count(F.lit(1)).alias("n"))
+    over = overlaps(places.select(*keys, *BOX).distinct(), boxes, keys).groupBy(*keys, *BOX).agg(F.sum("r_n").alias("n"))
+    counts = places.join(over, [*keys, *BOX]).groupBy(*keys, "image", "place").agg(F.sum("n").alias("n")).groupBy(*keys, "image").agg(F.max("n").alias("overlap"))
     size = lambda a, b: F.greatest(F.col(b) - F.col(a), F.lit(0.0))
     page_area = F.col("page_width") * F.col("page_height")
     cover = F.when(page_area != 0, size("x0", "x1") * size("y0", "y1") / page_area).otherwise(0.0)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
-from docfacts.operators import confirm, party, place
+from docfacts.operators import confirm, layout, party, place
 from docfacts.plans import grid_queries, record_queries
 from docfacts.plans.render import documents
 
@@ -70,3 +70,13 @@ def test_needles_meet_their_index_where_it_is_made(spark):
         assert sorted(map(tuple, df.select("s", "ord").collect())) == [("ab", 0), ("x1", 1)]
     plan = joined(few=0, part_rows=7)._jdf.queryExecution().optimizedPlan().toString()
     assert "__part" in plan and "strategy=broadcast" in joined()._jdf.queryExecution().optimizedPlan().toString()  # before: all texts of a gram were one task's
+
+
+def test_equal_boxes_are_compared_once(spark, monkeypatch):
+    met, plain = [], layout.overlaps
+    monkeypatch.setattr(layout, "overlaps", lambda left, right, keys: met.append(plain(left, right, keys)) or met[-1])
+    texts = spark.range(30).selectExpr("1L AS doc_id", "1 AS page", "'t' AS text", "0D AS x0", "0D AS y0", "10D AS x1", "CASE WHEN id = 0 THEN 9D ELSE 10D END AS y1")
+    places = spark.range(20).selectExpr("1L AS doc_id", "1 AS page", "id AS image", "0 AS place", "5D AS x0", "5D AS y0", "15D AS x1", "15D AS y1", "100D AS page_width", "100D AS page_height")
+    rows = layout.image_cover(places, texts).collect()
+    assert len(rows) == 20 and {(r.overlap, r.cover) for r in rows} == {(30, 0.01)}
+    assert met[0].count() == 2  # before: 600 pairs
