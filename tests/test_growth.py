@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
-from docfacts.operators import confirm, layout, party, place
+from docfacts.operators import confirm, fields, layout, party, place
 from docfacts.plans import grid_queries, record_queries
 from docfacts.plans.render import documents
 
@@ -80,3 +80,13 @@ def test_equal_boxes_are_compared_once(spark, monkeypatch):
     rows = layout.image_cover(places, texts).collect()
     assert len(rows) == 20 and {(r.overlap, r.cover) for r in rows} == {(30, 0.01)}
     assert met[0].count() == 2  # before: 600 pairs
+
+
+def test_a_pattern_is_searched_only_where_the_label_gave_nothing(spark, monkeypatch):
+    asked = F.struct(F.raise_error(F.lit("asked")).cast("string").alias("value"), F.lit(1).alias("page"), F.lit("s").alias("snippet"))
+    monkeypatch.setattr(fields, "regex_near", lambda *_: asked)
+    docs = fields.with_lines(spark.createDataFrame([(["Price: $100,000\nNOI: $6,000\nkWh: 3"],)], "pages array<string>"))
+    row = fields.extract(docs, fields.price(), fields.noi()).first()  # before: every pattern was searched in every document, "asked"
+    assert (row.price.value, row.noi.value) == (100_000, 6_000)
+    hit = docs.select(T.kv_lookup(F.col("lines"), ["-x", "kwh"]).alias("k")).first().k
+    assert tuple(hit) == ("3", 1, "kWh: 3")
