@@ -61,7 +61,7 @@ class WordEncoder:
     memory; beyond it the cache starts anew.
     """
 
-    def __init__(self, path: str, cache_words: int = 100_000):
+    def __init__(self, path: str, cache_words: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads; the library's own would each hold memory
         from tokenizers import Tokenizer
 
@@ -81,37 +81,36 @@ class WordEncoder:
 
     def reset(self) -> None:
         self.slot: dict[str, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.ends = array("I"), array("q", [0])
 
-    def keep(self, word: str, ids: list[int] | array) -> None:
+    def keep(self, word: str, ids: list[int]) -> None:
         self.slot[word] = len(self.slot)
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
 
-    def part(self, part: str) -> list[int] | array:
-        at = self.slot.get(part)
-        if at is None:
-            ids = [t.id for t in self.model.tokenize(part.translate(self.letters))]
-            self.keep(part, ids)
-            return ids
-        return self.flat[self.ends[at] : self.ends[at + 1]]
-
     def learn(self, words: list[str]) -> None:
-        hard = []
+        slot, parts_of, known, tokenize = self.slot, self.split, self.parts, self.model.tokenize
+        hard, flat, ends, begin = [], [], [], len(self.flat)
         for word in words:
-            if word in self.slot:
+            if word in slot:
                 continue
-            if not self.plain(word):
+            if word.isascii() and word.isalpha() and word.islower():
+                parts = (word,)
+            elif self.plain(word):
+                parts = parts_of(word.lower())
+            else:
                 hard.append(word)
                 continue
-            parts = self.split(word.lower())
-            if len(parts) == 1 and parts[0] == word:
-                self.part(word)
-            else:
-                ids = array("I")
-                for p in parts:
-                    ids.extend(self.part(p))
-                self.keep(word, ids)
+            for p in parts:
+                ids = known.get(p)
+                if ids is None:
+                    ids = known[p] = [t.id for t in tokenize(p if p.isascii() else p.translate(self.letters))]
+                flat += ids
+            slot[word] = len(slot)
+            ends.append(begin + len(flat))
+        self.flat.extend(array("I", flat))
+        self.ends.extend(array("q", ends))
         for i in range(0, len(hard), 512):
             for word, got in zip(hard[i : i + 512], self.tokenizer.encode_batch_fast(hard[i : i + 512], add_special_tokens=False), strict=True):
                 self.keep(word, got.ids)
@@ -123,7 +122,7 @@ class WordEncoder:
         coded = split.flatten().dictionary_encode()
         raw = coded.dictionary  # special tokens begin with "<" and keep their case
         words = pc.if_else(pc.match_substring(raw, "<"), raw, pc.ascii_lower(raw)).to_pylist()
-        if len(self.slot) > self.cache_words:
+        if max(len(self.slot), len(self.parts)) > self.cache_words:
             self.reset()
         self.learn(list(dict.fromkeys(words)))
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
@@ -238,7 +237,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             encoder = encoder or WordEncoder.of(tokenizer_path)
             docs = batch.column(0).to_pylist()
-            for i, j in slices(batch.column(1), 1 << 20):
+            for i, j in slices(batch.column(1)):
                 ids, at = encoder.encode(batch.column(1).slice(i, j - i))
                 for k in range(j - i):
                     packer.add(docs[i + k], np.concatenate((ids[at[k] : at[k + 1]], end)))

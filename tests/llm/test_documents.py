@@ -90,6 +90,17 @@ def test_special_tokens_keep_their_case():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
 
 
+def test_an_encoder_keeps_the_words_of_some_slices():
+    import pyarrow as pa
+
+    encoder = packing.WordEncoder(queries.tokenizer_path())
+    encoder.encode(pa.array([" ".join(f"w{i}" for i in range(120_000))]))
+    encoder.encode(pa.array(["w1 w2"]))
+    assert len(encoder.slot) == 120_000  # before: the cache began anew, and frequent words were split and encoded again
+    assert len(encoder.parts) < 100  # their parts are encoded once
+
+
+
 def components_by_hand(rows, k, num, den):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
