@@ -120,7 +120,11 @@ def search(tree: dict, query_id: int, q: np.ndarray, size2: float, top: float, b
             near = near[tree["ids"][near] != query_id]
             if count is not None:
                 count[0] += len(near)
-            for s, i in zip((tree["x"][near] @ q).tolist(), tree["ids"][near].tolist(), strict=True):
+            scores, ids = tree["x"][near] @ q, tree["ids"][near]
+            if len(best) == k:  # most of a page ends here
+                able = np.flatnonzero(scores >= best[0][0])
+                scores, ids = scores[able], ids[able]
+            for s, i in zip(map(int, scores.tolist()), ids.tolist(), strict=True):
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
@@ -237,6 +241,7 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id",
             asked, known = shared.value
             vecs = [np.array(q, np.int64) for _, q in asked]
             sizes = [float(sum(int(x) * int(x) for x in q)) for _, q in asked]
+            largest = [max((abs(int(x)) for x in q), default=0) for _, q in asked]
             best: list[list[tuple[int, int]]] = [[] for _ in asked]
             least = [max(x, (floors or {}).get(n, -np.inf)) for n, x in enumerate(seeds(asked, vecs, known))]
             for batch in batches:
@@ -253,8 +258,11 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id",
                     if not able:
                         continue
                     tree = pickle.loads(batch.column(4)[row].as_py())
+                    exact = tree["x"].dtype != object and int(abs(tree["x"]).max(initial=0)) * max(largest[n] for n in able) * max(1, dims[row]) < 1 << 53
+                    if exact:  # every product and sum is a whole number that a double holds, and doubles are multiplied faster
+                        tree["x"] = tree["x"].astype(float)
                     for n in able:
-                        q = vecs[n].astype(object) if tree["x"].dtype == object or abs(vecs[n]).max(initial=0) >= 1 << 28 else vecs[n]
+                        q = vecs[n].astype(float if exact else object if tree["x"].dtype == object or largest[n] >= 1 << 28 else np.int64)
                         search(tree, asked[n][0], q, sizes[n], top, best[n], k, least[n])
             out = [(n, asked[n][0], -i, s) for n, heap in enumerate(best) for s, i in heap]
             if out:

@@ -112,6 +112,22 @@ def test_the_tree_leaves_out_candidates():
     assert count[0] < len(x) / 2
 
 
+def test_scores_of_doubles_are_whole_and_equal():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(-300, 300, (3000, 16))
+    top = float((x * x).sum(axis=1).max())
+    tree = topk.build(np.arange(len(x)), x, top)
+    tree["x"] = x.astype(float)
+    for n in range(0, 3000, 500):
+        best = []
+        topk.search(tree, n, x[n].astype(float), float((x[n] ** 2).sum()), top, best, 5, -np.inf)
+        scores = [(int(s), -i) for i, s in enumerate(x @ x[n]) if i != n]
+        assert sorted(best) == sorted(scores)[-5:] and all(type(s) is int for s, _ in best)  # before: doubles, which the result does not hold
+
+
+
 def test_crowded_regions_have_groups_of_their_own(spark):
     """Most groups are out of reach of a query by their bounds; one vector many times over is split and still found."""
     import pickle
