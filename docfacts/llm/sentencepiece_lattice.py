@@ -1,6 +1,8 @@
 """SentencePiece encoding and decoding over a relational lattice of pieces.
 
-Texts are cut into words: a run of word marks with what follows it. A task cuts
+Texts are cut into words wherever no piece can reach across: between characters
+that are neighbours in no piece, so the best paths of the words make up that of
+the text, and most words are met again in other texts. A task cuts
 its documents into slices of bounded size and numbers the distinct words of
 each; the documents of a slice travel as packed numbers, its words as rows. Over
 the distinct words of the whole table Spark explodes all substrings up to the
@@ -13,7 +15,7 @@ piece is taken. A character that is no piece costs 10 more than the worst piece,
 as unigram models have it, and becomes byte pieces. The state of the fold is a
 score and a back pointer an end, in runs that hold the last ends that a piece can
 reach back to; the path is read off once, from the end. The ids of a slice's words go back
-to it packed, and its documents are put together there.
+to it packed, and its documents are put together there, a block of words at a time.
 
 Shuffled are the packed slices, their distinct words (by a hash of the word;
 words are compared whole) and the words' ids; the edges are not, as they stay
@@ -45,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docfacts.llm.common import tidy, with_text
+from docfacts.llm.common import release_memory, tidy, with_text
 from docfacts.llm.packing import slices
 
 MARK = "▁"
@@ -55,9 +57,11 @@ SLICE = 16 << 20  # bytes of text, but for single longer documents
 BLOCK = 64  # characters of a word that are exploded together
 RUN = 128  # edges that are folded together
 WIDE, LONGEST = 1 << 25, 64  # an edge in one long: (end * LONGEST + length) * WIDE + id, unknown characters WIDE / 2 + code point
-RUN_IDS = 500_000  # ids that are decoded, or words that are put in place, together
+RUN_IDS = 200_000  # ids that are decoded, or words that are put in place, together, but for single longer documents
+CUT = 1 << 20  # characters of a text that are cut together
+KINDS = 2047  # kinds of characters that cuts tell apart: those of larger vocabularies share kinds, which only leaves cuts out
 FINER = 8  # partitions of words to one of the session: edges take many times the room of their words, and are sorted in memory
-SLICES = "slice long, doc_ids array<long>, sizes array<int>, digests array<string>, numbers binary, words binary"
+SLICES = "slice long, doc_ids array<long>, sizes array<int>, digests array<string>, numbers array<binary>, words binary"
 BACK = "slice long, number binary, size binary, ids binary"
 
 
@@ -89,6 +93,35 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORDS, MARK + text.replace(" ", MARK)) if text else []
 
 
+class Cutter:
+    """Cuts texts between characters that are neighbours in no piece, so at every line's end and before every word mark that follows another character."""
+
+    def __init__(self, pairs: list[str]):
+        known = sorted({c for p in pairs for c in p})
+        self.kind, self.kinds = np.zeros(0x110000, np.int32), min(len(known), KINDS) + 1
+        self.kind[[ord(c) for c in known]] = np.arange(len(known)) % KINDS + 1
+        self.joined = np.zeros(self.kinds**2, bool)
+        for a, b in pairs:
+            self.joined[self.kind[ord(a)] * self.kinds + self.kind[ord(b)]] = True
+
+    def words(self, text: str) -> list[str]:
+        if not text:
+            return []
+        text, ends = MARK + text.replace(" ", MARK), [0]
+        for i in range(0, len(text), CUT):  # with the next character
+            kind = self.kind[np.frombuffer(text[i : i + CUT + 1].encode("utf-32-le"), np.uint32)]
+            ends += (np.flatnonzero(~self.joined[kind[:-1] * self.kinds + kind[1:]]) + (i + 1)).tolist()
+        return [text[a:b] for a, b in zip(ends, [*ends[1:], len(text)], strict=True)]
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Merger:
     """The rule of BPE models, word by word."""
 
@@ -134,36 +167,41 @@ def loosened(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
 
 
-def sliced(docs: DataFrame) -> DataFrame:
-    """One row a slice of documents: ids, words and digests of each (of its text, marks as spaces), the numbers of their words, and the distinct words in order of number."""
+def sliced(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """One row a slice of documents: ids, words and digests of each (of its text, marks as spaces), the numbers of their words in blocks of whole documents, and the distinct words in order of number."""
     names = [c.split()[0] for c in SLICES.split(", ")]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.binary()), pa.binary()]
+    pairs = sorted({p[i : i + 2] for _, p, _ in pieces.rows for i in range(len(p) - 1)})
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)  # a model's vocabulary is fixed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        ids, sizes, digests, numbers, number, held = [], [], [], [], {}, 0
+        at, cutter = TaskContext.get().partitionId() << 32, Cutter(shared.value)
+        ids, sizes, digests, blocks, numbers, number, held, waiting = [], [], [], [], [], Numbers(), 0, 0
+
+        def block() -> bytes:
+            return squeezed(np.concatenate(numbers) if numbers else np.zeros(0, np.int32))
 
         def row() -> pa.RecordBatch:
-            every = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
             words = "\n".join("" if w == "\n" else w for w in number).encode()  # no other word holds a line's end, and none is empty
             packed = len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True) if number else None
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([at, ids, sizes, digests, squeezed(every), packed], kinds, strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([at, ids, sizes, digests, [*blocks, block()], packed], kinds, strict=True)], names)
 
         for batch in batches:
             for i, j in slices(batch.column(1)):
                 for doc_id, text in zip(batch.column(0).slice(i, j - i).to_pylist(), batch.column(1).slice(i, j - i).to_pylist(), strict=True):
-                    found = words_of(text)
-                    for w in found:
-                        if w not in number:
-                            number[w] = len(number)
+                    found = cutter.words(text)
                     ids.append(doc_id)
                     sizes.append(len(found))
                     digests.append(hashlib.sha256(text.replace(MARK, " ").encode()).hexdigest())
                     numbers.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+                    waiting += len(found)
+                    if waiting >= RUN_IDS:
+                        blocks.append(block())
+                        numbers, waiting = [], 0
                     held += len(text) + 64
                     if held >= SLICE:
                         yield row()
-                        ids, sizes, digests, numbers, number, held, at = [], [], [], [], {}, 0, at + 1
+                        ids, sizes, digests, blocks, numbers, number, held, waiting, at = [], [], [], [], [], Numbers(), 0, 0, at + 1
         if ids:
             yield row()
 
@@ -279,24 +317,25 @@ def packed_ids(found: DataFrame, of_byte: list[int], unknown: int, most: int = 2
 
 
 def placed(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
-    """The documents of a slice with the ids of their words."""
+    """The documents of a slice with the ids of their words, a chunk for each block."""
+    release_memory()  # of the slice before
     number = [np.cumsum(loosened(x.as_py())) for x in words["number"]]
     size, ids = ([loosened(x.as_py()) for x in words[c]] for c in ("size", "ids"))
     every, n, flat = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (number, size, ids))
-    start, length = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    start, length = np.zeros(len(every), np.int64), np.zeros(len(every), np.int32)
     start[every], length[every] = np.cumsum(n) - n, n
-    one = {c: docs[c][0] for c in docs.column_names}
-    w, sizes = loosened(one["numbers"].as_py()), np.asarray(one["sizes"].values).astype(np.int64)
-    took = length[w]
-    ends = np.concatenate(([0], np.cumsum(took)))
-    bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
-    got = np.empty(int(ends[-1]), np.int32)
-    for i in range(0, len(w), RUN_IDS):  # positions take more room than ids: so many words at a time
-        some = slice(i, i + RUN_IDS)
-        a, b = ends[i], ends[min(i + RUN_IDS, len(w))]
-        got[a:b] = flat[np.repeat(start[w[some]] - ends[:-1][some], took[some]) + np.arange(a, b)]
-    lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(got, pa.int32())).cast(pa.list_(pa.int32()))
-    return pa.table({"doc_id": one["doc_ids"].values, "digest": one["digests"].values, "ids": lists})
+    doc_ids, digests, sizes, blocks = (docs[c][0].values for c in ("doc_ids", "digests", "sizes", "numbers"))
+    done, made, i = np.cumsum(np.concatenate(([0], np.asarray(sizes).astype(np.int64)))), [], 0  # words before each document
+    for k, block in enumerate(blocks):
+        w = loosened(block.as_py())
+        j = len(sizes) if k == len(blocks) - 1 else int(np.searchsorted(done, done[i] + len(w), side="right")) - 1
+        took = length[w]
+        ends = np.concatenate(([0], np.cumsum(took, dtype=np.int64)))
+        got = flat[np.repeat(start[w] - ends[:-1], took) + np.arange(ends[-1])].astype(np.int32, copy=False)
+        lists = pa.LargeListArray.from_arrays(pa.array(ends[done[i : j + 1] - done[i]]), pa.array(got, pa.int32())).cast(pa.list_(pa.int32()))
+        made.append(pa.table({"doc_id": doc_ids[i:j], "digest": digests[i:j], "ids": lists}))
+        i = j
+    return pa.concat_tables(made)
 
 
 def by_merges(docs: DataFrame, pieces: Pieces, cache_words: int = 200_000) -> DataFrame:
@@ -335,7 +374,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     if (rule or ("viterbi" if pieces.unigram else "bpe")) == "bpe":
         return by_merges(docs, pieces).select("doc_id", "ids", "digest")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = sliced(docs).repartition(n, "slice")
+    parts = sliced(docs, pieces).repartition(n, "slice")
     spread = word_rows(parts).repartition(n * FINER, F.xxhash64("word")).withColumn("h", F.xxhash64("word"))
     # a word is known by its number in the last slice that has it; so every reader of the words takes all columns, of which none is null, and they share one shuffle
     distinct = spread.groupBy("h", "word").agg(F.max("slice").alias("s"), F.max_by("number", "slice").alias("m"))
@@ -363,9 +402,9 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", to: str = "text"
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
             size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            done, texts = np.concatenate(([0], np.cumsum(size))), []
+            done = np.concatenate(([0], np.cumsum(size)))
             i = 0
-            while i < len(size):  # runs of so many ids, one row at least
+            while i < len(size):  # runs of so many ids, one row at least, are a batch each
                 j = max(i + 1, int(np.searchsorted(done, done[i] + RUN_IDS, side="right")) - 1)
                 ids = np.asarray(pc.fill_null(lists.slice(i, j - i).flatten(), -1)).astype(np.int64)
                 ids = np.where((ids < 0) | (ids > lost), lost, ids)
@@ -373,8 +412,8 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", to: str = "text"
                 ends = np.concatenate(([0], np.cumsum(n)))
                 text = blob[np.repeat(start[ids] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
                 bounds = ends[done[i : j + 1] - done[i]].tolist()
-                texts += [text[a:b].decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for a, b in zip(bounds, bounds[1:], strict=False)]
+                texts = [text[a:b].decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ") for a, b in zip(bounds, bounds[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
                 i = j
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
     return df.mapInArrow(tidy(run), f"{columns}, `{to}` string")

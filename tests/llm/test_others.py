@@ -309,3 +309,35 @@ def test_unclosed_elements_are_parsed_in_linear_time():
 
     took(1000)
     assert took(32_000) < 40 * took(2_000)  # 16 times the page; quadratic were 256
+
+
+def test_words_end_where_no_piece_can_span(spark, monkeypatch):
+    """Words with all that follows them were words of their own before: more of them, with more edges each. And a slice came back, and was decoded, in one piece of memory."""
+    import pyarrow as pa
+
+    pieces = sentencepiece_lattice.load(queries.piece_model_path())
+    texts = [f"ÿÿ a{i}ÿtheÿ*** b\n" if i else "" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    words = {r.word for r in sentencepiece_lattice.word_rows(sentencepiece_lattice.sliced(docs, pieces)).collect()}
+    assert {"ÿ", "the", "\n", "▁b"} <= words and not any(len(w) > 1 and ("ÿ" in w or "\n" in w) for w in words)
+
+    pairs = sorted({p[i : i + 2] for _, p, _ in pieces.rows for i in range(len(p) - 1)})
+    plain = [sentencepiece_lattice.Cutter(pairs).words(t) for t in texts]
+    assert ["".join(w) for w in plain] == ["▁" + t.replace(" ", "▁") if t else "" for t in texts] and {w for p in plain for w in p} == words
+    monkeypatch.setattr(sentencepiece_lattice, "CUT", 7)  # longer texts are cut in parts, at the same places
+    assert [sentencepiece_lattice.Cutter(pairs).words(t) for t in texts] == plain
+    monkeypatch.setattr(sentencepiece_lattice, "KINDS", 5)  # kinds that characters share only leave cuts out
+    ends = lambda parts: {sum(map(len, parts[:i])) for i in range(len(parts))}
+    assert all(ends(sentencepiece_lattice.Cutter(pairs).words(t)) <= ends(p) for t, p in zip(texts, plain, strict=True))
+    monkeypatch.setattr(sentencepiece_lattice, "RUN_IDS", 40)
+    few = {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs, pieces, rule="viterbi").collect()}
+    monkeypatch.undo()
+    assert few == {r.doc_id: r.ids for r in sentencepiece_lattice.encode(docs, pieces, rule="viterbi").collect()} and len(few) == 60 and few[0] == []
+
+    squeezed = sentencepiece_lattice.squeezed
+    np = sentencepiece_lattice.np
+    blocks = [squeezed(np.array([0, 1, 0], np.int32)), squeezed(np.array([1], np.int32))]
+    slice_ = pa.table({"slice": [0], "doc_ids": [[5, 6, 7, 8]], "sizes": pa.array([[0, 3, 0, 1]], pa.list_(pa.int32())), "digests": [["a", "b", "c", "d"]], "numbers": pa.array([blocks], pa.list_(pa.binary())), "words": [b""]})
+    back = pa.table({"slice": [0], **{c: pa.array([squeezed(np.array(x, np.int32))], pa.binary()) for c, x in {"number": [0, 1], "size": [2, 1], "ids": [9, 8, 7]}.items()}})
+    got = sentencepiece_lattice.placed((0,), slice_, back)
+    assert got.to_pydict() == {"doc_id": [5, 6, 7, 8], "digest": ["a", "b", "c", "d"], "ids": [[], [9, 8, 7, 9, 8], [], [7]]} and got["ids"].num_chunks == 2
