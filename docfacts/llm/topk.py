@@ -14,9 +14,10 @@ Queries come in blocks of bounded size, which are broadcast to the tasks that
 read the trees. Groups are searched best first too: centres and radii tell the
 group that may be nearest to each query, its k-th best there is the query's
 floor, and then a task takes its trees by least possible distance and unpacks
-only those that can hold a better candidate. A search takes nodes by least possible distance; a stored
+only those that can hold a better candidate. A search takes pages by least possible distance; a stored
 distance and the triangle inequality rule out a node or an entry before its own
-distance is computed. Scores are exact integers; bounds have slack for rounding.
+distance is computed. The queries of a block search a tree together: a page is multiplied once
+with all queries whose turn it is. Scores are exact integers; bounds have slack for rounding.
 
 Defined cases: vectors that are null, or hold null or non-finite components,
 and rows without id take no part; vectors meet only those of their own length;
@@ -98,45 +99,77 @@ def build(ids: np.ndarray, x: np.ndarray, top: float) -> dict:
 
 def search(tree: dict, query_id: int, q: np.ndarray, size2: float, top: float, best: list[tuple[int, int]], k: int, floor: float, count: list[int] | None = None) -> None:
     """Put the tree's better candidates into ``best``, a heap of (score, -id). floor: a score that the k-th best has at least."""
-    point = np.append(q.astype(float), 0.0)
-    slack = 1e-9 * (size2 + top) + 1e-6
+    search_all(tree, [query_id], q[None, :], [size2], top, [best], k, [floor], count)
 
-    def reach() -> float:
+
+def search_all(tree: dict, query_ids: list[int], qs: np.ndarray, sizes: list[float], top: float, best: list[list[tuple[int, int]]], k: int, floors: list[float], count: list[int] | None = None) -> None:
+    """``search`` for many queries: in each round every query takes its next page by least possible distance, and a page is multiplied once with all that take it."""
+    asked, sizes, floors = np.array(query_ids), np.array(sizes, float), np.array(floors, float)
+    points = np.hstack((qs.astype(float), np.zeros((len(qs), 1))))
+    slack = 1e-9 * (sizes + top) + 1e-6
+
+    def reach(n: np.ndarray) -> np.ndarray:
         """No candidate farther than this can count."""
-        least = max(floor, best[0][0]) if len(best) == k else floor
-        return np.sqrt(max(size2 + top - 2.0 * least, 0.0) + slack) if least > -np.inf else np.inf
+        return np.sqrt(np.maximum(sizes[n] + top - 2.0 * least[n], 0.0) + slack[n])  # endless without a floor
 
-    root = tree["root"]
-    d = float(np.sqrt(((point - root["centre"]) ** 2).sum()))
-    queue = [(max(0.0, d - root["radius"]), 0, d, root)]
-    serial = 0
-    while queue:
-        low, _, d, node = heapq.heappop(queue)
-        limit = reach()
-        if low > limit:
-            return
+    least, limit, pages = floors.copy(), np.zeros(len(qs)), []
+    # what a score must be at least, as exact as scores are: floors are doubles, and only such scores are whole doubles
+    bar = floors.copy() if qs.dtype == float else np.full(len(qs), -np.inf, object) if qs.dtype == object else np.full(len(qs), np.iinfo(np.int64).min)
+
+    def learn(n: np.ndarray) -> None:
+        for m in n.tolist():
+            if len(best[m]) == k:
+                least[m] = max(floors[m], best[m][0][0])
+                bar[m] = least[m] if qs.dtype == float else best[m][0][0] if qs.dtype == object else min(best[m][0][0], np.iinfo(np.int64).max)
+        limit[n] = reach(n)
+
+    learn(np.arange(len(qs)))
+
+    def descend(node: dict, n: np.ndarray, d: np.ndarray, low: np.ndarray) -> None:
+        """The pages under a node, each with the queries that it may have something for, their distances to its routing vector, and the least to its entries."""
         if "rows" in node:
-            near = node["rows"][np.abs(d - node["to_centre"]) <= limit + 1e-9]
-            near = near[tree["ids"][near] != query_id]
+            pages.append((node, n, d, low))
+            return
+        for child, centre, to_parent, radius in zip(node["children"], node["child_centres"], node["child_to_parent"], node["child_radius"], strict=True):
+            able = np.flatnonzero(np.abs(d - to_parent) - radius <= limit[n] + 1e-9)
+            to = np.sqrt(((points[n[able]] - centre) ** 2).sum(axis=1))
+            lows = np.maximum(low[able], to - radius)
+            near = lows <= limit[n[able]]
+            if near.any():
+                descend(child, n[able][near], to[near], lows[near])
+
+    root = tree["root"]
+    to_root = np.sqrt(((points - root["centre"]) ** 2).sum(axis=1))
+    lows = np.maximum(0.0, to_root - root["radius"])
+    n = np.flatnonzero(lows <= limit)
+    descend(root, n, to_root[n], lows[n])
+    if not pages:
+        return
+    low, away = np.full((len(qs), len(pages)), np.inf), np.zeros((len(qs), len(pages)))
+    for i, (_, n, d, lows) in enumerate(pages):
+        low[n, i], away[n, i] = lows, d
+    order = np.argsort(low, axis=1, kind="stable")
+    alive = np.arange(len(qs))
+    for turn in range(len(pages)):
+        lows = low[alive, order[alive, turn]]
+        alive = alive[(lows <= limit[alive]) & (lows < np.inf)]  # later pages are no nearer
+        taken = order[alive, turn]
+        for i in np.unique(taken).tolist():
+            n, node = alive[taken == i], pages[i][0]
+            d = away[n, i]
+            rows = node["rows"][(node["to_centre"] >= (d - limit[n]).min() - 1e-9) & (node["to_centre"] <= (d + limit[n]).max() + 1e-9)]
+            ids = tree["ids"][rows]
             if count is not None:
-                count[0] += len(near)
-            scores, ids = tree["x"][near] @ q, tree["ids"][near]
-            if len(best) == k:  # most of a page ends here
-                able = np.flatnonzero(scores >= best[0][0])
-                scores, ids = scores[able], ids[able]
-            for s, i in zip(map(int, scores.tolist()), ids.tolist(), strict=True):
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
-            continue
-        able = np.flatnonzero(np.abs(d - node["child_to_parent"]) - node["child_radius"] <= limit + 1e-9)
-        to = np.sqrt(((node["child_centres"][able] - point) ** 2).sum(axis=1))
-        lows = np.maximum(0.0, to - node["child_radius"][able])
-        for i, di, li in zip(able.tolist(), to.tolist(), lows.tolist(), strict=True):
-            if li <= limit:
-                serial += 1
-                heapq.heappush(queue, (li, serial, di, node["children"][i]))
+                count[0] += len(rows) * len(n)
+            scores = tree["x"][rows] @ qs[n].T
+            good, of = np.nonzero((scores >= bar[n]) & (ids[:, None] != asked[n]))  # most of a page ends here
+            for s, row_id, m in zip(scores[good, of].tolist(), ids[good].tolist(), n[of].tolist(), strict=True):
+                heap, found = best[m], (int(s), -row_id)
+                if len(heap) < k:
+                    heapq.heappush(heap, found)
+                elif found > heap[0]:
+                    heapq.heapreplace(heap, found)
+            learn(np.unique(n[of]))
 
 
 def index(vectors: DataFrame, pivots: int = 16, group_rows: int = 8192, most_pivots: int = 4096) -> tuple[DataFrame, dict[int, tuple[float, list]]]:
@@ -258,12 +291,16 @@ def top_k(df: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_id",
                     if not able:
                         continue
                     tree = pickle.loads(batch.column(4)[row].as_py())
-                    exact = tree["x"].dtype != object and int(abs(tree["x"]).max(initial=0)) * max(largest[n] for n in able) * max(1, dims[row]) < 1 << 53
-                    if exact:  # every product and sum is a whole number that a double holds, and doubles are multiplied faster
-                        tree["x"] = tree["x"].astype(float)
-                    for n in able:
-                        q = vecs[n].astype(float if exact else object if tree["x"].dtype == object or largest[n] >= 1 << 28 else np.int64)
-                        search(tree, asked[n][0], q, sizes[n], top, best[n], k, least[n])
+                    for some in ([n for n in able if largest[n] < 1 << 28], [n for n in able if largest[n] >= 1 << 28]):
+                        if not some:
+                            continue
+                        x = tree["x"]
+                        if x.dtype != object and int(abs(x).max(initial=0)) * max(largest[n] for n in some) * max(1, dims[row]) < 1 << 53:
+                            kind = float  # every product and sum is a whole number that a double holds, and doubles are multiplied faster
+                        else:
+                            kind = object if x.dtype == object or largest[some[0]] >= 1 << 28 else np.int64
+                        ready = tree | {"x": x.astype(float) if kind is float else x}
+                        search_all(ready, [asked[n][0] for n in some], np.array([vecs[n] for n in some]).astype(kind), [sizes[n] for n in some], top, [best[n] for n in some], k, [least[n] for n in some])
             out = [(n, asked[n][0], -i, s) for n, heap in enumerate(best) for s, i in heap]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["n", "query_id", "vec_id", "score"])

@@ -128,6 +128,39 @@ def test_scores_of_doubles_are_whole_and_equal():
 
 
 
+def test_queries_search_a_tree_together():
+    import numpy as np
+
+    class Counted(np.ndarray):
+        products = 0
+
+        def __matmul__(self, other):
+            Counted.products += 1
+            return np.asarray(self) @ other
+
+    rng = np.random.default_rng(5)
+    x = rng.integers(-9, 9, (3000, 6))  # with ties, and equal rows
+    x[100:400] = x[7]
+    ids, sizes = np.arange(len(x)) // 2, (x * x).sum(axis=1).astype(float)
+    asked = [*range(0, 3000, 20)]
+    for kind, floor in ((np.int64, -np.inf), (float, 0.0), (object, -np.inf)):
+        tree = topk.build(ids, x.astype(kind).view(Counted) if kind is not object else x.astype(object), float(sizes.max()))
+        Counted.products = 0
+        for n in asked:
+            topk.search(tree, int(ids[n]), x[n].astype(kind), sizes[n], float(sizes.max()), [], 5, floor)
+        alone, best, Counted.products = Counted.products, [[(10**6, -10**6)] if n == 40 else [] for n in asked], 0
+        topk.search_all(tree, [int(ids[n]) for n in asked], x[asked].astype(kind), sizes[asked].tolist(), float(sizes.max()), best, 5, [floor] * len(asked))
+        for n, heap in zip(asked, best, strict=True):
+            scores = [(int(s), -int(i)) for s, i in zip((x @ x[n]).tolist(), ids, strict=True) if i != ids[n]] + ([(10**6, -10**6)] if n == 40 else [])
+            assert sorted(heap) == sorted(scores)[-5:] and all(type(s) is int for s, _ in heap)
+        assert Counted.products <= alone / 2  # before: one for each query and page
+    big = np.array([[1 << 30, 1], [1 << 30, 255], [1 << 30, 255], [5, 5]], object)  # scores that doubles do not tell apart
+    for ids in ([1, 2, 3, 4], [1, 3, 2, 4]):
+        tree, best = topk.build(np.array(ids), big, 2.0**60 + 2**17), [[]]
+        topk.search_all(tree, [9], np.array([[1 << 30, 1]], object), [2.0**60], 2.0**60 + 2**17, best, 1, [-np.inf])
+        assert best == [[((1 << 60) + 255, -2)]]
+
+
 def test_crowded_regions_have_groups_of_their_own(spark):
     """Most groups are out of reach of a query by their bounds; one vector many times over is split and still found."""
     import pickle
