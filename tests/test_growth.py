@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from docfacts.functions import text as T
-from docfacts.operators import confirm, fields, layout, party, place
+from docfacts.operators import confirm, fields, layout, party, place, record
 from docfacts.plans import grid_queries, record_queries
 from docfacts.plans.render import documents
+from docfacts.sources import shared
 
 
 def test_documents_of_a_compact_table_are_work_for_many_tasks(spark, tmp_path):
@@ -90,3 +91,30 @@ def test_a_pattern_is_searched_only_where_the_label_gave_nothing(spark, monkeypa
     assert (row.price.value, row.noi.value) == (100_000, 6_000)
     hit = docs.select(T.kv_lookup(F.col("lines"), ["-x", "kwh"]).alias("k")).first().k
     assert tuple(hit) == ("3", 1, "kWh: 3")
+
+
+def test_a_status_is_told_after_the_texts_are_dealt(spark, tmp_path):
+    orders = spark.range(60).select(F.col("id").alias("o_orderkey"), F.lit(1000.5).cast("decimal(12,2)").alias("o_totalprice"))
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    docs = record_queries.batch(spark, str(tmp_path))
+    for made in (record.of_status(docs), record.unextracted(docs)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("Financial Overview") == 1  # before: 3, two of them in a filter below the shuffle
+    assert record.of_status(docs).count() + record.unextracted(docs).count() == 60
+
+
+def test_no_page_is_searched_without_an_anchor_or_after_a_hit(spark):
+    df = spark.createDataFrame([(["a Price $5", "Price $7"], "price"), (["a Price $5"], "nothing"), ([None, "x 12 AC"], "ac")], "pages array<string>, low string")
+    near = lambda *more: T.regex_near(F.col("pages"), ["Price", "List Price"], r"\$([0-9]+)", 20, 1, *more)
+    first = lambda *more: T.regex_first(F.col("pages"), r"([0-9]+)\s*AC\b", 1, *more)
+    rows = df.select(near().alias("n"), near(F.col("low")).alias("g"), first().alias("f"), first(F.col("low"), ["ac"]).alias("h")).collect()
+    assert [r.n and tuple(r.n) for r in rows] == [("5", 1, "Price $5"), ("5", 1, "Price $5"), None]
+    assert [r.g and tuple(r.g) for r in rows] == [("5", 1, "Price $5"), None, None]  # before: no plain search spared a page the pattern
+    assert [r.f and tuple(r.f) for r in rows] == [r.h and tuple(r.h) for r in rows] == [None, None, ("12", 2, "x 12 AC")]
+
+
+def test_a_written_table_leaves_the_session_as_it_was(spark):
+    before = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    with shared.compiled(spark):
+        assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000  # before: projections were fused to methods that the JVM interprets
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == before
+    assert sorted(r.id for r in shared.written(spark.range(3), "t").collect()) == [0, 1, 2]
